@@ -107,7 +107,7 @@ class Rule:
 RULES = [
     Rule("few_words", lambda f: f.n_words < 50),
     Rule("repeated_words", lambda f: 100 * f.n_repeat_words > 50 * f.n_words),
-    Rule("symbols", lambda f: f.n_symbols > f.n_words),
+    Rule("symbols", lambda f: 3 * f.n_symbols > f.n_words),
     Rule("word_length", lambda f: (f.word_chars < 2 * f.n_words) | (f.word_chars > 20 * f.n_words)),
     Rule("repeated_lines", lambda f: (2 * f.n_dup_lines > f.n_lines) & (f.n_lines >= 4)),
 ]
