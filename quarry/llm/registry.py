@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, fingerprints, packing, pii, quality, secrets, sharding, token_counts
+from quarry.llm import bpe, fingerprints, jaccard, packing, pii, quality, secrets, sharding, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(documents(spark, sf_dir), jaccard.Join(words=4, percent=85))
+
+
 def op8_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
     "op6_syncmer_fingerprints": op6_syncmer_fingerprints,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_bin_slack_packing": op8_bin_slack_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_secret_scan": op10_secret_scan,
