@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, fingerprints, jaccard, packing, pii, quality, secrets, sharding, token_counts
+from quarry.llm import bpe, fingerprints, jaccard, packing, pii, quality, secrets, sharding, substrings, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(documents(spark, sf_dir))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest_documents(documents(spark, sf_dir))
+
+
 def op6_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_personal_data": op2_personal_data,
     "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_syncmer_fingerprints": op6_syncmer_fingerprints,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_bin_slack_packing": op8_bin_slack_packing,
