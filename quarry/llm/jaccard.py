@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
@@ -293,3 +293,15 @@ def join_documents(df: DataFrame, join: Join = Join(), key: str = "doc_id", text
     done = members.join(whole, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return done.select(back("id").alias(key), F.col("n").alias("n_shingles"), back("component").alias("component_id"))
+
+
+def keep_first(df: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with one row of each component: that of the smallest key. Rows that repeat key and text count as one document.
+
+    Texts without words link with nothing and stay; all columns stay.
+    """
+    linked = join_documents(df, join, key, text)
+    first = linked.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first")).distinct()
+    once = Window.partitionBy(key, "_body").orderBy("_body")
+    kept = df.join(first.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_first")), "left_semi").withColumn("_body", F.xxhash64(F.col(text)))
+    return kept.withColumn("_row", F.row_number().over(once)).filter("_row = 1").select(*df.columns)

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quarry.llm.ranks import gapless_rank
 from quarry.llm.words import slices
@@ -203,7 +204,7 @@ def pack_pieces(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -
             new = [("sequence_id", pa.array(found[:, 2] + past // found[:, 3])), ("offset", pa.array(found[:, 4] + past % found[:, 3] * length))]
             yield pa.RecordBatch.from_arrays([c for _, c in kept + new], [n for n, _ in kept + new])
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     return ranked.mapInArrow(run, schema)
 
 

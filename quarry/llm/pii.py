@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quarry.llm.words import slices
 from quarry.session import cut, ship_package
@@ -244,6 +245,6 @@ def sanitize(df: DataFrame, policy: Policy = Policy(), key: str = "doc_id", text
             new = [t if t is None or b is None else mask(t, b, [(s["start"], s["end"], s["share"]) for s in x], remove) for t, b, x in zip(texts, bases, terms, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == text else batch.column(names.index(n)) for n in columns], columns)
 
-    owned = df.mapInArrow(hashed, df.schema.add("_own", "string"))
-    joined_rows = owned.join(spans, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    owned = df.mapInArrow(hashed, StructType([*df.schema.fields, StructField("_own", StringType())]))
+    joined_rows = owned.join(spans.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
     return joined_rows.select(*columns, "_base", "_terms").mapInArrow(masked, df.schema)
