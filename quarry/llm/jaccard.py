@@ -302,6 +302,7 @@ def keep_first(df: DataFrame, join: Join = Join(), key: str = "doc_id", text: st
     """
     linked = join_documents(df, join, key, text)
     first = linked.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first")).distinct()
-    once = Window.partitionBy(key, "_body").orderBy("_body")
-    kept = df.join(first.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_first")), "left_semi").withColumn("_body", F.xxhash64(F.col(text)))
-    return kept.withColumn("_row", F.row_number().over(once)).filter("_row = 1").select(*df.columns)
+    once = Window.partitionBy("_key", "_body").orderBy("_body")
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_body"))
+    kept = rows.join(first.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_first")), "left_semi")
+    return kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_row.*")

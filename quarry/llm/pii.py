@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from quarry.llm.words import slices
 from quarry.session import cut, ship_package
@@ -122,7 +121,7 @@ def scan(df: DataFrame, policy: Policy, key: str = "doc_id", text: str = "text")
             for raw in texts:
                 t = raw.decode()
                 base = find_base(t)
-                hashes.append(hashlib.blake2b(raw, digest_size=16).hexdigest())
+                hashes.append(hashlib.md5(raw, usedforsecurity=False).hexdigest())
                 counts.append([sum(k == kind for k, _, _ in base) for kind in KINDS])
                 bases.append(joined(base))
                 terms.append([dict(zip(("entity", "term", "start", "end", "context"), x, strict=True)) for x in nearby_terms(t, base, policy.window)])
@@ -233,18 +232,15 @@ def sanitize(df: DataFrame, policy: Policy = Policy(), key: str = "doc_id", text
     remove = policy.remove
     columns = df.columns
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, text):
-            own = pa.array([hashlib.blake2b(t, digest_size=16).hexdigest() for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, "_own"])
-
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            texts, bases, terms = (batch.column(names.index(n)).to_pylist() for n in (text, "_base", "_terms"))
+            texts, bases, terms = (batch.column(i).to_pylist() for i in range(3))
             new = [t if t is None or b is None else mask(t, b, [(s["start"], s["end"], s["share"]) for s in x], remove) for t, b, x in zip(texts, bases, terms, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == text else batch.column(names.index(n)) for n in columns], columns)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == text else batch.column(names.index(f"c_{n}")) for n in columns], columns)
 
-    owned = df.mapInArrow(hashed, StructType([*df.schema.fields, StructField("_own", StringType())]))
-    joined_rows = owned.join(spans.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
-    return joined_rows.select(*columns, "_base", "_terms").mapInArrow(masked, df.schema)
+    body = F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
+    rows = df.select(F.struct(*columns).alias("_row"), F.col(key).alias("_key"), body.alias("_own"))
+    joined_rows = rows.join(spans.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    row = F.col("_row")
+    return joined_rows.select(row[text].alias("_t"), "_base", "_terms", *(row[c].alias(f"c_{c}") for c in columns if c != text)).mapInArrow(masked, df.schema)

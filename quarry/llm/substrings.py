@@ -144,11 +144,11 @@ def _covered(n: int, spans: list | None) -> np.ndarray:
 
 
 def _with_spans(df: DataFrame, key: str, text: str, span: int, anchor: int) -> DataFrame:
-    """df with _id, _body and spans."""
-    marked = df.withColumn("_id", _ids(df, key)).withColumn("_body", F.xxhash64(F.coalesce(df[text], F.lit(""))))
-    spans = duplicate_spans(marked.select(F.col("_id").alias("id"), F.col("_body").alias("body"), F.coalesce(F.col(text), F.lit("")).alias("text")), span, anchor)
+    """_row (all columns of df) with its spans."""
+    marked = df.select(F.struct(*df.columns).alias("_row"), _ids(df, key).alias("_id"), F.xxhash64(F.coalesce(df[text], F.lit(""))).alias("_body"))
+    spans = duplicate_spans(marked.select(F.col("_id").alias("id"), F.col("_body").alias("body"), F.coalesce(F.col("_row")[text], F.lit("")).alias("text")), span, anchor)
     spans = spans.select(F.col("id").alias("_sid"), F.col("body").alias("_sbody"), "spans")
-    return marked.join(spans.hint("shuffle_hash"), (F.col("_id") == F.col("_sid")) & (F.col("_body") == F.col("_sbody")), "left")
+    return marked.join(spans.hint("shuffle_hash"), (F.col("_id") == F.col("_sid")) & (F.col("_body") == F.col("_sbody")), "left").select("_row", "spans")
 
 
 def remove_repeats(df: DataFrame, span: int = SPAN, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,7 +171,8 @@ def remove_repeats(df: DataFrame, span: int = SPAN, anchor: int = ANCHOR, key: s
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == text else batch.column(batch.schema.names.index(f"c_{n}")) for n in columns], columns)
 
     joined = _with_spans(df, key, text, span, anchor)
-    return joined.select(F.col(text).alias("_t"), F.col("spans").alias("_s"), *(F.col(c).alias(f"c_{c}") for c in columns if c != text)).mapInArrow(run, df.schema)
+    row = F.col("_row")
+    return joined.select(row[text].alias("_t"), F.col("spans").alias("_s"), *(row[c].alias(f"c_{c}") for c in columns if c != text)).mapInArrow(run, df.schema)
 
 
 def digest_documents(df: DataFrame, span: int = SPAN, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,5 +195,5 @@ def digest_documents(df: DataFrame, span: int = SPAN, anchor: int = ANCHOR, key:
                 hashes.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(hashes, pa.string())], [key, "n_words", "n_removed", "kept_sha256"])
 
-    joined = _with_spans(df, key, text, span, anchor).select(key, F.col(text).alias("_t"), "spans")
+    joined = _with_spans(df.select(key, text), key, text, span, anchor).select(f"_row.{key}", F.col("_row")[text].alias("_t"), "spans")
     return joined.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")

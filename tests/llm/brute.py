@@ -1,0 +1,105 @@
+"""Plain forms of the operators, to hold them against."""
+
+import hashlib
+import re
+from collections import Counter
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def quality(text):
+    t = text or ""
+    w = words(t)
+    grams = Counter(zip(w, w[1:], w[2:], strict=False))
+    again = set()
+    for i in range(len(w) - 2):
+        if grams[tuple(w[i : i + 3])] > 1:
+            again |= {i, i + 1, i + 2}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(again)
+
+
+def shingles(text, k, lower=str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")):
+    w = words((text or "").translate(lower))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def components(rows, k, percent):
+    """{(doc_id, text): (set size, component)}; None is the smallest id."""
+    rank = lambda d: -1 if d is None else d
+    keys = sorted(set(rows), key=lambda r: (rank(r[0]), r[1] or ""))
+    sets = [shingles(t, k) for _, t in keys]
+    parent = list(range(len(keys)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(keys)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {key: (len(sets[i]), keys[find(i)][0]) for i, key in enumerate(keys)}
+
+
+def removed(rows, span=50):
+    """{(doc_id, text): flags of the words that go}."""
+    rank = lambda d: -1 if d is None else d
+    first = {}
+    for d, t in rows:
+        w = words(t)
+        for i in range(len(w) - span + 1):
+            key = tuple(w[i : i + span])
+            first[key] = min(first.get(key, 10**9), rank(d))
+    out = {}
+    for d, t in rows:
+        w = words(t)
+        gone = [False] * len(w)
+        for i in range(len(w) - span + 1):
+            if first[tuple(w[i : i + span])] < rank(d):
+                gone[i : i + span] = [True] * span
+        out[d, t] = gone
+    return out
+
+
+def luhn(digits):
+    d = [int(c) for c in digits][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def personal(text):
+    t = text or ""
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    found = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    found += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [("card", m) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    found += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m)) <= 15]
+    return [(k, m.start(), m.end()) for k, m in found]
+
+
+_ANY = "".join
+ASSIGN = re.compile(r"""((?:%s))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""" % "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")))
+
+
+def secrets(text):
+    t = text or ""
+    found = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return [(k, b, e) for b, _, k, e in sorted(found)]
+
+
+def joined(spans):
+    return ",".join(f"{k}:{b}:{e}" for k, b, e in spans)
