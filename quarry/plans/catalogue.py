@@ -345,11 +345,11 @@ def node_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", reports.format_node(F.col("url"), F.col("status"), length, F.col("content_type"), extract.titles(F.col("html"))).alias("line"))
 
 
-_SEEDS = "(SELECT url FROM pages WHERE page_id % 10 = 0 AND url LIKE '%example.net%')"
+_SEEDS = "(SELECT url FROM pages WHERE url LIKE '%example.net%')"
 
 
 def _seed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").filter("page_id % 10 = 0 AND url LIKE '%example.net%'").select("url")
+    return _table(spark, sf_dir, "pages").filter("url LIKE '%example.net%'").select("url")
 
 
 def _root_sql(table: str, url: str) -> str:
@@ -371,17 +371,17 @@ def urls_per_root_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Crawl
 
 
-@query("seeds_distinct", "SELECT DISTINCT trim(url) AS url FROM (SELECT url FROM pages UNION ALL SELECT '  ' || url || ' ' FROM pages WHERE page_id % 3 = 0) WHERE trim(url) <> ''")
+@query("seeds_distinct", "SELECT DISTINCT trim(url) AS url FROM (SELECT url FROM pages UNION ALL SELECT '  ' || url || ' ' FROM pages) WHERE trim(url) <> ''")
 def seeds_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    both = pages.select("url").union(pages.filter("page_id % 3 = 0").select(F.concat(F.lit("  "), F.col("url"), F.lit(" "))))
+    both = pages.select("url").union(pages.select(F.concat(F.lit("  "), F.col("url"), F.lit(" "))))
     return both.select(F.trim("url").alias("url")).filter("url != ''").distinct()
 
 
-@query("fetch_join", f"SELECT s.url, p.status FROM (SELECT DISTINCT url FROM (SELECT url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url || '/none' FROM pages WHERE page_id % 5 = 0)) s LEFT JOIN (SELECT url, min(status) AS status FROM {_PAGES} GROUP BY url) p ON s.url = p.url")
+@query("fetch_join", f"SELECT s.url, p.status FROM (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT url || '/none' FROM pages)) s LEFT JOIN (SELECT url, min(status) AS status FROM {_PAGES} GROUP BY url) p ON s.url = p.url")
 def fetch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
-    asked = pages.filter("page_id % 2 = 0").select("url").union(pages.filter("page_id % 5 = 0").select(F.concat("url", F.lit("/none"))))
+    asked = pages.select("url").union(pages.select(F.concat("url", F.lit("/none"))))
     return crawling.pages_fetch(pages.groupBy("url").agg(F.min("status").alias("status")))(asked)
 
 
@@ -396,9 +396,9 @@ def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(F.broadcast(n)).select("page_id", "n", F.inline(steps)).select(F.col("page_id").alias("parent"), ((F.col("page_id") * F.col("k") + F.col("c")) % F.col("n")).alias("child"))
 
 
-@query("frontier_anti", f"SELECT DISTINCT child AS url FROM {_GRAPH} g WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.page_id % 2 = 0 AND p.page_id = g.child)")
+@query("frontier_anti", f"SELECT DISTINCT child AS url FROM {_GRAPH} g WHERE NOT EXISTS (SELECT 1 FROM {_PAGES} p WHERE p.status = '200' AND p.page_id = g.child)")
 def frontier_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    visited = _table(spark, sf_dir, "pages").filter("page_id % 2 = 0").select(F.col("page_id").alias("url"))
+    visited = _pages(spark, sf_dir).filter("status = '200'").select(F.col("page_id").alias("url"))
     return crawling.frontier_after(_graph(spark, sf_dir).select(F.col("child").alias("url")), visited)
 
 
@@ -452,10 +452,10 @@ def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("Content Length", F.col("Content Length").cast("long"))
 
 
-@query("validate_pass", f"SELECT url, CASE WHEN regexp_matches(status, '^[0-9]+$') OR page_id % 3 = 0 THEN status ELSE '204' END AS status FROM {_PAGES}")
+@query("validate_pass", f"SELECT url, CASE WHEN regexp_matches(status, '^[0-9]+$') OR content_type IS NULL THEN status ELSE '204' END AS status FROM {_PAGES}")
 def validate_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
-    answers = pages.filter("page_id % 3 != 0").select("url", F.lit("204").alias("status"))
+    answers = pages.filter("content_type IS NOT NULL").select("url", F.lit("204").alias("status"))
     return crawling.validate(pages.select("url", "status"), crawling.pages_fetch(answers))
 
 
