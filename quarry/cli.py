@@ -12,6 +12,7 @@ from quarry import __version__
 from quarry.config import Settings, default_yaml, from_environment, load_file, updated
 from quarry.errors import QuarryError
 from quarry.functions.status import parse_status
+from quarry.log import init_log
 from quarry.operators import reports
 from quarry.operators.crawl import CrawlPlan, CrawlResult, crawl, validate
 from quarry.operators.scan import local_scan
@@ -89,7 +90,8 @@ def show(result: CrawlResult, starts, args: argparse.Namespace, ranges) -> str:
     """The text report of a crawl."""
     out = []
     if args.detail:
-        out.append(reports.text_report(reports.children_by_parent(result.edges, result.nodes, "url", ranges), "URLs from", "parent", "lines"))
+        parents = reports.with_node(reports.children_by_parent(result.edges, result.nodes, "url", ranges), result.nodes, "parent")
+        out.append(reports.text_report(parents, "URLs from", "parent", "lines", depth=True))
         out.append(reports.text_report(reports.children_by_parent(result.edges, result.nodes, "js", ranges), "JS from", "parent", "lines"))
     else:
         out.append(reports.text_report(reports.urls_per_domain(result.edges, result.nodes, starts, "url", ranges), "URL from", "bucket", "lines"))
@@ -97,7 +99,7 @@ def show(result: CrawlResult, starts, args: argparse.Namespace, ranges) -> str:
     domains = [r[0] for r in reports.found_domains(result.edges).orderBy("netloc").toLocalIterator()]
     out.append("\n{} Domains:\n{}\n".format(len(domains), "\n".join(domains)))
     if not args.hide_regex:
-        out.append(reports.text_report(reports.secrets_by(result.findings, "url"), "Secrets found in", "url", "secrets", "No secrets found.\n"))
+        out.append(reports.text_report(reports.with_node(reports.secrets_by(result.findings, "url"), result.nodes, "url"), "Secrets found in", "url", "secrets", "No secrets found.\n"))
     return "".join(out)
 
 
@@ -109,6 +111,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     try:
         settings = settings_of(args)
+        init_log(settings.loglevel, settings.verbose, settings.debug)
         ranges = parse_status(args.status) if args.status else None
         spark = spark or SparkSession.builder.appName("quarry").getOrCreate()
         if args.local:

@@ -23,7 +23,11 @@ Fetch = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class CrawlPlan:
-    """What a crawl does. max_depth and max_pages of 0 or less: no limit."""
+    """What a crawl does. max_depth and max_pages of 0 or less: no limit.
+
+    wanted(netloc), find_secrets(df, text) and find_links(df, base, text) replace the domain filter, the rules and the link extraction: they take and
+    give what domain_filter, extract_secrets and extract_links do.
+    """
 
     rules: list[Rule] = field(default_factory=lambda: loaded(DEFAULT_RULES))
     links: list[Rule] = field(default_factory=link_rules)
@@ -33,6 +37,9 @@ class CrawlPlan:
     dangerous: list[str] = field(default_factory=lambda: list(DANGEROUS_PATHS))
     max_depth: int = 1
     max_pages: int = 1000
+    wanted: Callable[[Column], Column] | None = None
+    find_secrets: Callable[[DataFrame, str], DataFrame] | None = None
+    find_links: Callable[[DataFrame, str, str], DataFrame] | None = None
 
 
 @dataclass
@@ -91,7 +98,9 @@ def crawl(seeds: DataFrame, fetch: Fetch, plan: CrawlPlan) -> CrawlResult:
         raise CrawlError("max_depth is negative")
     netloc = url_parts(F.col("url"))["netloc"]
     path = url_parts(F.col("url"))["path"]
-    wanted: Column = domain_filter(netloc, plan.allow, plan.deny)
+    wanted: Column = plan.wanted(netloc) if plan.wanted else domain_filter(netloc, plan.allow, plan.deny)
+    find_secrets = plan.find_secrets or (lambda df, text: extract_secrets(df, text, plan.rules, plan.engine))
+    find_links = plan.find_links or (lambda df, base, text: extract_links(df, base, text, plan.links))
     frontier = cut(seeds.select(F.trim("url").alias("url")).filter("url != ''").distinct().filter(wanted).withColumn("depth", F.lit(0)), "frontier")
     visited = frontier
     nodes: list[DataFrame] = []
@@ -110,9 +119,9 @@ def crawl(seeds: DataFrame, fetch: Fetch, plan: CrawlPlan) -> CrawlResult:
         ok = F.col("status").isNotNull()
         nodes.append(fetched.select("url", "depth", F.coalesce("status", F.lit("Unknown")).alias("status"), "content_length", F.coalesce("content_type", F.lit("")).alias("content_type"), titles(body).alias("title"), ok.alias("fetched")))
         live = fetched.filter(ok).select("url", "content_type", body.alias("body"))
-        findings.append(cut(extract_secrets(live.select("url", "body"), "body", plan.rules, plan.engine), "findings"))
+        findings.append(cut(find_secrets(live.select("url", "body"), "body"), "findings"))
         texts = live.filter(links_wanted(F.col("content_type"))).select(F.col("url").alias("parent"), "body")
-        found = cut(extract_links(texts, "parent", "body", plan.links).select("parent", F.col("url").alias("child"), "kind").distinct(), "edges")
+        found = cut(find_links(texts, "parent", "body").select("parent", F.col("url").alias("child"), "kind").distinct(), "edges")
         edges.append(found)
         if left is not None and pages >= plan.max_pages:
             break

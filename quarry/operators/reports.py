@@ -75,9 +75,16 @@ def csv_rows(nodes: DataFrame, edges: DataFrame, findings: DataFrame, fetched: D
     )
 
 
-def text_report(grouped: DataFrame, head: str, key: str, lines: str, empty: str = "") -> str:
-    """Groups as text: `n head key:` and the lines. Groups come to the driver one after another, sorted."""
+def with_node(grouped: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """Groups by url with the status and depth of the page."""
+    about = nodes.dropDuplicates(["url"]).select(F.col("url").alias(key), "status", "depth")
+    return grouped.join(about, key, "left")
+
+
+def text_report(grouped: DataFrame, head: str, key: str, lines: str, empty: str = "", depth: bool = False) -> str:
+    """Groups as text: `n head key [status] (depth:d):`, of which status and depth are there if the groups have them, and the lines. Groups come to the driver one after another, sorted."""
     out = []
     for row in grouped.orderBy(key).toLocalIterator():
-        out.append(f"\n{row['n']} {head} {row[key]}:\n{row[lines]}\n")
+        status = f" [{row['status'] or 'Unknown'}]" if "status" in grouped.columns else ""
+        out.append(f"\n{row['n']} {head} {row[key]}{status}{f' (depth:{row['depth']})' if depth else ''}:\n{row[lines]}\n")
     return "".join(out) or empty

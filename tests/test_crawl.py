@@ -82,3 +82,21 @@ def test_seeds(spark, tmp_path):
     assert {r["url"] for r in seeds(spark, " http://d ", str(tmp_path / "urls.txt")).collect()} == {"http://a", "http://b", "http://c", "http://d"}
     with pytest.raises(CrawlError):
         seeds(spark)
+
+
+def test_parts_can_be_replaced(spark, fetch):
+    from pyspark.sql import functions as F
+
+    done = run(spark, fetch, wanted=lambda netloc: netloc == "s.net", find_secrets=lambda df, text: df.select("url", F.lit("T").alias("type"), F.lit("d").alias("data")), find_links=lambda df, base, text: df.select(base, F.lit("http://s.net/d").alias("url"), F.lit("url").alias("kind")))
+    assert {r["url"] for r in done.fetched.collect()} == {"http://s.net/", "http://s.net/d"} and done.findings.count() == 2
+
+
+def test_log(tmp_path):
+    import logging
+
+    from quarry.log import init_log, level_of
+
+    assert level_of("warning") == logging.WARNING and level_of("none") == logging.CRITICAL and level_of("info", debug=True) == logging.DEBUG
+    init_log("info", folder=str(tmp_path)).info("hello")
+    assert "hello" in (tmp_path / "quarry.log").read_text()
+    init_log()
