@@ -10,9 +10,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes of an Arrow batch at most: a batch holds whole texts, and a worker holds it several times over.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once for each SparkContext, so that Python workers can import it."""
+    """Send this package to the executors once for each SparkContext, so that Python workers can import it, and bound the session's Arrow batches."""
     context = spark.sparkContext
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}")
+        if not (now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     if getattr(context, "_quarry_shipped", False):
         return
     root = Path(__file__).resolve().parent
@@ -38,4 +46,16 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # The steps behind this table are done with; a collection in the driver lets Spark remove their shuffle files.
+    spark.sparkContext._jvm.System.gc()
+    table = spark.read.schema(df.schema).parquet(path)
+    table._quarry_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut wrote, once nothing that is still to run reads them."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._quarry_path)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
