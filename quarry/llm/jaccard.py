@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
+from quarry.llm.prefilter import only_possible
 from quarry.llm.words import BYTE_VALUES, LOWER_VALUES, U64, Batch, shingle_hashes, slices
-from quarry.session import cut, ship_package
+from quarry.session import cut, drop, ship_package
 
 #: Shingles that are put last in the common order, at most; which they are decides the work, not the result.
 FREQUENT = 1 << 18
@@ -101,7 +102,7 @@ def frequent_shingles(df: DataFrame, join: Join) -> np.ndarray:
     frequent of 64 or more. All documents are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches, limit=1 << 23):
+        for _, texts in slices(batches, limit=1 << 22):
             grams, counts = np.unique(shingle_sets(texts, join)[0], return_counts=True)
             often = counts >= 3
             yield pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "n"])
@@ -172,7 +173,9 @@ def check_pairs(df: DataFrame, classes: DataFrame, pairs: DataFrame, join: Join)
             grams, begin = shingle_sets(texts, join)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([grams[begin[i] : begin[i + 1]].tobytes() for i in range(len(texts))], pa.binary())], ["id", "grams"])
 
-    sets = cut(df.join(wanted.hint("shuffle_hash"), "id").select("id", "text").mapInArrow(arrays, "id long, grams binary").distinct(), "sets")
+    wanted = cut(wanted, "wanted")
+    near = only_possible(df, "id", wanted, "id")
+    sets = cut(near.join(wanted.hint("shuffle_hash"), "id").select("id", "text").mapInArrow(arrays, "id long, grams binary").distinct(), "sets")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,11 +188,56 @@ def check_pairs(df: DataFrame, classes: DataFrame, pairs: DataFrame, join: Join)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     held = lambda c: sets.select(F.col("id").alias(c), F.col("grams").alias(f"g{c}"))
-    return likely.join(held("a"), "a").join(held("b"), "b").select("a", "b", "ga", "gb").mapInArrow(exact, "a long, b long").distinct()
+    links = cut(likely.join(held("a"), "a").join(held("b"), "b").select("a", "b", "ga", "gb").mapInArrow(exact, "a long, b long").distinct(), "links")
+    drop(likely, wanted, sets)
+    return links
+
+
+def _small_tiles(rows: DataFrame, join: Join) -> DataFrame:
+    """Pairs of classes of one shingle but different components that sizes and places allow, for shingles of one tile. rows: token, rep, n, pos, component."""
+
+    def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, rep, n, pos, component = columns
+        def distinct() -> pa.RecordBatch:
+            both = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+        found, size, left, shift = [], 0, np.arange(len(token)), 1
+        while True:
+            left = left[left + shift < len(token)]
+            left = left[token[left] == token[left + shift]]
+            if not len(left):
+                break
+            i, j = left, left + shift
+            ok = (component[i] != component[j]) & (rep[i] != rep[j]) & (100 * np.minimum(n[i], n[j]) >= join.percent * np.maximum(n[i], n[j]))
+            ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= join.need(n[i], n[j])
+            found.append(np.stack([rep[i[ok]], rep[j[ok]]]))
+            size += int(ok.sum())
+            shift += 1
+            if size > 200_000:
+                yield distinct()
+                found, size = [], 0
+        if found:
+            yield distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 5
+        for batch in batches:
+            columns = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, h in enumerate(held)]
+            if not len(columns[0]):
+                continue
+            last = int(np.searchsorted(columns[0], columns[0][-1]))
+            yield from pairs([c[:last] for c in columns])
+            held = [c[last:] for c in columns]
+        yield from pairs(held)
+
+    dealt = rows.select("token", "rep", F.col("n").cast("long"), F.col("pos").cast("long"), "component").repartition("token").sortWithinPartitions("token")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def _tile_pairs(rows: DataFrame, join: Join) -> DataFrame:
-    """Pairs of classes of one shingle but different components that signatures, sizes and places allow. rows: token, rep, n, pos, band, component, sig, blocks."""
+def _large_tiles(rows: DataFrame, join: Join) -> DataFrame:
+    """The same for shingles of more classes than a tile takes: blocks of a band meet blocks of it and of the next, and signatures are compared in the tile.
+    rows: token, rep, n, pos, band, component, sig, blocks."""
     schema = "a long, b long"
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     #: A row meets the blocks of its own band and of the next: first role as the smaller, second as the larger.
@@ -278,15 +326,17 @@ def join_documents(df: DataFrame, join: Join = Join(), key: str = "doc_id", text
         F.col("first.rep").alias("a"), F.col("first.n").alias("na"), F.col("first.pos").alias("pa"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")
     )
     stars = led.filter("a != b").filter(_sizes_fit("na", "nb", join)).filter(_place_fits(join)).select("a", "b").distinct()
-    links = cut(check_pairs(rows, slim, stars, join), "links")
+    links = check_pairs(rows, slim, stars, join)
     parts = connected_components(links)
 
     placed = tiles.join(parts, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", "band", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c")).filter("low != high")
     mixed = mixed.select("token", F.ceil(F.col("c") / TILE).alias("blocks"))
-    apart = placed.join(mixed, "token").join(slim.select("rep", "sig"), "rep")
-    crossing = _tile_pairs(apart, join).distinct()
+    apart = cut(placed.join(mixed, "token"), "apart")
+    large = apart.filter("blocks > 1").join(slim.select("rep", "sig"), "rep")
+    crossing = _small_tiles(apart.filter("blocks = 1"), join).union(_large_tiles(large, join)).distinct()
     more = check_pairs(rows, slim, crossing, join)
+    drop(tiles, apart)
     whole = connected_components(links.union(more))
 
     members = described.select("id", "n", "set").join(named, "set", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))

@@ -20,7 +20,7 @@ LOWER_VALUES = BYTE_VALUES.copy()
 LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -126,7 +126,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut batches so that a slice has about limit bytes of text, or one text."""
     for batch in batches:
         texts = texts_of(batch, column)
