@@ -177,9 +177,9 @@ def disclosures(df: DataFrame, scanned: DataFrame, policy: Policy, text: str = "
     entities = mentions.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     pairs = mentions.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).filter(F.col("n_pair") >= policy.support)
     pairs = cut(pairs, "pairs")
-    rows = scanned.agg(F.count(F.lit(1)).alias("n_rows"))
-    known = pairs.join(term_counts(df, pairs, text), "term").join(entities, "entity").crossJoin(F.broadcast(rows))
-    share = 1 + F.log(F.col("n_pair") / F.greatest("n_term", "n_pair")) / F.log(F.greatest(F.col("n_rows") / F.col("n_entity"), F.lit(2.0)))
+    n_rows = F.lit(float(scanned.count()))
+    known = pairs.join(term_counts(df, pairs, text), "term").join(entities, "entity")
+    share = 1 + F.log(F.col("n_pair") / F.greatest("n_term", "n_pair")) / F.log(F.greatest(n_rows / F.col("n_entity"), F.lit(2.0)))
     return known.select("entity", "term", share.alias("share")).filter(F.col("share") >= policy.generalise)
 
 
