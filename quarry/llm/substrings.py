@@ -12,15 +12,16 @@ other blocks. Factors of span words or more, runs of matching windows, are the d
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.prefilter import only_possible
 from quarry.llm.words import U64, Batch, mix, shingle_hashes, slices, span_hashes, span_sums
-from quarry.session import cut, ship_package
+from quarry.session import cut, drop, ship_package
 
 SPAN, ANCHOR = 50, 16
 NULL_ID = -(2**63)
@@ -71,67 +72,95 @@ def find_anchors(rows: DataFrame, span: int, anchor: int) -> DataFrame:
     return rows.select("id", "body", "text").mapInArrow(run, "id long, body long, anchors array<long>").filter(F.size("anchors") > 0)
 
 
+def _per_text(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of arrays, and the row of each."""
+    lists = batch.column(batch.schema.get_field_index(column))
+    lengths = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()], np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), lengths)
+
+
+def _span_names(words: np.ndarray) -> Callable[[np.ndarray, np.ndarray], list[np.ndarray]]:
+    """Gives 128 bits, as two numbers, that name the spans of words [first, end)."""
+    sums = [span_sums(words, _BASES[0]), span_sums(mix(words ^ U64(_BASES[1])), _BASES[1])]
+    return lambda first, end: [span_hashes(s, base, first, end).view(np.int64) for s, base in zip(sums, _BASES, strict=True)]
+
+
 def find_blocks(rows: DataFrame, span: int, anchor: int) -> DataFrame:
-    """Blocks of texts whose anchor is among the row's `shared`: id, body, first, last (windows, in words of the text), block (128 bits), windows (their hashes,
-    128 bits each, one after another)."""
+    """Blocks of texts whose anchor is among the row's `shared`: id, body, anchor, first, last (windows, in words of the text), b1, b2 (128 bits that name the
+    block's words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, limit=1 << 21):
+        for batch, texts in slices(batches):
             b = Batch(texts)
             words = b.hashes()
             doc, grams, first, last = anchored_blocks(b, words, span, anchor)
-            shared = batch.column(batch.schema.get_field_index("shared"))
-            lengths = np.array([len(x) if x is not None else 0 for x in shared.to_pylist()], np.int64)
-            wanted = shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            wanted, owner = _per_text(batch, "shared")
             label = lambda g, d: mix(g ^ mix(d.astype(np.uint64) + U64(1)))
-            keep = np.isin(label(grams, doc), label(wanted, np.repeat(np.arange(b.n), lengths)))
-            doc, first, last = doc[keep], first[keep], last[keep]
-            sums = [span_sums(words, _BASES[0]), span_sums(mix(words ^ U64(_BASES[1])), _BASES[1])]
-            pair = lambda low, high: np.stack([span_hashes(s, base, low, high) for s, base in zip(sums, _BASES, strict=True)], axis=1)
+            keep = np.isin(label(grams, doc), label(wanted.view(np.uint64), owner))
+            doc, grams, first, last = doc[keep], grams[keep], first[keep], last[keep]
+            own, take = b.word_from[doc], pa.array(doc)
+            columns = [grams.view(np.int64), first - own, last - own, *_span_names(words)(first, last + span)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, columns)], ["id", "body", "anchor", "first", "last", "b1", "b2"])
+
+    return rows.select("id", "body", "text", "shared").mapInArrow(run, "id long, body long, anchor long, first long, last long, b1 long, b2 long")
+
+
+def find_windows(rows: DataFrame, span: int) -> DataFrame:
+    """The windows of a row's `edges`, an array of (first, last): id, body, start, w1, w2 (128 bits that name the window's words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, limit=1 << 20):
+            b = Batch(texts)
+            words = b.hashes()
+            first, doc = _per_text(batch, "firsts")
+            last, _ = _per_text(batch, "lasts")
             count = last - first + 1
-            begin = np.r_[0, np.cumsum(count)]
-            each = np.repeat(first - begin[:-1], count) + np.arange(begin[-1])
-            packed = pair(each, each + span).tobytes()
-            names = pair(first, last + span)
-            own = b.word_from[doc]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(doc)),
-                    batch.column(1).take(pa.array(doc)),
-                    pa.array(first - own),
-                    pa.array(last - own),
-                    pa.array([n.tobytes() for n in names], pa.binary()),
-                    pa.array([packed[16 * x : 16 * y] for x, y in zip(begin[:-1], begin[1:], strict=True)], pa.binary()),
-                ],
-                ["id", "body", "first", "last", "block", "windows"],
-            )
-
-    schema = "id long, body long, first long, last long, block binary, windows binary"
-    return rows.select("id", "body", "text", "shared").mapInArrow(run, schema)
+            begin = np.cumsum(count) - count
+            start = np.repeat(first - begin, count) + np.arange(count.sum())
+            text = np.repeat(doc, count)
+            at, take = start + b.word_from[text], pa.array(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start), *map(pa.array, _span_names(words)(at, at + span))], ["id", "body", "start", "w1", "w2"])
+
+    return rows.select("id", "body", "text", "firsts", "lasts").mapInArrow(run, "id long, body long, start long, w1 long, w2 long")
+
+
+def _of_texts(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """The texts that lists (id, body, more) has, with its columns."""
+    lists = lists.withColumnRenamed("id", "_id").withColumnRenamed("body", "_body")
+    near = only_possible(rows, "id", lists, "_id")
+    return near.join(lists.hint("shuffle_hash"), (F.col("id") == F.col("_id")) & (F.col("body") == F.col("_body")))
 
 
 def duplicate_spans(rows: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """(id, body, spans): per text the word spans [start, end) that windows of documents with smaller ids cover. rows: id, body, text."""
+    """(id, body, spans): per text the word spans [start, end) that windows of documents with smaller ids cover. rows: id, body, text.
+
+    Each step's table goes to the shared folder and is deleted when the next is there. The texts are moved twice, and only those that share an anchor.
+    """
     anchors = cut(find_anchors(rows, span, anchor), "anchors")
     each = anchors.select("id", "body", F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
-    own = each.join(shared, "anchor").groupBy("id", "body").agg(F.collect_list("anchor").alias("shared"))
-    own = own.select(F.col("id").alias("_id"), F.col("body").alias("_body"), "shared")
-    near = rows.join(own.hint("shuffle_hash"), (F.col("id") == F.col("_id")) & (F.col("body") == F.col("_body")))
-    blocks = cut(find_blocks(near, span, anchor), "blocks")
-
-    # The index: each distinct block once, with the first document that has it.
-    index = cut(blocks.groupBy("block").agg(F.min("id").alias("owner")), "index")
-    parsed = blocks.select("id", "body", "first", "last", "block").join(index, "block")
-    factors = parsed.filter("owner < id").select("id", "body", F.col("first").alias("start"), (F.col("last") + span).alias("end"))
-
-    # Boundaries: blocks in their first document, window by window.
-    edge = blocks.join(index.withColumnRenamed("block", "_block"), (F.col("block") == F.col("_block")) & (F.col("id") == F.col("owner")), "left_semi")
-    places = F.transform(F.sequence(F.col("first"), F.col("last")), lambda w: F.struct(w.alias("start"), F.substring(F.col("windows"), ((w - F.col("first")) * 16 + 1).cast("int"), F.lit(16)).alias("window")))
-    windows = cut(edge.select("id", "body", F.inline(places)), "windows")
-    first_of = windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("window", "low")
-    checked = windows.join(first_of, "window").filter("low < id").select("id", "body", "start", (F.col("start") + span).alias("end"))
-    return factors.union(checked).groupBy("id", "body").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    own = cut(each.join(shared, "anchor").groupBy("id", "body").agg(F.collect_list("anchor").alias("shared")), "shared")
+    drop(anchors)
+    blocks = cut(find_blocks(_of_texts(rows, own), span, anchor), "blocks")
+    drop(own)
+
+    # The index: each distinct block of an anchor once, with the first document that has it.
+    index = cut(blocks.groupBy("anchor", "b1", "b2").agg(F.min("id").alias("owner")), "index")
+    parsed = blocks.join(index, ["anchor", "b1", "b2"])
+    factors = cut(parsed.filter("owner < id").select("id", "body", F.col("first").alias("start"), (F.col("last") + span).alias("end")), "factors")
+
+    # Boundaries: blocks in their first document, window by window, where the anchor has other blocks too.
+    several = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
+    ends = parsed.filter("owner = id").join(several, "anchor").groupBy("id", "body").agg(F.collect_set(F.struct("first", "last")).alias("e"))
+    edges = cut(ends.select("id", "body", F.col("e.first").alias("firsts"), F.col("e.last").alias("lasts")), "edges")
+    drop(blocks, index)
+    windows = cut(find_windows(_of_texts(rows, edges), span), "windows")
+    drop(edges)
+    first_of = windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("w1", "w2", "low")
+    checked = windows.join(first_of, ["w1", "w2"]).filter("low < id").select("id", "body", "start", (F.col("start") + span).alias("end"))
+    spans = cut(factors.union(checked).groupBy("id", "body").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
+    drop(windows, factors)
+    return spans
 
 
 def _covered(n: int, spans: list | None) -> np.ndarray:
