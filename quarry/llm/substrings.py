@@ -138,9 +138,10 @@ def duplicate_spans(rows: DataFrame, span: int = SPAN, anchor: int = ANCHOR) ->
     """
     anchors = cut(find_anchors(rows, span, anchor), "anchors")
     each = anchors.select("id", "body", F.explode("anchors").alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
+    # Aggregates are written before they are joined: a join right behind its exchanges is one whose hot keys Spark can split.
+    shared = cut(each.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor"), "anchors")
     own = cut(each.join(shared, "anchor").groupBy("id", "body").agg(F.collect_list("anchor").alias("shared")), "shared")
-    drop(anchors)
+    drop(anchors, shared)
     blocks = cut(find_blocks(_of_texts(rows, own), span, anchor), "blocks")
     drop(own)
 
@@ -150,16 +151,17 @@ def duplicate_spans(rows: DataFrame, span: int = SPAN, anchor: int = ANCHOR) ->
     factors = cut(parsed.filter("owner < id").select("id", "body", F.col("first").alias("start"), (F.col("last") + span).alias("end")), "factors")
 
     # Boundaries: blocks in their first document, window by window, where the anchor has other blocks too.
-    several = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
-    ends = parsed.filter("owner = id").join(several, "anchor").groupBy("id", "body").agg(F.collect_set(F.struct("first", "last")).alias("e"))
+    several = cut(index.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"), "anchors")
+    firsts = cut(parsed.filter("owner = id").select("id", "body", "anchor", "first", "last"), "firsts")
+    ends = firsts.join(several, "anchor").groupBy("id", "body").agg(F.collect_set(F.struct("first", "last")).alias("e"))
     edges = cut(ends.select("id", "body", F.col("e.first").alias("firsts"), F.col("e.last").alias("lasts")), "edges")
-    drop(blocks, index)
+    drop(blocks, index, firsts, several)
     windows = cut(find_windows(_of_texts(rows, edges), span), "windows")
     drop(edges)
-    first_of = windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("w1", "w2", "low")
+    first_of = cut(windows.groupBy("w1", "w2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("w1", "w2", "low"), "first")
     checked = windows.join(first_of, ["w1", "w2"]).filter("low < id").select("id", "body", "start", (F.col("start") + span).alias("end"))
     spans = cut(factors.union(checked).groupBy("id", "body").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans")
-    drop(windows, factors)
+    drop(windows, factors, first_of)
     return spans
 
 
