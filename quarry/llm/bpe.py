@@ -21,7 +21,7 @@ from quarry.llm.words import slices
 from quarry.session import ship_package
 
 _M64 = 2**64 - 1
-#: Pre-tokens whose ids a Python worker remembers; beyond it, it forgets all and starts again.
+#: Pre-tokens whose ids a task remembers; beyond it, it forgets all and starts again.
 REMEMBERED = 400_000
 
 
@@ -194,6 +194,7 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, key: str = "d
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.known.clear()
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids

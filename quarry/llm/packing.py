@@ -26,11 +26,11 @@ from quarry.llm.words import slices
 from quarry.session import cut, ship_package
 
 CAPACITY = 4096
-#: Words whose ids a Python worker remembers; beyond it, it forgets all and starts again.
-REMEMBERED = 300_000
+#: Words whose ids a task remembers; beyond it, it forgets all and starts again.
+REMEMBERED = 400_000
 #: Text of these characters only is lower-cased and cut into words here as the tokenizer file says; other text goes to the tokenizer whole.
 _OTHER = re.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xff]")
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\s0-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
+_WORDS = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
 
 
 class WordTokenizer:
@@ -43,6 +43,22 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values(), default=0) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of words. Many go to the tokenizer as one text; ids that end a word tell them apart."""
+        encode = self.tokenizer.encode_batch_fast
+        groups = [words[at : at + 256] for at in range(0, len(words), 256)]
+        for group, e in zip(groups, encode([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) == len(group):
+                packed = ids.tobytes()
+                self.known.update((w, packed[4 * a : 4 * b]) for w, a, b in zip(group, [0, *ends], ends, strict=False))
+            else:
+                self.known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(group, encode(group, add_special_tokens=False), strict=True))
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -54,11 +70,7 @@ class WordTokenizer:
         if len(known) + len(missing) > REMEMBERED:
             known.clear()
             missing = {w for words in cuts for w in words or ()}
-        new = list(missing)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
+        self.learn(list(missing))
         whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         return [whole(t) if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, cuts, strict=True)]
 
@@ -107,6 +119,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = C
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        encoder.known.clear()
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, df[text].alias("text")).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)

@@ -17,7 +17,7 @@ from quarry.llm.bpe import read_ranks
 from quarry.llm.words import slices
 from quarry.session import ship_package
 
-#: Words whose counts a Python worker remembers; beyond it, it forgets all and starts again.
+#: Words whose counts a task remembers; beyond it, it forgets all and starts again.
 REMEMBERED = 500_000
 
 
@@ -115,6 +115,7 @@ def count_tokens(df: DataFrame, vocabulary: str, prefix: bytes = b" ", key: str
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([c[0] for c in counted], pa.int64()), pa.array([c[1] for c in counted], pa.int64())], [key, "n_words", "n_tokens"]
             )
+        matcher.known.clear()
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, df[text].alias("text")).mapInArrow(run, f"`{key}` {kind}, n_words long, n_tokens long")
