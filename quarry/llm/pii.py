@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +111,16 @@ def nearby_terms(text: str, base: list[tuple[str, int, int]], window: int) -> li
     return out
 
 
+def terms_outside(text: str, base: list[tuple[str, int, int]]) -> set[str]:
+    """The different terms that stand outside all entities."""
+    if not base:
+        return {term.lower() for term in set(_TERM.findall(text))}
+    covered = np.zeros(len(text) + 1, bool)
+    for _, b, e in base:
+        covered[b:e] = True
+    return {m[0].lower() for m in _TERM.finditer(text) if not covered[m.start()] and not covered[m.end() - 1]}
+
+
 def scan(df: DataFrame, policy: Policy, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, body_hash, counts by kind, base (joined spans), near: the terms by entities."""
     ship_package(df.sparkSession)
@@ -136,24 +147,37 @@ def scan(df: DataFrame, policy: Policy, key: str = "doc_id", text: str = "text")
     return df.select(df[key].alias("id"), df[text].alias("text")).mapInArrow(run, schema)
 
 
-def term_counts(df: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n_term): in how many rows each wanted term stands. Counts cover all rows.
+def _bits(names: DataFrame, column: str) -> np.ndarray:
+    """FILTER_BITS bits, of which those of the names in column are set."""
+    bits = np.zeros(FILTER_BITS, bool)
+    bits[[r[0] for r in names.select((F.crc32(F.encode(column, "UTF-8")) % FILTER_BITS).cast("int")).distinct().collect()]] = True
+    return np.packbits(bits)
+
 
-    A filter of FILTER_BITS bits, whatever the number of terms, keeps most other words from being counted; what it lets pass is dropped by the
-    join.
+def term_counts(df: DataFrame, wanted: DataFrame, copied: DataFrame, text: str = "text") -> DataFrame:
+    """(term, n_term): in how many different texts each wanted term stands outside all entities. Counts cover all rows.
+
+    Filters of FILTER_BITS bits, whatever the number of terms and rows, keep most other words from being counted and most texts without a
+    copy from being told apart by their hash (copied: body_hash of texts of several rows). What they let pass is dropped by the join, or counted once as it should.
     """
     spark = df.sparkSession
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[[r[0] for r in wanted.select((F.crc32(F.encode("term", "UTF-8")) % FILTER_BITS).cast("int")).distinct().collect()]] = True
-    allowed = spark.sparkContext.broadcast(np.packbits(bits))
+    allowed, twice = (spark.sparkContext.broadcast(_bits(*x)) for x in ((wanted, "term"), (copied, "body_hash")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_bits = np.unpackbits(allowed.value).view(bool)
+        open_bits, copy_bits = np.unpackbits(allowed.value).view(bool), np.unpackbits(twice.value).view(bool)
         passed: dict[str, bool] = {}
-        for _, texts in slices(batches):
-            counts: dict[str, int] = {}
+        task = TaskContext.get().partitionId()
+        for part, (_, texts) in enumerate(slices(batches)):
+            once: dict[str, int] = {}
+            groups = {f"{task}:{part}": once}
             for raw in texts:
-                for term in set(_TERM.findall(raw.decode().lower())):
+                t, name = raw.decode(), hashlib.md5(raw, usedforsecurity=False).hexdigest()
+                if name in groups:
+                    continue
+                counts = once
+                if copy_bits[zlib.crc32(name.encode()) % FILTER_BITS]:
+                    counts = groups[name] = {}
+                for term in terms_outside(t, find_base(t)):
                     ok = passed.get(term)
                     if ok is None:
                         if len(passed) > 500_000:
@@ -161,9 +185,13 @@ def term_counts(df: DataFrame, wanted: DataFrame, text: str = "text") -> DataFra
                         ok = passed[term] = bool(open_bits[zlib.crc32(term.encode()) % FILTER_BITS])
                     if ok:
                         counts[term] = counts.get(term, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            full = {k: v for k, v in groups.items() if v}
+            terms, counts = pa.array([list(v) for v in full.values()], pa.list_(pa.string())), pa.array([list(v.values()) for v in full.values()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(full), pa.string()), terms, counts], ["own", "terms", "counts"])
 
-    found = df.select(df[text].alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    # A row for each slice with the counts of texts that have no copy, and one for each text that may have some, of which one stays.
+    found = df.select(df[text].alias("text")).mapInArrow(run, "own string, terms array<string>, counts array<long>").dropDuplicates(["own"])
+    found = found.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("n_term"))
     return found.join(wanted.select("term").distinct(), "term")
 
 
@@ -171,14 +199,15 @@ def disclosures(df: DataFrame, scanned: DataFrame, policy: Policy, text: str = "
     """(entity, term, share): the terms that reveal an entity, with the share of its information that they give.
 
     share = PMI(term; entity) / information of the entity = 1 + log(n_pair / n_term) / log(n_rows / n_entity). n_pair and n_entity count
-    different contexts, so that copies prove nothing; n_term counts rows.
+    different contexts, n_term and n_rows different texts, so that copies neither prove nor disprove anything.
     """
     mentions = scanned.select(F.explode("near").alias("m")).select("m.entity", "m.term", "m.context").distinct()
     entities = mentions.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     pairs = mentions.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).filter(F.col("n_pair") >= policy.support)
     pairs = cut(pairs, "pairs")
-    n_rows = F.lit(float(scanned.count()))
-    known = pairs.join(term_counts(df, pairs, text), "term").join(entities, "entity")
+    texts = scanned.groupBy("body_hash").agg(F.count(F.lit(1)).alias("n"))
+    n_rows = F.lit(float(texts.count()))
+    known = pairs.join(term_counts(df, pairs, texts.filter("n > 1"), text), "term").join(entities, "entity")
     share = 1 + F.log(F.col("n_pair") / F.greatest("n_term", "n_pair")) / F.log(F.greatest(n_rows / F.col("n_entity"), F.lit(2.0)))
     return known.select("entity", "term", share.alias("share")).filter(F.col("share") >= policy.generalise)
 

@@ -85,6 +85,14 @@ def test_copies_prove_nothing(spark):
     assert {r["spans"] for r in pii.digest(pii.find_personal(docs)).collect()} == {"email:19:32", ""}
 
 
+def test_copies_disprove_nothing(spark):
+    told = [f"{chr(97 + i) * 5} zorblax wrote from jane@corp.net {chr(107 + i) * 5}" for i in range(10)]
+    texts = [*told, *[told[3]] * 1000, *(f"filler {i}" for i in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = [r["spans"] for r in pii.digest(pii.find_personal(docs)).orderBy("doc_id").collect()]
+    assert all("term:6:13" in s for s in spans[:1010]) and not any(spans[1010:])
+
+
 def test_sanitize_keeps_rows_and_columns(docs, rows):
     out = pii.sanitize(docs)
     assert out.schema == docs.schema
