@@ -1,8 +1,8 @@
 """Personal data and information-theoretic sanitisation.
 
 Patterns find the protected entities. Corpus co-occurrence then estimates how strongly a term reveals an entity: the pointwise mutual
-information of the two against the information of the entity itself. Terms that stand near an entity and exceed a threshold are
-found too; the sanitised text generalises them, or removes them beyond a second threshold.
+information of the two against the information of the entity itself, over different texts. Terms that exceed a threshold are found
+too, wherever they stand in a text that holds the entity; the sanitised text generalises them, or removes them beyond a second threshold.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,14 @@ _DIGIT = re.compile(r"[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 #: Bits of the filter that keeps terms that cannot disclose anything out of the corpus counts.
 FILTER_BITS = 1 << 20
+#: Terms of an Arrow batch of mentions at most.
+MENTION_ROWS = 20_000
 
 
 @dataclass(frozen=True)
 class Policy:
-    """window: characters on either side of an entity in which terms are looked at; support: contexts that a pair needs; generalise, remove:
-    the share of an entity's information from which a term is generalised or removed."""
+    """window: characters on either side of an entity, or of a term far from it, that are its context; support: contexts that a pair needs;
+    generalise, remove: the share of an entity's information from which a term is generalised or removed."""
 
     window: int = 60
     support: int = 3
@@ -93,21 +97,28 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{b}:{e}" for k, b, e in spans)
 
 
-def nearby_terms(text: str, base: list[tuple[str, int, int]], window: int) -> list[tuple[str, str, int, int, str]]:
-    """(entity, term, start, end, context) of whole terms within window of an entity and outside all entities.
+def _context(text: str, spans: list[tuple[int, int]], window: int) -> str:
+    """Names the surroundings of spans: copies of a passage are one context."""
+    return hashlib.blake2b("\0".join(text[max(0, b - window) : e + window] for b, e in spans).encode(), digest_size=8).hexdigest()
 
-    The context names the surroundings of the mention: copies of a passage are one context.
-    """
-    covered = np.zeros(len(text) + 1, bool) if base else None
+
+def _outside(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the terms outside all entities, by start."""
+    covered = np.zeros(len(text) + 1, bool)
     for _, b, e in base:
         covered[b:e] = True
-    out = []
+    return ((m[0].lower(), m.start(), m.end()) for m in _TERM.finditer(text) if not covered[m.start()] and not covered[m.end() - 1])
+
+
+def nearby_terms(text: str, base: list[tuple[str, int, int]], window: int) -> set[tuple[str, str, str]]:
+    """(entity, term, context) of whole terms within window of an entity and outside all entities; the context is the entity's."""
+    terms = list(_outside(text, base)) if base else []
+    starts = [b for _, b, _ in terms]
+    out = set()
     for kind, b, e in base:
         low, high = max(0, b - window), min(len(text), e + window)
-        context = hashlib.blake2b(text[low:high].encode(), digest_size=8).hexdigest()
-        for m in _TERM.finditer(text, max(0, low - 40), min(len(text), high + 40)):
-            if low <= m.start() and m.end() <= high and not covered[m.start()] and not covered[m.end() - 1]:
-                out.append((f"{kind}:{text[b:e]}", m[0].lower(), m.start(), m.end(), context))
+        context = _context(text, [(b, e)], window)
+        out.update((f"{kind}:{text[b:e]}", term, context) for term, _, end in terms[bisect_left(starts, low) : bisect_left(starts, high)] if end <= high)
     return out
 
 
@@ -115,38 +126,66 @@ def terms_outside(text: str, base: list[tuple[str, int, int]]) -> set[str]:
     """The different terms that stand outside all entities."""
     if not base:
         return {term.lower() for term in set(_TERM.findall(text))}
-    covered = np.zeros(len(text) + 1, bool)
-    for _, b, e in base:
-        covered[b:e] = True
-    return {m[0].lower() for m in _TERM.finditer(text) if not covered[m.start()] and not covered[m.end() - 1]}
+    return {term for term, _, _ in _outside(text, base)}
 
 
 def scan(df: DataFrame, policy: Policy, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, body_hash, counts by kind, base (joined spans), near: the terms by entities."""
+    """Per row: id, body_hash, counts by kind, base (joined spans), entities with their contexts, near: the terms by entities."""
     ship_package(df.sparkSession)
-    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("context", pa.string())]))
+    held = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.string())]))
+    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("context", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            hashes, counts, bases, terms = [], [], [], []
+            hashes, counts, bases, entities, terms = [], [], [], [], []
             for raw in texts:
                 t = raw.decode()
                 base = find_base(t)
                 hashes.append(hashlib.md5(raw, usedforsecurity=False).hexdigest())
                 counts.append([sum(k == kind for k, _, _ in base) for kind in KINDS])
                 bases.append(joined(base))
-                terms.append([dict(zip(("entity", "term", "start", "end", "context"), x, strict=True)) for x in nearby_terms(t, base, policy.window)])
+                entities.append([{"entity": n, "context": c} for n, c in sorted({(f"{k}:{t[b:e]}", _context(t, [(b, e)], policy.window)) for k, b, e in base})])
+                terms.append([dict(zip(("entity", "term", "context"), x, strict=True)) for x in sorted(nearby_terms(t, base, policy.window))])
             table = np.array(counts, np.int64).reshape(-1, len(KINDS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hashes, pa.string()), *(pa.array(table[:, i]) for i in range(len(KINDS))), pa.array(bases, pa.string()), pa.array(terms, near)],
-                ["id", "body_hash", *(f"n_{k}" for k in KINDS), "base", "near"],
+                [batch.column(0), pa.array(hashes, pa.string()), *(pa.array(table[:, i]) for i in range(len(KINDS))), pa.array(bases, pa.string()), pa.array(entities, held), pa.array(terms, near)],
+                ["id", "body_hash", *(f"n_{k}" for k in KINDS), "base", "entities", "near"],
             )
 
     kind = df.schema[key].dataType.simpleString()
-    schema = f"id {kind}, body_hash string, {', '.join(f'n_{k} long' for k in KINDS)}, base string, near array<struct<entity:string,term:string,start:long,end:long,context:string>>"
+    schema = f"id {kind}, body_hash string, {', '.join(f'n_{k} long' for k in KINDS)}, base string, entities array<struct<entity:string,context:string>>, near array<struct<entity:string,term:string,context:string>>"
     return df.select(df[key].alias("id"), df[text].alias("text")).mapInArrow(run, schema)
 
 
+def mentions(df: DataFrame, holding: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
+    """(body_hash, term, context, spans): all terms outside entities of the different texts in holding, with the place of every mention."""
+    kept = df.sparkSession.sparkContext.broadcast(_bits(holding, "body_hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_bits = np.unpackbits(kept.value).view(bool)
+
+        def rows() -> Iterator[tuple[str, str, str, list[tuple[int, int]]]]:
+            for _, texts in slices(batches):
+                for raw in texts:
+                    name = hashlib.md5(raw, usedforsecurity=False).hexdigest()
+                    if open_bits[zlib.crc32(name.encode()) % FILTER_BITS]:
+                        t = raw.decode()
+                        places: dict[str, list[tuple[int, int]]] = {}
+                        for term, b, e in _outside(t, find_base(t)):
+                            places.setdefault(term, []).append((b, e))
+                        yield from ((name, term, _context(t, spans, policy.window), spans) for term, spans in places.items())
+
+        found = rows()
+        while some := list(islice(found, MENTION_ROWS)):
+            flat = np.array([x for r in some for x in r[3]], np.int64).reshape(-1, 2)
+            offsets = pa.array(np.cumsum([0, *(len(r[3]) for r in some)]), pa.int32())
+            spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "end"]))
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in some], pa.string()) for i in range(3)), spans], ["body_hash", "term", "context", "spans"])
+
+    found = df.select(df[text].alias("text")).mapInArrow(run, "body_hash string, term string, context string, spans array<struct<start:long,end:long>>")
+    return found.join(holding.select("body_hash").distinct(), "body_hash", "left_semi").dropDuplicates(["body_hash", "term"])
+
+
 def _bits(names: DataFrame, column: str) -> np.ndarray:
     """FILTER_BITS bits, of which those of the names in column are set."""
     bits = np.zeros(FILTER_BITS, bool)
@@ -154,8 +193,9 @@ def _bits(names: DataFrame, column: str) -> np.ndarray:
     return np.packbits(bits)
 
 
-def term_counts(df: DataFrame, wanted: DataFrame, copied: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n_term): in how many different texts each wanted term stands outside all entities. Counts cover all rows.
+def term_counts(df: DataFrame, wanted: DataFrame, copied: DataFrame, most: float, text: str = "text") -> DataFrame:
+    """(term, n_term): in how many different texts each wanted term stands outside all entities. Counts cover all rows; a count
+    beyond most may be less than the true one, but is beyond most.
 
     Filters of FILTER_BITS bits, whatever the number of terms and rows, keep most other words from being counted and most texts without a
     copy from being told apart by their hash (copied: body_hash of texts of several rows). What they let pass is dropped by the join, or counted once as it should.
@@ -166,6 +206,8 @@ def term_counts(df: DataFrame, wanted: DataFrame, copied: DataFrame, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_bits, copy_bits = np.unpackbits(allowed.value).view(bool), np.unpackbits(twice.value).view(bool)
         passed: dict[str, bool] = {}
+        # Counts of this task from texts without copies; they are all emitted, so a term beyond most needs no further counting.
+        sure: dict[str, int] = {}
         task = TaskContext.get().partitionId()
         for part, (_, texts) in enumerate(slices(batches)):
             once: dict[str, int] = {}
@@ -183,8 +225,10 @@ def term_counts(df: DataFrame, wanted: DataFrame, copied: DataFrame, text: str =
                         if len(passed) > 500_000:
                             passed.clear()
                         ok = passed[term] = bool(open_bits[zlib.crc32(term.encode()) % FILTER_BITS])
-                    if ok:
+                    if ok and sure.get(term, 0) <= most:
                         counts[term] = counts.get(term, 0) + 1
+                        if counts is once:
+                            sure[term] = sure.get(term, 0) + 1
             full = {k: v for k, v in groups.items() if v}
             terms, counts = pa.array([list(v) for v in full.values()], pa.list_(pa.string())), pa.array([list(v.values()) for v in full.values()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(list(full), pa.string()), terms, counts], ["own", "terms", "counts"])
@@ -196,36 +240,45 @@ def term_counts(df: DataFrame, wanted: DataFrame, copied: DataFrame, text: str =
 
 
 def disclosures(df: DataFrame, scanned: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
-    """(entity, term, share): the terms that reveal an entity, with the share of its information that they give.
+    """(body_hash, start, end, share): every mention of a term in the texts that hold an entity which it reveals, with the share of its
+    information that it gives.
 
-    share = PMI(term; entity) / information of the entity = 1 + log(n_pair / n_term) / log(n_rows / n_entity). n_pair and n_entity count
-    different contexts, n_term and n_rows different texts, so that copies neither prove nor disprove anything.
+    share = PMI(term; entity) / information of the entity = 1 + log(n_pair / n_term) / log(n_rows / n_entity); all four count different
+    texts, so that copies neither prove nor disprove anything, and the two may stand anywhere in a text. A pair needs support different
+    contexts: those of the entity in texts where the term is near, and that of the term in each text where it is not.
     """
-    mentions = scanned.select(F.explode("near").alias("m")).select("m.entity", "m.term", "m.context").distinct()
-    entities = mentions.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    pairs = mentions.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).filter(F.col("n_pair") >= policy.support)
-    pairs = cut(pairs, "pairs")
     texts = scanned.groupBy("body_hash").agg(F.count(F.lit(1)).alias("n"))
     n_rows = F.lit(float(texts.count()))
-    known = pairs.join(term_counts(df, pairs, texts.filter("n > 1"), text), "term").join(entities, "entity")
-    share = 1 + F.log(F.col("n_pair") / F.greatest("n_term", "n_pair")) / F.log(F.greatest(n_rows / F.col("n_entity"), F.lit(2.0)))
-    return known.select("entity", "term", share.alias("share")).filter(F.col("share") >= policy.generalise)
+    held = scanned.select("body_hash", F.explode("entities").alias("m")).select("body_hash", "m.entity", "m.context").distinct()
+    # An entity with fewer contexts than support, over all its texts, has no pair with support.
+    entities = held.groupBy("entity").agg(F.count_distinct("body_hash").alias("n_entity"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= policy.support)
+    holding = cut(held.select("body_hash", "entity").distinct().join(entities.drop("n"), "entity"), "holding")
+    found = cut(mentions(df, holding, policy, text), "mentions")
+    # n_pair is n_entity at most: pairs with more n_term than this cannot reach the share.
+    rarity = F.greatest(n_rows / F.col("n_entity"), F.lit(2.0))
+    most = F.col("n_entity") * F.pow(rarity, F.lit(1 - policy.generalise)) * 1.000001
+    counts = term_counts(df, found, texts.filter("n > 1"), holding.agg(F.max(most)).first()[0] or 0.0, text)
+    pairs = cut(found.join(counts, "term").join(holding, "body_hash").filter(F.col("n_term") <= most), "pairs")
+    near = scanned.select("body_hash", F.explode("near").alias("m")).select("body_hash", "m.entity", "m.term", F.col("m.context").alias("near")).distinct()
+    proved = pairs.drop("spans").join(near, ["body_hash", "entity", "term"], "left").groupBy("entity", "term", "n_entity", "n_term")
+    proved = proved.agg(F.count_distinct("body_hash").alias("n_pair"), F.count_distinct(F.coalesce("near", "context")).alias("n")).filter(F.col("n") >= policy.support)
+    share = 1 + F.log(F.col("n_pair") / F.col("n_term")) / F.log(rarity)
+    revealing = proved.select("entity", "term", share.alias("share")).filter(F.col("share") >= policy.generalise)
+    told = pairs.select("body_hash", "entity", "term", "spans").join(revealing, ["entity", "term"]).select("body_hash", "share", F.explode("spans").alias("s"))
+    return told.groupBy("body_hash", F.col("s.start").alias("start"), F.col("s.end").alias("end")).agg(F.max("share").alias("share"))
 
 
 def find_personal(df: DataFrame, policy: Policy = Policy(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_email, n_ip, n_card, n_phone, base (joined spans), terms: array of (start, end, share) near entities they reveal.
+    """Per row: key, n_email, n_ip, n_card, n_phone, base (joined spans), terms: array of (start, end, share) that reveal entities of the text.
 
     A null text is empty and has no spans; equal rows get equal spans; null keys are kept; an empty table gives no rows;
-    other columns are left out. Scan results, without the texts, are written once to the shared folder.
+    other columns are left out. Scan results, without the texts, and the terms of texts whose entities may be revealed are written once to the shared folder.
     """
     scanned = cut(scan(df, policy, key, text), "personal")
-    revealing = disclosures(df, scanned, policy, text)
-    mentions = scanned.select("id", "body_hash", F.explode("near").alias("m")).select("id", "body_hash", "m.entity", "m.term", "m.start", "m.end")
-    spans = mentions.join(revealing, ["entity", "term"]).groupBy("id", "body_hash", "start", "end").agg(F.max("share").alias("share"))
-    grouped = spans.groupBy(F.col("id").alias("_id"), F.col("body_hash").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("body_hash") == F.col("_hash"))
+    spans = disclosures(df, scanned, policy, text)
+    grouped = spans.groupBy(F.col("body_hash").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,share:double>>")
-    return scanned.join(grouped, same, "left").select(F.col("id").alias(key), "body_hash", *(f"n_{k}" for k in KINDS), "base", F.coalesce("terms", none).alias("terms"))
+    return scanned.join(grouped, F.col("body_hash") == F.col("_hash"), "left").select(F.col("id").alias(key), "body_hash", *(f"n_{k}" for k in KINDS), "base", F.coalesce("terms", none).alias("terms"))
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:

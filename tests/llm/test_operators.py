@@ -93,6 +93,16 @@ def test_copies_disprove_nothing(spark):
     assert all("term:6:13" in s for s in spans[:1010]) and not any(spans[1010:])
 
 
+def test_terms_far_from_an_entity_are_found_and_masked_wherever_they_stand(spark):
+    between = " ".join(f"common{chr(97 + i % 9)}" for i in range(40))
+    told = [f"Dear Zorblax {a * 4} {between} jane@corp.net {between} yours, zorblax {a * 5}" for a in "abcd"]
+    near = [f"{a * 4} quuxley wrote from joe@corp.net {a * 5} {between} and quuxley again" for a in "efgh"]
+    filler = [f"word {between} {chr(97 + i % 26) * (3 + i // 26)}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate([*told, *near, *filler])), "doc_id long, text string")
+    masked = [r["text"] for r in pii.sanitize(docs).orderBy("doc_id").collect()]
+    assert not any("zorblax" in t.lower() or "quuxley" in t or between not in t for t in masked[:8]) and masked[8:] == filler
+
+
 def test_sanitize_keeps_rows_and_columns(docs, rows):
     out = pii.sanitize(docs)
     assert out.schema == docs.schema
