@@ -1,6 +1,6 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A k-mer is a run of k words. It is an anchor if the smallest of its inner s-mers, by hash, is its first or its last: whether
+A k-mer is a run of k words; characters of scripts without spaces, and of very long words, are words of their own. It is an anchor if the smallest of its inner s-mers, by hash, is its first or its last: whether
 a k-mer is chosen depends on its own words alone, so equal passages have equal anchors wherever they stand. The
 fingerprint is the smallest anchor hashes, a bottom-k sketch; the anchors with their positions are there for
 positional matching.
@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, S, SKETCH = 5, 2, 64
+#: Code points of a word at most; a longer one (base64, minified code) is taken by its characters.
+LONG = 20
+#: Characters of scripts that are written without spaces.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: Documents of neighbouring ids whose texts meet in one window; and buckets of which the next is looked up together.
 NEAR_BITS, FAR_BITS = 8, 10
 
@@ -19,11 +23,15 @@ NEAR_BITS, FAR_BITS = 8, 10
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
     """Add out: array of (hash long, pos int) of the closed syncmers of a text, by position.
 
-    A text of fewer than k words has one anchor, all its words; a null text or one without words has none.
+    A text of fewer than k words, or of which no k-mer is chosen, has one anchor, all its words; a null text or one without words has none.
     """
-    words, inner, count = f"_{out}_w", f"_{out}_s", k - s + 1
-    hashes = F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    step = df.withColumn(words, hashes)
+    runs, words, inner, count = f"_{out}_r", f"_{out}_w", f"_{out}_s", k - s + 1
+    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.when(body.rlike(UNSPACED), F.regexp_replace(body, f"({UNSPACED})", " $1 ")).otherwise(body)
+    step = df.withColumn(runs, F.filter(F.split(body, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    short = F.flatten(F.transform(F.col(runs), lambda w: F.when(F.length(w) > LONG, F.split(w, "")).otherwise(F.array(w))))
+    some_long = F.exists(F.col(runs), lambda w: F.length(w) > LONG)
+    step = step.withColumn(words, F.transform(F.when(some_long, short).otherwise(F.col(runs)), lambda w: F.xxhash64(w)))
     step = step.withColumn(inner, F.transform(F.col(words), lambda h, i: F.xxhash64(h, *(F.get(F.col(words), i + j) for j in range(1, s)))))
 
     def chosen(h: Column, i: Column) -> Column:
@@ -34,8 +42,9 @@ def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) ->
 
     few = F.array(F.struct(F.xxhash64(F.col(words)).alias("hash"), F.lit(0).alias("pos")))
     found = F.filter(F.transform(F.col(words), chosen), lambda a: a.isNotNull())
-    step = step.withColumn(out, F.when(F.size(F.col(words)) >= k, found).when(F.size(F.col(words)) > 0, few).otherwise(F.slice(few, 1, 0)))
-    return step.drop(words, inner)
+    step = step.withColumn(out, found)
+    step = step.withColumn(out, F.when(F.size(F.col(out)) > 0, F.col(out)).when(F.size(F.col(words)) > 0, few).otherwise(F.slice(few, 1, 0)))
+    return step.drop(runs, words, inner)
 
 
 def sketch(anchors: Column, size: int = SKETCH) -> Column:

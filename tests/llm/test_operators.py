@@ -249,6 +249,22 @@ def test_syncmers_are_closed_and_context_free(spark):
     assert [p for _, p in rows[0]] == closed
 
 
+def test_texts_without_spaces_have_likeness(spark):
+    rng = np.random.default_rng(5)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    letters = {"han": [chr(0x4E00 + i) for i in range(2000)], "thai": [chr(0x0E01 + i) for i in range(46)], "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "emoji": [chr(0x1F300 + i) for i in range(300)]}
+    texts = [draw(chars, 600) for chars in letters.values()]
+    got = fingerprints.fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == 4 and all(0.15 < r["near_edited"] < 0.6 and r["near_next"] < 0.05 for r in got)
+
+
+def test_texts_with_words_have_an_anchor(spark):
+    texts = [" ".join(f"w{i * 7 + j}" for j in range(n)) for i in range(60) for n in (5, 6)]
+    df = fingerprints.with_anchors(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", "a")
+    prints = [r[0] for r in df.select(fingerprints.as_string(fingerprints.sketch(F.col("a")))).collect()]
+    assert "" not in prints and len(set(prints)) > 60
+
+
 # 7
 
 
