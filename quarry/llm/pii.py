@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.words import slices
-from quarry.session import cut, ship_package
+from quarry.session import cut, drop, ship_package
 
 KINDS = ["email", "ip", "card", "phone"]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,7 +40,7 @@ MENTION_ROWS = 20_000
 
 @dataclass(frozen=True)
 class Policy:
-    """window: characters on either side of an entity, or of a term far from it, that are its context; support: contexts that a pair needs;
+    """window: characters on either side of an entity, or of a term far from it, that are its context; support: texts and contexts that a pair needs;
     generalise, remove: the share of an entity's information from which a term is generalised or removed."""
 
     window: int = 60
@@ -130,9 +130,8 @@ def terms_outside(text: str, base: list[tuple[str, int, int]]) -> set[str]:
 
 
 def scan(df: DataFrame, policy: Policy, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, body_hash, counts by kind, base (joined spans), entities with their contexts, near: the terms by entities."""
+    """Per row: id, body_hash, counts by kind, base (joined spans), entities, near: the terms by entities, with the entity's context."""
     ship_package(df.sparkSession)
-    held = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.string())]))
     near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("context", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,16 +143,16 @@ def scan(df: DataFrame, policy: Policy, key: str = "doc_id", text: str = "text")
                 hashes.append(hashlib.md5(raw, usedforsecurity=False).hexdigest())
                 counts.append([sum(k == kind for k, _, _ in base) for kind in KINDS])
                 bases.append(joined(base))
-                entities.append([{"entity": n, "context": c} for n, c in sorted({(f"{k}:{t[b:e]}", _context(t, [(b, e)], policy.window)) for k, b, e in base})])
+                entities.append(sorted({f"{k}:{t[b:e]}" for k, b, e in base}))
                 terms.append([dict(zip(("entity", "term", "context"), x, strict=True)) for x in sorted(nearby_terms(t, base, policy.window))])
             table = np.array(counts, np.int64).reshape(-1, len(KINDS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hashes, pa.string()), *(pa.array(table[:, i]) for i in range(len(KINDS))), pa.array(bases, pa.string()), pa.array(entities, held), pa.array(terms, near)],
+                [batch.column(0), pa.array(hashes, pa.string()), *(pa.array(table[:, i]) for i in range(len(KINDS))), pa.array(bases, pa.string()), pa.array(entities, pa.list_(pa.string())), pa.array(terms, near)],
                 ["id", "body_hash", *(f"n_{k}" for k in KINDS), "base", "entities", "near"],
             )
 
     kind = df.schema[key].dataType.simpleString()
-    schema = f"id {kind}, body_hash string, {', '.join(f'n_{k} long' for k in KINDS)}, base string, entities array<struct<entity:string,context:string>>, near array<struct<entity:string,term:string,context:string>>"
+    schema = f"id {kind}, body_hash string, {', '.join(f'n_{k} long' for k in KINDS)}, base string, entities array<string>, near array<struct<entity:string,term:string,context:string>>"
     return df.select(df[key].alias("id"), df[text].alias("text")).mapInArrow(run, schema)
 
 
@@ -187,10 +186,13 @@ def mentions(df: DataFrame, holding: DataFrame, policy: Policy, text: str = "tex
 
 
 def _bits(names: DataFrame, column: str) -> np.ndarray:
-    """FILTER_BITS bits, of which those of the names in column are set."""
-    bits = np.zeros(FILTER_BITS, bool)
-    bits[[r[0] for r in names.select((F.crc32(F.encode(column, "UTF-8")) % FILTER_BITS).cast("int")).distinct().collect()]] = True
-    return np.packbits(bits)
+    """FILTER_BITS bits, of which those of the names in column are set: FILTER_BITS / 64 rows at most come to the driver."""
+    bit = F.crc32(F.encode(column, "UTF-8")) % FILTER_BITS
+    marked = names.select(bit.alias("b"))
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    for word, ones in marked.groupBy(F.expr("cast(b div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))"))).collect():
+        words[word] = ones
+    return np.packbits(np.unpackbits(words.astype("<i8").view(np.uint8), bitorder="little"))
 
 
 def term_counts(df: DataFrame, wanted: DataFrame, copied: DataFrame, most: float, text: str = "text") -> DataFrame:
@@ -245,27 +247,33 @@ def disclosures(df: DataFrame, scanned: DataFrame, policy: Policy, text: str = "
 
     share = PMI(term; entity) / information of the entity = 1 + log(n_pair / n_term) / log(n_rows / n_entity); all four count different
     texts, so that copies neither prove nor disprove anything, and the two may stand anywhere in a text. A pair needs support different
-    contexts: those of the entity in texts where the term is near, and that of the term in each text where it is not.
+    texts, and support different contexts in them: those of the entity in texts where the term is near, and that of the term in each text
+    where it is not. Pairs of fewer texts go before terms are counted over the corpus: what is counted are terms that recur with an entity.
     """
     texts = scanned.groupBy("body_hash").agg(F.count(F.lit(1)).alias("n"))
     n_rows = F.lit(float(texts.count()))
-    held = scanned.select("body_hash", F.explode("entities").alias("m")).select("body_hash", "m.entity", "m.context").distinct()
-    # An entity with fewer contexts than support, over all its texts, has no pair with support.
-    entities = held.groupBy("entity").agg(F.count_distinct("body_hash").alias("n_entity"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= policy.support)
-    holding = cut(held.select("body_hash", "entity").distinct().join(entities.drop("n"), "entity"), "holding")
+    held = scanned.select("body_hash", F.explode("entities").alias("entity")).distinct()
+    # An entity of fewer texts than support has no pair with support.
+    entities = cut(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= policy.support), "entities")
+    holding = cut(held.join(entities, "entity"), "holding")
     found = cut(mentions(df, holding, policy, text), "mentions")
     # n_pair is n_entity at most: pairs with more n_term than this cannot reach the share.
     rarity = F.greatest(n_rows / F.col("n_entity"), F.lit(2.0))
     most = F.col("n_entity") * F.pow(rarity, F.lit(1 - policy.generalise)) * 1.000001
-    counts = term_counts(df, found, texts.filter("n > 1"), holding.agg(F.max(most)).first()[0] or 0.0, text)
-    pairs = cut(found.join(counts, "term").join(holding, "body_hash").filter(F.col("n_term") <= most), "pairs")
-    near = scanned.select("body_hash", F.explode("near").alias("m")).select("body_hash", "m.entity", "m.term", F.col("m.context").alias("near")).distinct()
-    proved = pairs.drop("spans").join(near, ["body_hash", "entity", "term"], "left").groupBy("entity", "term", "n_entity", "n_term")
-    proved = proved.agg(F.count_distinct("body_hash").alias("n_pair"), F.count_distinct(F.coalesce("near", "context")).alias("n")).filter(F.col("n") >= policy.support)
+    together = found.drop("spans").join(holding, "body_hash")
+    recurring = cut(together.groupBy("entity", "term", "n_entity").agg(F.count(F.lit(1)).alias("n_pair")).filter(F.col("n_pair") >= policy.support), "recurring")
+    counts = cut(term_counts(df, recurring, texts.filter("n > 1"), holding.agg(F.max(most)).first()[0] or 0.0, text), "counts")
     share = 1 + F.log(F.col("n_pair") / F.col("n_term")) / F.log(rarity)
-    revealing = proved.select("entity", "term", share.alias("share")).filter(F.col("share") >= policy.generalise)
-    told = pairs.select("body_hash", "entity", "term", "spans").join(revealing, ["entity", "term"]).select("body_hash", "share", F.explode("spans").alias("s"))
-    return told.groupBy("body_hash", F.col("s.start").alias("start"), F.col("s.end").alias("end")).agg(F.max("share").alias("share"))
+    likely = recurring.join(counts, "term").filter(F.col("n_term") <= most).select("entity", "term", share.alias("share")).filter(F.col("share") >= policy.generalise)
+    likely = cut(likely, "likely")
+    pairs = cut(together.join(likely, ["entity", "term"]), "pairs")
+    near = scanned.select("body_hash", F.explode("near").alias("m")).select("body_hash", "m.entity", "m.term", F.col("m.context").alias("near")).distinct()
+    proved = pairs.join(near, ["body_hash", "entity", "term"], "left").groupBy("entity", "term").agg(F.count_distinct(F.coalesce("near", "context")).alias("n"))
+    proved = cut(proved.filter(F.col("n") >= policy.support).select("entity", "term"), "proved")
+    told = pairs.join(proved, ["entity", "term"]).groupBy("body_hash", "term").agg(F.max("share").alias("share"))
+    spans = cut(told.join(found.select("body_hash", "term", "spans"), ["body_hash", "term"]).select("body_hash", "share", F.explode("spans").alias("s")).select("body_hash", "s.start", "s.end", "share"), "spans")
+    drop(entities, holding, found, recurring, counts, likely, pairs, proved)
+    return spans
 
 
 def find_personal(df: DataFrame, policy: Policy = Policy(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -323,6 +331,6 @@ def sanitize(df: DataFrame, policy: Policy = Policy(), key: str = "doc_id", text
 
     body = F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
     rows = df.select(F.struct(*columns).alias("_row"), F.col(key).alias("_key"), body.alias("_own"))
-    joined_rows = rows.join(spans.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    joined_rows = rows.join(spans, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
     row = F.col("_row")
     return joined_rows.select(row[text].alias("_t"), "_base", "_terms", *(row[c].alias(f"c_{c}") for c in columns if c != text)).mapInArrow(masked, df.schema)

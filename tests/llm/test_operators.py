@@ -109,6 +109,63 @@ def test_sanitize_keeps_rows_and_columns(docs, rows):
     same_rows([(r["doc_id"], r["text"], r["_id"], r["_row"]) for r in out.collect()], rows, lambda i, t: (None if t is None else pii.mask(t, brute.joined(brute.personal(t)), [], 1), "u", "w"))
 
 
+def test_one_document_proves_nothing(spark):
+    told = "soon jane@corp.net now. " + "filler " * 20 + "soon again jane@corp.net and now. " + "other " * 20 + "soon for jane@corp.net even now."
+    docs = spark.createDataFrame([(0, told), *((i, f"filler {i}") for i in range(1, 200))], "doc_id long, text string")
+    assert "term" not in pii.digest(pii.find_personal(docs)).orderBy("doc_id").first()["spans"]
+
+
+def test_disclosures_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    names = ["İstanbul", "zorblax", "quux", "ACME", "straße"]
+    people = ["jane@corp.net", "joe@corp.net", "10.1.2.3"]
+    texts = []
+    for i in range(260):
+        w = [f"common{chr(97 + int(x))}" for x in rng.integers(0, 20, 60)] + [chr(97 + i % 26) * (3 + i // 26)]
+        if i % 9 == 0:
+            own_names = [names[:2], names[2:4], names[4:]][who := int(rng.integers(0, 3))]
+            w.insert(int(rng.integers(0, 60)), people[who])
+            for name in own_names:
+                if rng.random() < 0.8:
+                    w.insert(int(rng.integers(0, 60)), name)
+        elif i % 50 == 1:
+            w.insert(5, names[int(rng.integers(2, 5))].upper())
+        texts.append(" ".join(w))
+    texts += texts[:40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    policy = pii.Policy()
+    own, where, contexts = defaultdict(set), defaultdict(set), defaultdict(set)
+    mentions = {}
+    for t in set(texts):
+        base = brute.personal(t)
+        held = [(f"{k}:{t[b:e]}", b, e) for k, b, e in base]
+        terms = defaultdict(list)
+        for term, b, e in pii._outside(t, base):
+            terms[term].append((b, e))
+        mentions[t] = terms
+        for term in terms:
+            where[term].add(t)
+        for entity, b, e in held:
+            own[entity].add(t)
+            near = {x for x, s in terms.items() if any(c >= b - policy.window and d <= e + policy.window for c, d in s)}
+            for term, spans in terms.items():
+                around = [(b, e)] if term in near else spans
+                contexts[entity, term].add(tuple(t[max(0, c - policy.window) : d + policy.window] for c, d in around))
+    n = len(set(texts))
+    expected = {}
+    for t in set(texts):
+        spans = {}
+        for entity in [x for x, s in own.items() if t in s]:
+            for term in mentions[t]:
+                pair = own[entity] & where[term]
+                share = 1 + math.log(len(pair) / len(where[term])) / math.log(max(n / len(own[entity]), 2))
+                if min(len(pair), len(contexts[entity, term])) >= policy.support and share >= policy.generalise:
+                    spans |= {s: max(share, spans.get(s, 0)) for s in mentions[t][term]}
+        expected[t] = sorted((*s, round(x, 9)) for s, x in spans.items())
+    got = {r["doc_id"]: [(s["start"], s["end"], round(s["share"], 9)) for s in r["terms"]] for r in pii.find_personal(docs).collect()}
+    assert got == {i: expected[t] for i, t in enumerate(texts)} and sum(map(len, got.values())) > 40
+
+
 # 3
 
 
@@ -325,7 +382,6 @@ def test_components(spark):
 
 def test_packing(docs, rows):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     expected = []
     for i, t in rows:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -344,6 +400,16 @@ def test_packing(docs, rows):
     assert len(bins) == math.ceil(sum(e[3] for e in expected) / 4096)
 
 
+def test_packing_ids_are_those_of_the_library():
+    tokenizer = Tokenizer.from_file(WORDS)
+    texts = ["hello <|startoftext|> x <|endoftext|> y", "a<|ENDOFTEXT|>b", "<|endoftext|>", "x<|endoftext|><|endoftext|>z", "<|endoftext|", "it's 12 ½ é ß don't", "", "Ünïcode İstanbul ﬁ", "a\x00b\u200bc", "日本 語"]
+    rng = np.random.default_rng(9)
+    letters = ["<|endoftext|>", "<|", "|>", "endoftext", " ", "A", "'s", "\n", "7", "é", "²", "!?", "\xa0", "\u3000", "ß"]
+    texts += ["".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(400)]
+    packed = packing.WordTokenizer(open(WORDS, encoding="utf-8").read()).packed(texts)
+    assert [np.frombuffer(p, "<u4").tolist() for p in packed] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("histogram", [{}, {4096: 3}, {1: 10000}, {3000: 5, 1096: 4, 548: 2}, {2049: 7}, {n: (n * 7919) % 13 for n in range(1, 4097)}])
 def test_bins_hold_all_pieces(histogram):
     combinations = packing.minimum_bin_slack(histogram, 4096)
