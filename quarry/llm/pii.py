@@ -235,9 +235,26 @@ def term_counts(df: DataFrame, wanted: DataFrame, copied: DataFrame, most: float
             terms, counts = pa.array([list(v) for v in full.values()], pa.list_(pa.string())), pa.array([list(v.values()) for v in full.values()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(list(full), pa.string()), terms, counts], ["own", "terms", "counts"])
 
-    # A row for each slice with the counts of texts that have no copy, and one for each text that may have some, of which one stays.
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, int] = {}
+
+        def row() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([list(sums)], pa.list_(pa.string())), pa.array([list(sums.values())], pa.list_(pa.int64()))], ["terms", "counts"])
+            sums.clear()
+            return out
+
+        for batch in batches:
+            for terms, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for term, n in zip(terms, counts, strict=True):
+                    sums[term] = sums.get(term, 0) + n
+                if len(sums) > 100_000:
+                    yield row()
+        yield row()
+
+    # A row for each slice with the counts of texts that have no copy, and one for each text that may have some, of which one stays; a task's rows are
+    # added up before they are taken apart.
     found = df.select(df[text].alias("text")).mapInArrow(run, "own string, terms array<string>, counts array<long>").dropDuplicates(["own"])
-    found = found.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("n_term"))
+    found = found.select("terms", "counts").mapInArrow(merged, "terms array<string>, counts array<long>").select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("n_term"))
     return found.join(wanted.select("term").distinct(), "term")
 
 
