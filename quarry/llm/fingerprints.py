@@ -1,9 +1,11 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A k-mer is a run of k words; characters of scripts without spaces, and of very long words, are words of their own. It is an anchor if the smallest of its inner s-mers, by hash, is its first or its last: whether
-a k-mer is chosen depends on its own words alone, so equal passages have equal anchors wherever they stand. The
-fingerprint is the smallest anchor hashes, a bottom-k sketch; the anchors with their positions are there for
-positional matching.
+A k-mer is a run of k words; characters of scripts without spaces, and of very long words, are words of their own. It is an anchor if the
+smallest of its inner s-mers, by hash, is its first or its last: whether a k-mer is chosen depends on its own words alone, so equal passages
+have equal anchors wherever they stand.
+
+Anchors are matched by position: a link is an anchor, the next one and the words between their places, so two texts share a link where
+both anchors stand at the same distance, that is, where one shift lays one text over the other. The fingerprint is the set of all links.
 """
 
 from __future__ import annotations
@@ -11,107 +13,108 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, S, SKETCH = 5, 2, 64
+K, S = 8, 2
 #: Code points of a word at most; a longer one (base64, minified code) is taken by its characters.
 LONG = 20
-#: Characters of scripts that are written without spaces.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
-#: Documents of neighbouring ids whose texts meet in one window; and buckets of which the next is looked up together.
-NEAR_BITS, FAR_BITS = 8, 10
+#: Characters of scripts that are written without spaces: Thai and Lao, Burmese, Khmer, kana, Han.
+UNSPACED = r"[\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
+#: Rows of a bucket of neighbouring keys, about, and buckets at most; a key of many buckets is split in 64 by text hash.
+ROWS, BUCKETS, SPLIT = 512, 4096, 64
+_FIRST = -(2**63)
 
 
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:
-    """Add out: array of (hash long, pos int) of the closed syncmers of a text, by position.
+    """Add out: array of (hash long, pos int) of the closed syncmers of a text, by position; k is s + 2 at least.
 
     A text of fewer than k words, or of which no k-mer is chosen, has one anchor, all its words; a null text or one without words has none.
     """
     runs, words, inner, count = f"_{out}_r", f"_{out}_w", f"_{out}_s", k - s + 1
     body = F.coalesce(F.col(text), F.lit(""))
-    body = F.when(body.rlike(UNSPACED), F.regexp_replace(body, f"({UNSPACED})", " $1 ")).otherwise(body)
+    unspaced = (F.octet_length(body) > F.length(body)) & body.rlike(UNSPACED)
+    body = F.when(unspaced, F.regexp_replace(body, f"({UNSPACED})", " $1 ")).otherwise(body)
     step = df.withColumn(runs, F.filter(F.split(body, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     short = F.flatten(F.transform(F.col(runs), lambda w: F.when(F.length(w) > LONG, F.split(w, "")).otherwise(F.array(w))))
     some_long = F.exists(F.col(runs), lambda w: F.length(w) > LONG)
-    step = step.withColumn(words, F.transform(F.when(some_long, short).otherwise(F.col(runs)), lambda w: F.xxhash64(w)))
-    step = step.withColumn(inner, F.transform(F.col(words), lambda h, i: F.xxhash64(h, *(F.get(F.col(words), i + j) for j in range(1, s)))))
+    step = step.withColumn(words, F.when(some_long, short).otherwise(F.col(runs)))
+    step = step.withColumn(inner, F.transform(F.col(words), lambda w, i: F.xxhash64(w, *(F.get(F.col(words), i + j) for j in range(1, s)))))
 
-    def chosen(h: Column, i: Column) -> Column:
+    def chosen(_: Column, i: Column) -> Column:
         at = [F.get(F.col(inner), i + j) for j in range(count)]
-        edge = F.least(at[0], at[-1]) <= F.least(*at[1:-1]) if count > 3 else F.least(at[0], at[-1]) <= at[1]
-        whole = F.xxhash64(h, *(F.get(F.col(words), i + j) for j in range(1, k)))
+        edge = F.least(at[0], at[-1]) <= (F.least(*at[1:-1]) if count > 3 else at[1])
+        whole = F.xxhash64(F.slice(F.col(words), i + 1, k))
         return F.when((i <= F.size(F.col(words)) - k) & edge, F.struct(whole.alias("hash"), i.alias("pos")))
 
     few = F.array(F.struct(F.xxhash64(F.col(words)).alias("hash"), F.lit(0).alias("pos")))
-    found = F.filter(F.transform(F.col(words), chosen), lambda a: a.isNotNull())
-    step = step.withColumn(out, found)
+    step = step.withColumn(out, F.filter(F.transform(F.col(inner), chosen), lambda a: a.isNotNull()))
     step = step.withColumn(out, F.when(F.size(F.col(out)) > 0, F.col(out)).when(F.size(F.col(words)) > 0, few).otherwise(F.slice(few, 1, 0)))
     return step.drop(runs, words, inner)
 
 
-def sketch(anchors: Column, size: int = SKETCH) -> Column:
-    """The smallest hashes of anchors, in order."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(anchors, lambda a: a["hash"]))), 1, size)
+def links(anchors: Column) -> Column:
+    """The distinct links of anchors, sorted: hashes of an anchor, the next and their distance; the last anchor is a link by itself."""
+    following = lambda i: F.get(anchors, i + 1)
+    return F.sort_array(F.array_distinct(F.transform(anchors, lambda a, i: F.xxhash64(a["hash"], following(i)["hash"], following(i)["pos"] - a["pos"]))))
 
 
 def as_string(hashes: Column) -> Column:
-    """The hashes in hexadecimal, comma-joined."""
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), ",")
-
-
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Of the smallest hashes of both sketches together, the share that both have: estimates the Jaccard likeness of the anchors.
-
-    Two empty sketches are alike (1), an empty one and another are not (0).
-    """
-    together = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    both = F.size(F.array_intersect(together, F.array_intersect(a, b)))
-    return F.when(F.size(together) == 0, F.lit(1.0)).otherwise(both / F.size(together))
+    """The hashes in hexadecimal, 16 digits each, one after another."""
+    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def matches(a: Column, b: Column) -> Column:
-    """Positional matching: the shifts (position in b less position in a) of anchors that both have, one for each pair of equal anchors."""
-    return F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: y["hash"] == x["hash"]), lambda y: y["pos"] - x["pos"])))
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard likeness of two sets of links: 1 for equal sets only. Two empty sets are alike (1), an empty one and another are not (0)."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def _next_bucket(rows: DataFrame) -> DataFrame:
-    """(bucket, next_bucket) of all buckets in use, ascending; after the last comes the first.
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """Add bucket: rows (order_id, tie) in ascending order have ascending buckets.
 
-    Two levels: neighbours are found inside groups of 2**FAR_BITS buckets, and only one row of each such group meets the
-    other groups.
+    Buckets lie between approximate percentiles of the keys, so sparse keys do as well as dense ones. A key that fills buckets by itself is split by
+    tie. The driver sees BUCKETS numbers at most.
     """
-    buckets = rows.select("bucket").distinct().withColumn("far", F.shiftright("bucket", FAR_BITS))
-    inside = buckets.withColumn("following", F.lead("bucket").over(Window.partitionBy("far").orderBy("bucket")))
-    heads = buckets.groupBy("far").agg(F.min("bucket").alias("head"))
-    order = Window.orderBy("far")
-    heads = heads.select("far", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("next_head"))
-    return inside.join(heads, "far").select("bucket", F.coalesce("following", "next_head").alias("next_bucket"))
+    ids = rows.select("order_id")
+    parts = max(1, min(BUCKETS, ids.count() // ROWS))
+    steps = [i / parts for i in range(1, parts)]
+    bounds = sorted(ids.agg(F.percentile_approx("order_id", steps, 16 * parts)).first()[0] or []) if steps else []
+    hot = sorted({x for x, y in zip(bounds, bounds[1:], strict=False) if x == y})
+    # The smallest long has no literal of its own: it is one less than the next.
+    listed = lambda values: "array(" + ", ".join(f"({x + 1}L - 1L)" for x in values) + ")"
+    place = F.expr(f"size(filter({listed(bounds)}, x -> x <= order_id))") if bounds else F.lit(0)
+    inside = F.when(F.expr(f"array_contains({listed(hot)}, order_id)"), F.shiftright("tie", 58) + SPLIT // 2).otherwise(SPLIT) if hot else F.lit(SPLIT)
+    return rows.withColumn("bucket", (place * (SPLIT + 1) + inside).cast("long"))
+
+
+def _guards(rows: DataFrame) -> DataFrame:
+    """A row for each bucket in use: the first row of the next one in use, after the last of the first. Of one row for each bucket, BUCKETS * SPLIT at most,
+    the order is found in one task; texts are fetched by keys."""
+    heads = rows.groupBy("bucket").agg(F.min(F.struct("order_id", "tie")).alias("head"))
+    order = Window.orderBy("bucket")
+    after = heads.select("bucket", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("head"))
+    keys = F.broadcast(after.select(F.col("bucket").alias("_bucket"), F.col("head.order_id").alias("_id"), F.col("head.tie").alias("_tie")))
+    found = rows.join(keys, (F.col("order_id") == F.col("_id")) & (F.col("tie") == F.col("_tie")))
+    return found.withColumn("bucket", F.col("_bucket")).drop("_bucket", "_id", "_tie").dropDuplicates(["bucket"])
 
 
 def fingerprint_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first of the next row's text by
-    ascending key, then text; after the last row comes the first. A null text is empty; null keys come first;
+    ascending key, then a hash of the text; after the last row comes the first. A null text is empty; null keys come first;
     of equal rows each is the next of another; a table of one row follows itself; an empty table gives no rows; other
-    columns are left out. key is an integer.
+    columns are left out. key is an integer, dense or sparse.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    rows = rows.withColumn("bucket", F.coalesce(F.shiftright("id", NEAR_BITS), F.lit(-(2**62))))
-    buckets = _next_bucket(rows)
-    printed = with_anchors(rows, "body", "anchors").withColumn("print", sketch(F.col("anchors"))).drop("anchors")
-    order = Window.partitionBy("bucket").orderBy(F.col("id").asc_nulls_first(), "body")
-    placed = printed.select(
-        "*",
-        F.row_number().over(order).alias("row"),
-        F.lead(F.struct("body", "print")).over(order).alias("following"),
-    )
-    heads = placed.filter("row = 1").select(F.col("bucket").alias("next_bucket"), F.struct("body", "print").alias("head"))
-    heads = buckets.join(heads, "next_bucket").select("bucket", "head")
-    joined = placed.join(heads.withColumnRenamed("bucket", "_b"), (F.col("bucket") == F.col("_b")) & F.col("following").isNull(), "left")
-    after = joined.select("id", "body", "print", F.coalesce("following", "head").alias("after"), F.length("body").cast("long").alias("n_chars"))
+    rows = _bucketed(rows.withColumns({"order_id": F.coalesce("id", F.lit(_FIRST)), "tie": F.xxhash64("body")}))
+    both = rows.withColumn("guard", F.lit(False)).unionByName(_guards(rows).withColumn("guard", F.lit(True)))
+    printed = with_anchors(both.repartition("bucket"), "body", "anchors").withColumn("print", links(F.col("anchors"))).drop("anchors")
+    order = Window.partitionBy("bucket").orderBy("guard", "order_id", "tie")
+    placed = printed.withColumn("after", F.lead(F.struct("body", "print")).over(order)).filter(~F.col("guard"))
+    counted = placed.select("id", "body", "print", "after", F.length("body").cast("long").alias("n_chars"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = after.withColumn("edited", F.concat(F.substring(F.col("body"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("after.body"), F.lit(1), half)))
+    edited = counted.withColumn("edited", F.concat(F.substring(F.col("body"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("after.body"), F.lit(1), half)))
     slim = edited.select("id", "n_chars", "print", F.col("after.print").alias("next_print"), "edited")
-    done = with_anchors(slim, "edited", "anchors").withColumn("edited_print", sketch(F.col("anchors")))
+    done = with_anchors(slim, "edited", "anchors").withColumn("edited_print", links(F.col("anchors")))
     return done.select(
         F.col("id").cast(df.schema[key].dataType).alias(key),
         "n_chars",

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -289,21 +290,71 @@ def test_fingerprints(docs, rows):
     assert sum(r["near_edited"] > r["near_next"] for r in long) > 0.7 * len(long)
 
 
-def test_syncmers_are_closed_and_context_free(spark):
+def _hash(values, seed=42):
+    """Spark's xxhash64 of strings, longs and ints, one after another."""
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else int(v).to_bytes(8 if not isinstance(v, np.int32) else 4, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (seed >> 63 << 64)
+
+
+def brute_anchors(text, k=fingerprints.K, s=fingerprints.S):
+    words = brute.words(text)
+    inner = [_hash(words[i : i + s]) for i in range(len(words))]
+    closed = [i for i in range(len(words) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
+    return [(_hash(words[i : i + k]), i) for i in closed] or ([(_hash(words), 0)] if words else [])
+
+
+def brute_links(text):
+    a = brute_anchors(text)
+    return {_hash([x, y, np.int32(q - p)]) for (x, p), (y, q) in zip(a, a[1:], strict=False)} | ({_hash([a[-1][0]])} if a else set())
+
+
+def brute_print(text):
+    return "".join(f"{h % 2**64:016X}" for h in sorted(brute_links(text)))
+
+
+def brute_likeness(a, b):
+    x, y = brute_links(a), brute_links(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def check_fingerprints(spark, rows):
+    """Fingerprints and likeness of rows without long words or scripts without spaces, by brute force."""
+    ordered = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], _hash([r[1] or ""])))
+    expected = []
+    for (i, t), (_, u) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        t, u = t or "", u or ""
+        e = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        expected.append((i, len(t), brute.sha(e), brute_print(t), brute_print(e), brute_likeness(t, e), brute_likeness(t, u)))
+    got = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, got)) == Counter(expected)
+
+
+def test_fingerprints_by_brute_force(spark, rows):
+    plain = [(i, t) for i, t in rows if all(len(w) <= fingerprints.LONG for w in brute.words(t))]
+    check_fingerprints(spark, plain)
+    few = [" ".join(f"w{i * 7 + j}" for j in range(n)) for i in range(12) for n in range(12)]
+    check_fingerprints(spark, [(i * (2**55) - 2**62, t) for i, t in enumerate(few)])
+    check_fingerprints(spark, [(None, t) for t in few[:9]] + [(5, t) for t in few[9:30]] + [(6, "a b c")] * 3)
+    check_fingerprints(spark, [(3, "one row only")])
+
+
+def test_fingerprints_with_many_buckets(spark, monkeypatch, rows):
+    monkeypatch.setattr(fingerprints, "ROWS", 4)
+    plain = [(i, t) for i, t in rows if all(len(w) <= fingerprints.LONG for w in brute.words(t))]
+    check_fingerprints(spark, plain)
+    check_fingerprints(spark, [(None, t) for _, t in plain[:30]] + [(-(2**63), "x y")] + [(7, t) for _, t in plain[:40]] + [((i or 0) * 3**30, t) for i, t in plain])
+
+
+def test_syncmers_are_context_free(spark):
     words = [f"w{i * i % 97}" for i in range(300)]
-    texts = [" ".join(words), " ".join(["before", "it", *words]), "a b", ""]
-    df = fingerprints.with_anchors(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", "a")
-    rows = {r["i"]: [(x["hash"], x["pos"]) for x in r["a"]] for r in df.collect()}
-    assert {h for h, _ in rows[0]} <= {h for h, _ in rows[1]} and len(rows[2]) == 1 and rows[3] == []
-    pairs = spark.createDataFrame([tuple(rows[i] for i in (0, 1))], "a array<struct<hash:long,pos:int>>, b array<struct<hash:long,pos:int>>")
-    shifts = Counter(pairs.select(fingerprints.matches(F.col("a"), F.col("b"))).first()[0])
-    assert shifts.most_common(1)[0][0] == 2
-    inner = spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()
-    hashes = [r[0] for r in inner]
-    smers = [r[0] for r in spark.createDataFrame(list(zip(hashes, hashes[1:], strict=False)), "a long, b long").select(F.xxhash64("a", "b")).collect()]
-    count = fingerprints.K - fingerprints.S + 1
-    closed = [i for i in range(len(words) - fingerprints.K + 1) if min(smers[i : i + count]) in (smers[i], smers[i + count - 1])]
-    assert [p for _, p in rows[0]] == closed
+    texts = [" ".join(words), " ".join(["before", "it", *words]), "a b", "", " ".join(words[:150] + ["gap"] * 9 + words[150:])]
+    df = fingerprints.with_anchors(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", "a").withColumn("l", fingerprints.links(F.col("a")))
+    rows = {r["i"]: r for r in df.collect()}
+    assert [[tuple(a) for a in rows[i]["a"]] for i in range(4)] == [brute_anchors(t) for t in texts[:4]]
+    # A shift leaves all links but none or a few at the ends; an insertion breaks those that span it.
+    assert set(rows[0]["l"]) <= set(rows[1]["l"]) and len(set(rows[0]["l"]) - set(rows[4]["l"])) <= 4
 
 
 def test_texts_without_spaces_have_likeness(spark):
@@ -318,8 +369,8 @@ def test_texts_without_spaces_have_likeness(spark):
 def test_texts_with_words_have_an_anchor(spark):
     texts = [" ".join(f"w{i * 7 + j}" for j in range(n)) for i in range(60) for n in (5, 6)]
     df = fingerprints.with_anchors(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", "a")
-    prints = [r[0] for r in df.select(fingerprints.as_string(fingerprints.sketch(F.col("a")))).collect()]
-    assert "" not in prints and len(set(prints)) > 60
+    prints = [r[0] for r in df.select(fingerprints.as_string(fingerprints.links(F.col("a")))).collect()]
+    assert "" not in prints and len(set(prints)) == 120
 
 
 # 7
