@@ -272,6 +272,61 @@ def test_remove_repeats_keeps_rows_and_columns(docs, rows):
     same_rows([(r["doc_id"], r["text"], r["_body"]) for r in out.collect()], rows, expected)
 
 
+def test_factors_are_greedy_matches(spark, docs, rows):
+    texts = defaultdict(list)
+    for i, t in rows:
+        texts[i].append(brute.words(t))
+    got = [tuple(r) for r in substrings.factor_documents(docs).collect()]
+    by = defaultdict(list)
+    for key, start, length, ref, at in got:
+        assert ref is None or ref < key
+        mine, other = texts[key][0], next(w for w in texts[ref] if w[at : at + length] == texts[key][0][start : start + length])
+        # No factor stops short of its match's end.
+        assert start + length == len(mine) or at + length == len(other) or mine[start + length] != other[at + length]
+        by[key].append((start, start + length))
+    for spans in by.values():
+        spans.sort()
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    long = [i for i, t in rows if t and len(t.split()) >= 2990]
+    assert (long[1], 0, 2990, long[0], 0) in got
+
+
+def test_greedy_parse_takes_the_match_that_reaches_furthest():
+    assert substrings.greedy_parse([(0, 100, 1, 7), (40, 160, 2, 0), (90, 200, 3, 5), (230, 260, 4, 0)]) == [(0, 100, 1, 7), (100, 100, 3, 15), (230, 30, 4, 0)]
+    assert substrings.greedy_parse([]) == []
+
+
+def test_anchors_depend_on_their_window_alone():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3, 400)).encode() for _ in range(30)]
+    alone = [substrings.find_anchors(b := substrings.Batch([t]), b.hashes(), 50, 16) for t in texts]
+    b = substrings.Batch(texts)
+    doc, grams, place, first, last = substrings.find_anchors(b, b.hashes(), 50, 16)
+    for i, own in enumerate(alone):
+        mine = doc == i
+        assert (own[1] == grams[mine]).all() and all((x == y[mine] - b.word_from[i]).all() for x, y in zip(own[2:], (place, first, last), strict=True))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_shuffled_between_documents(spark, seed):
+    """Few words, so that windows repeat inside texts, shift and meet at factor boundaries."""
+    import random
+
+    rng = random.Random(seed)
+    pool = [[f"w{rng.randrange(6)}" for _ in range(rng.randint(20, 400))] for _ in range(12)]
+    rows = []
+    for i in range(70):
+        words = []
+        for _ in range(rng.randint(1, 5)):
+            p = rng.choice(pool)
+            a = rng.randrange(len(p))
+            words += p[a : a + rng.randint(1, 300)] + [f"x{rng.randrange(3)}"] * rng.randrange(2)
+        rows.append((rng.randrange(60) if i % 9 == 0 else i, " ".join(words)))
+    gone = brute.removed(rows)
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.digest_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter((i, len(brute.words(t)), sum(gone[i, t])) for i, t in rows)
+
+
 # 6
 
 
