@@ -108,8 +108,8 @@ def frequent_shingles(df: DataFrame, join: Join) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "n"])
 
     counted = df.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n >= 64")
-    top = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    return np.sort(np.array([r["token"] for r in top], np.int64).view(np.uint64))
+    top = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()
+    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def describe(df: DataFrame, join: Join, frequent: np.ndarray) -> DataFrame:
@@ -175,7 +175,7 @@ def check_pairs(df: DataFrame, classes: DataFrame, pairs: DataFrame, join: Join)
 
     wanted = cut(wanted, "wanted")
     near = only_possible(df, "id", wanted, "id")
-    sets = cut(near.join(wanted.hint("shuffle_hash"), "id").select("id", "text").mapInArrow(arrays, "id long, grams binary").distinct(), "sets")
+    sets = cut(near.join(wanted, "id").select("id", "text").mapInArrow(arrays, "id long, grams binary").distinct(), "sets")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,6 +300,40 @@ def _large_tiles(rows: DataFrame, join: Join) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
+def _classes(rows: DataFrame, join: Join) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (id, text): members (id, n, rep) of all rows, classes (rep, n, prefix, sig) of different sets, and tiles (token, rep, n, pos, band) of the
+    prefix shingles that several classes have. All are written; aggregates before they are joined, so that Spark can split hot keys."""
+    described = cut(describe(rows, join, frequent_shingles(rows, join)), "described")
+    named = cut(described.filter("n > 0").groupBy("set").agg(F.min("id").alias("rep")), "named")
+    members = cut(described.select("id", "n", "set").join(named, "set", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
+    own = (F.col("set") == F.col("_set")) & (F.col("id") == F.col("rep"))
+    classes = cut(described.join(named.withColumnRenamed("set", "_set"), own).select("rep", "n", "prefix", "sig").dropDuplicates(["rep", "sig"]), "classes")
+    drop(described, named)
+    tokens = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token"), "shared")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / join.percent)) + F.lit(1e-9)).cast("int")
+    tiles = cut(tokens.join(shared, "token").withColumn("band", band), "tiles")
+    drop(shared)
+    slim = cut(classes.select("rep", "n", "sig"), "slim")
+    drop(classes)
+    return members, slim, tiles
+
+
+def _crossing(placed: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """Candidate pairs (a, b) of classes that share a prefix shingle and have different components. placed: token, rep, n, pos, band, component."""
+    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c")).filter("low != high")
+    mixed = cut(mixed.select("token", F.ceil(F.col("c") / TILE).alias("blocks")), "mixed")
+    apart = cut(placed.join(mixed, "token"), "apart")
+    large = apart.filter("blocks > 1").join(classes.select("rep", "sig"), "rep")
+    crossing = cut(_small_tiles(apart.filter("blocks = 1"), join).union(_large_tiles(large, join)).distinct(), "crossing")
+    drop(mixed, apart)
+    return crossing
+
+
+def _back(column: str) -> Column:
+    return F.when(F.col(column) != NULL_ID, F.col(column))
+
+
 def join_documents(df: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_shingles, component_id: the smallest key that links reach, its own included.
 
@@ -309,40 +343,44 @@ def join_documents(df: DataFrame, join: Join = Join(), key: str = "doc_id", text
     """
     ship_package(df.sparkSession)
     rows = df.select(_ids(df, key).alias("id"), df[text].alias("text"))
-    frequent = frequent_shingles(rows, join)
-    described = cut(describe(rows, join, frequent), "described")
-    named = described.filter("n > 0").groupBy("set").agg(F.min("id").alias("rep"))
-    named = cut(named, "classes")
-    classes = described.join(named.withColumnRenamed("set", "_set"), (F.col("set") == F.col("_set")) & (F.col("id") == F.col("rep"))).select("rep", "n", "prefix", "sig").dropDuplicates(["rep", "sig"])
-
-    tokens = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / join.percent)) + F.lit(1e-9)).cast("int")
-    tiles = cut(tokens.join(shared.select("token"), "token").withColumn("band", band), "tiles")
-    slim = classes.select("rep", "n", "sig")
-
-    leaders = tiles.groupBy("token", "band").agg(F.min(F.struct("rep", "n", "pos")).alias("first"))
+    members, classes, tiles = _classes(rows, join)
+    leaders = cut(tiles.groupBy("token", "band").agg(F.min(F.struct("rep", "n", "pos")).alias("first")), "leaders")
     led = tiles.join(leaders, ["token", "band"]).select(
         F.col("first.rep").alias("a"), F.col("first.n").alias("na"), F.col("first.pos").alias("pa"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")
     )
-    stars = led.filter("a != b").filter(_sizes_fit("na", "nb", join)).filter(_place_fits(join)).select("a", "b").distinct()
-    links = check_pairs(rows, slim, stars, join)
+    stars = cut(led.filter("a != b").filter(_sizes_fit("na", "nb", join)).filter(_place_fits(join)).select("a", "b").distinct(), "stars")
+    drop(leaders)
+    links = check_pairs(rows, classes, stars, join)
+    drop(stars)
     parts = connected_components(links)
 
     placed = tiles.join(parts, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "pos", "band", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c")).filter("low != high")
-    mixed = mixed.select("token", F.ceil(F.col("c") / TILE).alias("blocks"))
-    apart = cut(placed.join(mixed, "token"), "apart")
-    large = apart.filter("blocks > 1").join(slim.select("rep", "sig"), "rep")
-    crossing = _small_tiles(apart.filter("blocks = 1"), join).union(_large_tiles(large, join)).distinct()
-    more = check_pairs(rows, slim, crossing, join)
-    drop(tiles, apart)
+    crossing = _crossing(placed, classes, join)
+    drop(tiles, parts)
+    more = check_pairs(rows, classes, crossing, join)
+    drop(crossing, classes)
     whole = connected_components(links.union(more))
+    drop(links, more)
 
-    members = described.select("id", "n", "set").join(named, "set", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     done = members.join(whole, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
-    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return done.select(back("id").alias(key), F.col("n").alias("n_shingles"), back("component").alias("component_id"))
+    return done.select(_back("id").alias(key), F.col("n").alias("n_shingles"), _back("component").alias("component_id"))
+
+
+def link_classes(df: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, members): all links (a, b), a < b, between classes of equal sets, each named by its smallest key, and (key, n_shingles, class_id) of each row.
+
+    Every pair of classes that links is there once, so the work grows with the number of links between different sets; copies are not expanded.
+    Nulls, repeated rows and texts without words as in join_documents.
+    """
+    ship_package(df.sparkSession)
+    rows = df.select(_ids(df, key).alias("id"), df[text].alias("text"))
+    members, classes, tiles = _classes(rows, join)
+    crossing = _crossing(tiles.withColumn("component", F.col("rep")), classes, join)
+    drop(tiles)
+    links = check_pairs(rows, classes, crossing, join)
+    drop(crossing, classes)
+    named = members.select(_back("id").alias(key), F.col("n").alias("n_shingles"), _back("rep").alias("class_id"))
+    return links.filter("a != b").select(_back("a").alias("a"), _back("b").alias("b")), named
 
 
 def keep_first(df: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -354,5 +392,5 @@ def keep_first(df: DataFrame, join: Join = Join(), key: str = "doc_id", text: st
     first = linked.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first")).distinct()
     once = Window.partitionBy("_key", "_body").orderBy("_body")
     rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_body"))
-    kept = rows.join(first.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_first")), "left_semi")
+    kept = rows.join(first, F.col("_key").eqNullSafe(F.col("_first")), "left_semi")
     return kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_row.*")

@@ -456,6 +456,39 @@ def test_jaccard_with_small_tiles_and_many_classes(spark, monkeypatch):
         same_rows([tuple(r) for r in jaccard.join_documents(docs, jaccard.Join(k, percent)).collect()], rows, lambda i, t: expected[i, t])
 
 
+@pytest.mark.parametrize("tile", [4, 512])
+def test_all_links_between_classes(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    import random
+
+    rng = random.Random(4)
+    base, rows = [f"b{i}" for i in range(40)], []
+    for i in range(90):
+        w = list(base if i % 2 else base[:36])
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(1000)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, t) for i, t in rows[:20]] + [(200, None), (201, "")]
+    sets = {i: frozenset(brute.words(t)) for i, t in rows}
+    first = {}
+    for i, s in sorted(sets.items()):
+        first.setdefault(s, i)
+    named = sorted((i, s) for s, i in first.items() if s)
+    expected = {(i, j) for i, x in named for j, y in named if i < j and 100 * len(x & y) >= 80 * len(x | y)}
+    links, members = jaccard.link_classes(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Join(1, 80))
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and len(got) > 100
+    assert {(r["doc_id"], r["class_id"]) for r in members.collect()} == {(i, first[s] if s else i) for i, s in sets.items()}
+
+
+def test_a_shingle_of_many_classes(spark):
+    """One shingle in 3,000 different sets, no two of which link, and a chain of near copies among them."""
+    rows = [(i, "common " + " ".join(f"u{i}x{j}" for j in range(6))) for i in range(3000)]
+    rows += [(5000 + i, "common " + " ".join(f"c{j}" for j in range(i, i + 30))) for i in range(8)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Join(1, 90)).collect()}
+    assert got == {i: i if i < 5000 else 5000 for i, _ in rows}
+
+
 def test_signatures_never_hide_a_link():
     rng = np.random.default_rng(5)
     join = jaccard.Join(4, 85)
