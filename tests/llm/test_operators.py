@@ -225,10 +225,41 @@ def test_verdict_does_not_depend_on_the_order(rows):
     assert verdicts[0] == verdicts[1] == verdicts[2] and any(verdicts[0]) and not all(verdicts[0])
 
 
-def test_cascade_order_is_rejection_per_cost(docs):
-    measured = [("few_words", 1.0, 0.1), ("repeated_words", 0.1, 0.1), ("symbols", 0.5, 0.0), ("word_length", 0.01, 0.005)]
-    assert [r.name for r in quality.cascade_order(quality.RULES, measured)] == ["repeated_words", "word_length", "few_words", "symbols", "repeated_lines"]
-    assert {n for n, _, _ in quality.estimate(docs, quality.RULES, sample=16)} == {r.name for r in quality.RULES}
+def test_cascade_order_is_rejection_per_cost_of_what_is_left():
+    now = [0.0]
+
+    def rule(name, cost, rejects):
+        def run(f):
+            now[0] += cost * len(f.texts)
+            return np.array([rejects(t) for t in f.texts])
+
+        return quality.Rule(name, run)
+
+    # "ab" rejects most of all but nothing that "a" leaves except b; "never" is cheap and useless.
+    rules = [rule("never", 0.001, lambda t: False), rule("ab", 3.0, lambda t: t in (b"a", b"b")), rule("a", 1.0, lambda t: t == b"a"), rule("c", 1.0, lambda t: t == b"c")]
+    texts = [b"a"] * 60 + [b"b"] * 10 + [b"c"] * 20 + [b"d"] * 10
+    measured = quality.estimate(texts, rules, clock=lambda: now[0])
+    assert [m[0] for m in measured] == ["a", "c", "ab", "never"]
+    assert [round(m[2], 6) for m in measured] == [0.6, 0.5, 0.5, 0.0] and [round(m[1], 6) for m in measured] == [1.0, 1.0, 3.0, 0.001]
+    assert [r.name for r in quality.cascade_order(rules, measured[:2])] == ["a", "c", "never", "ab"]
+    assert quality.estimate([], rules) == []
+
+
+def test_later_rules_do_not_work_on_rejected_texts():
+    seen = []
+    rules = [quality.Rule("long", lambda f: f.n_words > 3), quality.Rule("spy", lambda f: seen.extend(f.texts) or f.n_lines > 1)]
+    assert quality.run_cascade([b"a b c d", b"a", b"a\nb", b""], rules).tolist() == [False, True, False, True] and seen == [b"a", b"a\nb", b""]
+
+
+def test_the_sample_is_drawn_from_all_rows(spark):
+    drawn = quality.sampled(spark.range(0, 20000, 1, 8).selectExpr("cast(id AS string) AS text"), "text", 400)
+    ids = sorted(int(t) for t in drawn)
+    assert 300 < len(ids) < 500 and ids[0] < 1000 and ids[-1] > 19000 and len(quality.sampled(spark.range(9).selectExpr("cast(null AS string) AS text"), "text", 400)) == 9
+
+
+def test_short_texts_stay_without_a_least_length():
+    texts = [b"three clean words", b"", b"12 34 56 78 -- 90", b"word " * 30]
+    assert quality.run_cascade(texts, quality.ANY_LENGTH).tolist() == [True, False, False, False]
 
 
 def test_filter_keeps_what_scores_as_kept(docs):
