@@ -1,8 +1,8 @@
 """Secret scans with multipart credential linking, with DataFrame functions only.
 
 Strong parts (assigned secrets, access identifiers, long hex runs) are reported by themselves. Weak parts (short access identifiers,
-names of keys and clients, long mixed strings, endpoints) are joined by interval with the other parts of their text, and reported only
-where complementary parts stand within a scope of each other.
+names of keys and clients, mixed strings, endpoints) are joined by interval with the other parts of their text, and reported only
+where complementary parts stand side by side within a scope: an identifier or an endpoint with a secret, a secret with either.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import cut
+from quarry.session import cut, drop
 
 #: Code points between two parts that still belong to one credential.
 SCOPE = 200
@@ -18,7 +18,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 NAMED = r"""((?i:access_?key_?id|client_?id|user_?name|account_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]+)"""
-MIXED = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[0-9+/]*[A-Za-z])[A-Za-z0-9+/]{32,}={0,2}"
+MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}"
 ENDPOINT = r"""https?://[^\x20\x09-\x0D"'<>]+"""
 #: Kinds in the order in which spans of one start are listed; what they are a part of.
 STRONG = ["assign", "access", "hex"]
@@ -78,21 +78,32 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _near(parts: DataFrame, others: DataFrame, scope: int) -> DataFrame:
-    """The parts that have one of the others within scope in the same text: an interval join, on the cells that both touch."""
-    cell = lambda low, high: F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope)))
-    a = parts.withColumn("cell", cell(F.col("start") - scope, F.col("end") + scope))
-    b = others.select(F.col("id").alias("_id"), F.col("body_hash").alias("_hash"), F.col("start").alias("_start"), F.col("end").alias("_end"), cell(F.col("start"), F.col("end")).alias("_cell"))
+def _beside(parts: DataFrame, others: DataFrame, scope: int, how: str = "left_semi") -> DataFrame:
+    """The parts that have one of the others within scope in the same text, but not over it: an interval join, on the cells that both touch. With
+    how="left_anti", the parts that lie over none of the others."""
+    width = max(scope, 1)
+    cell = lambda low, high: F.sequence(F.floor(low / width), F.floor(high / width))
+    a = parts.withColumn("cell", F.explode(cell(F.col("start") - scope, F.col("end") + scope)))
+    b = others.select(F.col("id").alias("_id"), F.col("body_hash").alias("_hash"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.explode(cell(F.col("start"), F.col("end"))).alias("_cell"))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("body_hash") == F.col("_hash")) & (F.col("cell") == F.col("_cell"))
-    return a.join(b, same & (F.col("_start") <= F.col("end") + scope) & (F.col("_end") >= F.col("start") - scope), "left_semi").drop("cell").distinct()
+    apart = (F.col("_start") >= F.col("end")) | (F.col("_end") <= F.col("start"))
+    if how == "left_semi":
+        found = a.join(b, same & apart & (F.col("_start") <= F.col("end") + scope) & (F.col("_end") >= F.col("start") - scope), "left_semi")
+        return found.drop("cell").distinct()
+    over = a.join(b, same & ~apart, "left_semi").drop("cell").distinct()
+    return parts.join(over.select("id", "body_hash", "start", "end", "kind"), _same_part(parts, over), "left_anti").distinct()
+
+
+def _same_part(a: DataFrame, b: DataFrame) -> Column:
+    return a["id"].eqNullSafe(b["id"]) & (a["body_hash"] == b["body_hash"]) & (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["kind"] == b["kind"])
 
 
 def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """Per row: key, base (strong spans) and linked (weak spans with their complements near): arrays of (start, rank, kind, end).
 
     A null text is empty and has no spans; equal rows get equal spans; a null key is kept; an empty table gives no rows; other
-    columns are left out. Weak access identifiers need a secret within scope, weak secrets an access identifier,
-    endpoints both.
+    columns are left out. Weak access identifiers and endpoints need a secret within scope, weak secrets an access identifier or an endpoint. Parts that lie over each
+    other do not complement each other, and a mixed string over an identifier or a strong part is no weak secret.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     step = df.select(F.col(key).alias("id"), body.alias("body"))
@@ -104,16 +115,20 @@ def find_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", scope:
     full = lambda a: F.when(F.size(a) > 0, a)
     step = step.withColumns({"access": full(fits(True)), "weak_access": full(F.concat(F.coalesce(fits(False), F.array().cast("array<struct<start:bigint,end:bigint>>")), F.coalesce("named", F.array().cast("array<struct<start:bigint,end:bigint>>"))))})
     any_access = F.col("access").isNotNull() | F.col("weak_access").isNotNull()
-    step = with_spans(step, "body", MIXED, "weak_secret", when=any_access)
+    any_address = F.contains(F.col("body"), F.lit("://"))
+    step = with_spans(step, "body", MIXED, "weak_secret", when=any_access | any_address)
     any_secret = F.col("assign").isNotNull() | F.col("hex").isNotNull() | F.col("weak_secret").isNotNull()
-    step = with_spans(step, "body", ENDPOINT, "endpoint", when=any_access & any_secret)
+    step = with_spans(step, "body", ENDPOINT, "endpoint", when=any_address & any_secret)
     found = cut(step.select("id", F.xxhash64("body").alias("body_hash"), *STRONG, *WEAK), "secrets")
 
     parts = found.filter(F.coalesce(*WEAK).isNotNull()).select("id", "body_hash", F.explode(_listed([*STRONG, *WEAK], {k: F.col(k) for k in [*STRONG, *WEAK]})).alias("s")).select("id", "body_hash", "s.*")
-    access, secret = parts.filter(F.col("kind").isin("access", "weak_access")), parts.filter(F.col("kind").isin("assign", "hex", "weak_secret"))
-    linked = _near(parts.filter("kind = 'weak_access'"), secret, scope)
-    linked = linked.union(_near(parts.filter("kind = 'weak_secret'"), access, scope))
-    linked = linked.union(_near(_near(parts.filter("kind = 'endpoint'"), access, scope), secret, scope))
+    parts = cut(parts.distinct(), "parts")
+    kinds = lambda *names: parts.filter(F.col("kind").isin(*names))
+    mixed = cut(_beside(kinds("weak_secret"), kinds(*STRONG, "weak_access"), 0, "left_anti"), "mixed")
+    secret = kinds("assign", "hex").union(mixed)
+    linked = _beside(kinds("weak_access", "endpoint"), secret, scope)
+    linked = cut(linked.union(_beside(mixed, kinds("access", "weak_access", "endpoint"), scope)), "linked")
+    drop(parts, mixed)
     grouped = linked.groupBy(F.col("id").alias("_id"), F.col("body_hash").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("linked"))
     joined = found.join(grouped, F.col("id").eqNullSafe(F.col("_id")) & (F.col("body_hash") == F.col("_hash")), "left")
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
