@@ -22,6 +22,8 @@ from quarry.sources.fetch import FetchPolicy, live_fetch
 from quarry.sources.files import seeds
 
 MODES = {"1": 1, "2": 2}
+#: Where a local scan is written if no file is named.
+DEFAULT_OUTFILE = "scanner.log"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -83,7 +85,7 @@ def plan_of(settings: Settings, args: argparse.Namespace) -> CrawlPlan:
 
 
 def policy_of(settings: Settings) -> FetchPolicy:
-    return FetchPolicy(settings.headers, settings.timeout, settings.follow_redirects, settings.proxy, settings.max_concurrent_per_domain, settings.min_request_interval, settings.max_connections)
+    return FetchPolicy(settings.headers, settings.timeout, settings.follow_redirects, settings.proxy, settings.max_concurrent_per_domain, settings.min_request_interval, settings.max_connections, settings.max_keepalive_connections)
 
 
 def show(result: CrawlResult, starts, args: argparse.Namespace, ranges) -> str:
@@ -94,8 +96,8 @@ def show(result: CrawlResult, starts, args: argparse.Namespace, ranges) -> str:
         out.append(reports.text_report(parents, "URLs from", "parent", "lines", depth=True))
         out.append(reports.text_report(reports.children_by_parent(result.edges, result.nodes, "js", ranges), "JS from", "parent", "lines"))
     else:
-        out.append(reports.text_report(reports.urls_per_domain(result.edges, result.nodes, starts, "url", ranges), "URL from", "bucket", "lines"))
-        out.append(reports.text_report(reports.urls_per_domain(result.edges, result.nodes, starts, "js", ranges), "JS from", "bucket", "lines"))
+        out.append(reports.domain_report(reports.urls_per_domain(result.edges, result.nodes, starts, "url", ranges), "URL from"))
+        out.append(reports.domain_report(reports.urls_per_domain(result.edges, result.nodes, starts, "js", ranges), "JS from"))
     domains = [r[0] for r in reports.found_domains(result.edges).orderBy("netloc").toLocalIterator()]
     out.append("\n{} Domains:\n{}\n".format(len(domains), "\n".join(domains)))
     if not args.hide_regex:
@@ -117,8 +119,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.local:
             found = reports.secrets_by(local_scan(spark, args.local, settings.rules, settings.engine), "path")
             text = reports.text_report(found, "Secrets found in", "path", "secrets", "No secrets found.\n")
-            if args.outfile:
-                write_text(text, args.outfile)
+            write_text(text, args.outfile or DEFAULT_OUTFILE)
             print(text)
             return 0
         starts = seeds(spark, args.url, args.url_file)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.text import strip
 from quarry.schemas import URL_PARTS
 
 SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -18,15 +19,8 @@ UNUSABLE = (
 )
 # End of the fixed values.
 STATIC = r"\.(" + "|".join(STATIC_EXTENSIONS) + r")(\?|\z)"
-#: Suffixes of two labels under which names are registered; of others the last label counts.
-DOUBLE_SUFFIXES = [
-    *(f"{s}.uk" for s in ("co", "org", "gov", "ac", "me", "net", "ltd", "plc", "sch")),
-    *(f"{s}.cn" for s in ("com", "net", "org", "gov", "edu", "ac")),
-    *(f"{s}.{c}" for c in ("au", "br", "tw", "hk", "sg", "tr", "mx", "ar", "my", "pe", "co", "ve", "ua", "pl") for s in ("com", "net", "org", "gov", "edu")),
-    *(f"{s}.jp" for s in ("co", "or", "ne", "ac", "go", "ad", "ed", "gr", "lg")),
-    *(f"{s}.kr" for s in ("co", "or", "ne", "ac", "go", "re")),
-    *(f"{s}.{c}" for c in ("nz", "za", "il", "in", "id", "th") for s in ("co", "org", "net", "ac", "gov")),
-]
+#: Suffixes of two labels under which names are registered: a common label before any country, and some countries' own; of others the last label counts.
+DOUBLE_SUFFIX = r"^(?:(?:co|com|net|org|gov|gob|gouv|go|edu|ac|or|ne|mil|ltd|plc|sch|nom)\.[a-z]{2}|me\.uk|(?:ad|ed|gr|lg)\.jp|re\.kr|id\.au|asn\.au|gen\.nz|geek\.nz|web\.za|law\.za|firm\.in|web\.id|in\.th)$"
 
 
 def url_parts(url: Column) -> Column:
@@ -64,8 +58,8 @@ def host_port(netloc: Column) -> Column:
     pieces = F.split(netloc, ":", -1)
     n = F.size(pieces)
     return F.struct(
-        F.when(n == 1, netloc).when(n == 2, F.trim(F.get(pieces, F.lit(0)))).otherwise("").alias("host"),
-        F.when(n == 2, F.trim(F.get(pieces, F.lit(1)))).otherwise("").alias("port"),
+        F.when(n == 1, netloc).when(n == 2, strip(F.get(pieces, F.lit(0)))).otherwise("").alias("host"),
+        F.when(n == 2, strip(F.get(pieces, F.lit(1)))).otherwise("").alias("port"),
     )
 
 
@@ -74,7 +68,7 @@ def root_domain(host: Column) -> Column:
     labels = F.split(host, r"\.", -1)
     n = F.size(labels)
     last = lambda k: F.array_join(F.slice(labels, -k, k), ".")
-    double = (n >= 3) & F.lower(last(2)).isin(DOUBLE_SUFFIXES)
+    double = (n >= 3) & F.lower(last(2)).rlike(DOUBLE_SUFFIX)
     return F.when(host.rlike(IP) | (n < 2), F.concat(host, F.lit("."))).when(double, last(3)).otherwise(last(2))
 
 

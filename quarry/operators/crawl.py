@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.errors import CrawlError
 from quarry.functions.status import links_wanted, unknown_status
+from quarry.functions.text import strip
 from quarry.functions.urls import url_parts
 from quarry.operators.extract import extract_secrets, titles
 from quarry.operators.filters import domain_filter, is_dangerous
 from quarry.operators.links import extract_links
 from quarry.rules import DANGEROUS_PATHS, DEFAULT_RULES, Rule, link_rules, loaded
-from quarry.session import cut
+from quarry.session import cut, drop
 
 #: urls(url) -> (url, status, content_type, content_length, body); a url without a row, or with a null status, failed.
 Fetch = Callable[[DataFrame], DataFrame]
@@ -69,11 +71,11 @@ def first_parents(edges: DataFrame) -> DataFrame:
     return edges.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("child", "parent", "depth")
 
 
-def bfs_depths(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
-    """(node, depth) of the nodes within `most` steps of the seeds, over edges (parent, child)."""
+def bfs_depths(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, depth) of the nodes within `most` steps of the seeds, or of all that they reach, over edges (parent, child)."""
     level = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "level")
     seen = level
-    for depth in range(1, most + 1):
+    for depth in count(1) if most is None else range(1, most + 1):
         step = level.join(edges, level["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct()
         level = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "level")
         if level.isEmpty():
@@ -101,7 +103,7 @@ def crawl(seeds: DataFrame, fetch: Fetch, plan: CrawlPlan) -> CrawlResult:
     wanted: Column = plan.wanted(netloc) if plan.wanted else domain_filter(netloc, plan.allow, plan.deny)
     find_secrets = plan.find_secrets or (lambda df, text: extract_secrets(df, text, plan.rules, plan.engine))
     find_links = plan.find_links or (lambda df, base, text: extract_links(df, base, text, plan.links))
-    frontier = cut(seeds.select(F.trim("url").alias("url")).filter("url != ''").distinct().filter(wanted).withColumn("depth", F.lit(0)), "frontier")
+    frontier = cut(seeds.select(strip(F.col("url")).alias("url")).filter("url != ''").distinct().filter(wanted).withColumn("depth", F.lit(0)), "frontier")
     visited = frontier
     nodes: list[DataFrame] = []
     edges: list[DataFrame] = []
@@ -128,6 +130,7 @@ def crawl(seeds: DataFrame, fetch: Fetch, plan: CrawlPlan) -> CrawlResult:
         depth += 1
         children = found.select(F.col("child").alias("url")).filter(wanted)
         frontier = cut(frontier_after(children, visited).withColumn("depth", F.lit(depth)), "frontier")
+        drop(chosen)
         visited = visited.union(frontier)
     spark = seeds.sparkSession
     empty_edges = spark.createDataFrame([], "parent string, child string, kind string")

@@ -12,36 +12,79 @@ from pyspark.sql import types as T
 from quarry.schemas import ELEMENT
 from quarry.session import ship_package
 
-Element = dict
+_VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+#: Elements that end where the next of their kind begins, and those inside which they may begin anew.
+_ENDS_BEFORE = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "p": (("p",), ("table", "blockquote", "div", "li", "td", "th", "section", "article")),
+    "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)), "tr": (("tr",), ("table",)), "option": (("option",), ("select",)),
+}
+
+
+class Element(dict):
+    """tag and attrs, of which repeated ones count by their last; text, with that of the elements inside, is put together when it is asked for."""
+
+    def __init__(self, tag: str, attrs: list[tuple[str, str | None]], pieces: list[str]):
+        super().__init__(tag=tag, attrs={k: v or "" for k, v in attrs})
+        self._pieces, self._first, self._end = pieces, len(pieces), None
+
+    def __missing__(self, key: str) -> str:
+        if key != "text":
+            raise KeyError(key)
+        self["text"] = "" if self["tag"] in ("html", "body") else "".join(self._pieces[self._first : self._end])
+        return self["text"]
+
+    def close(self) -> None:
+        self._end = len(self._pieces)
 
 
 class _Tree(HTMLParser):
-    """Elements with their attributes and text; of repeated attributes the last counts."""
+    """Elements of a page, in time that grows with the page. Text is kept once, in pieces; an element knows its first and last. Open elements are found by their tags."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.elements: list[Element] = []
+        self.pieces: list[str] = []
         self.open: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+
+    def _last(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _shut(self, place: int) -> None:
+        """Close the open elements from a place on."""
+        while len(self.open) > place:
+            element = self.open.pop()
+            self.places[element["tag"]].pop()
+            element.close()
 
     def handle_starttag(self, tag, attrs):
-        element = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "text": ""}
+        if tag in _ENDS_BEFORE:
+            before, inside = _ENDS_BEFORE[tag]
+            last = self._last(before)
+            if last > self._last(inside):
+                self._shut(last)
+        element = Element(tag, attrs, self.pieces)
         self.elements.append(element)
-        if tag not in ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"):
+        if tag in _VOID:
+            element.close()
+        else:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(element)
 
     def handle_startendtag(self, tag, attrs):
-        self.elements.append({"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "text": ""})
+        self.elements.append(element := Element(tag, attrs, self.pieces))
+        element.close()
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i]["tag"] == tag:
-                del self.open[i:]
-                break
+        if self.places.get(tag):
+            self._shut(self.places[tag][-1])
 
     def handle_data(self, data):
-        for element in self.open:
-            if element["tag"] not in ("html", "body"):
-                element["text"] += data
+        self.pieces.append(data)
+
+    def close(self):
+        super().close()
+        self._shut(0)
 
 
 def elements(html: str | None) -> list[Element]:
@@ -52,14 +95,26 @@ def elements(html: str | None) -> list[Element]:
     return tree.elements
 
 
+class _References(HTMLParser):
+    """Distinct link targets of a page."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: dict[str, None] = {}
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("a", "link", "script"):
+            value = dict(attrs).get("src" if tag == "script" else "href", "\0")
+            if value != "\0" and (tag != "script" or (value or "").endswith(".js")):
+                self.found[value or ""] = None
+
+
 def references(html: str | None) -> list[str]:
     """Distinct link targets of a page: href of a and link, src of script that ends in .js."""
-    found = {}
-    for e in elements(html):
-        value = e["attrs"].get("src" if e["tag"] == "script" else "href")
-        if value is not None and (e["tag"] in ("a", "link") or e["tag"] == "script" and value.endswith(".js")):
-            found[value] = None
-    return list(found)
+    parser = _References()
+    parser.feed(html or "")
+    parser.close()
+    return list(parser.found)
 
 
 def html_references(df: DataFrame, html: str, out: str = "href") -> DataFrame:
@@ -95,7 +150,7 @@ def dom_elements(df: DataFrame, html: str, choose: Callable[[list[Element]], lis
                 found = choose(elements(page))
                 if found is not None:
                     row.append(i)
-                    picked.append([e | {"attrs": list(e["attrs"].items())} for e in found])
+                    picked.append([{"tag": e["tag"], "attrs": list(e["attrs"].items()), "text": e["text"]} for e in found])
             take = pa.array(row, pa.int64())
             columns = [batch.column(batch.schema.get_field_index(c)).take(take) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(picked, kind)], [*kept, out])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.errors import HandlerError
 from quarry.functions.patterns import UNICODE
+from quarry.functions.text import strip, unescape
 from quarry.rules import Rule
 
 ENGINES = ("groups", "first", "whole")
@@ -56,9 +57,9 @@ def rule_hits(df: DataFrame, text: str, rules: list[Rule], dialect: str = UNICOD
 
 
 def titles(html: Column) -> Column:
-    """All titles of a page, on one line each, joined by a bar. Entities stay as they are written."""
+    """All titles of a page, on one line each, without white space at their ends, joined by a bar; entities are resolved."""
     found = F.regexp_extract_all(html, F.lit(r"(?is)<title(?:\s[^>]*)?>(.*?)</title>"), F.lit(1))
-    return F.array_join(F.transform(found, lambda t: F.trim(F.regexp_replace(t, r"[\r\n]", " "))), "|")
+    return F.array_join(F.transform(found, lambda t: strip(F.regexp_replace(unescape(t), r"[\r\n]", " "))), "|")
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -40,15 +40,22 @@ def children_by_parent(edges: DataFrame, nodes: DataFrame, kind: str = "url", ra
 
 
 def urls_per_domain(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, kind: str = "url", ranges: Ranges = None) -> DataFrame:
-    """(bucket, n, lines) by registered domain of the seeds, Other for the rest; a bucket stays with 0 if the status filter shows none of it."""
+    """(bucket, line): distinct lines by registered domain of the seeds, Other for the rest; a bucket of which the status filter shows nothing has one row without
+    a line. A row for each line, as Other may hold most of a crawl."""
     domain = lambda u: root_domain(host_port(url_parts(F.col(u))["netloc"])["host"])
     roots = seeds.select(domain("url").alias("bucket")).distinct().withColumn("known", F.lit(True))
     own = edges.filter(F.col("kind") == kind)
     urls = own.select(F.col("child").alias("url")).union(own.select("parent")).distinct()
     placed = urls.withColumn("bucket", domain("url")).join(roots, "bucket", "left").withColumn("bucket", F.when(F.col("known"), F.col("bucket")).otherwise("Other"))
     lines = placed.join(_formatted(nodes, ranges).select("url", "shown", "line"), "url", "left").select("bucket", F.when(F.col("shown"), F.col("line")).alias("line")).distinct()
-    grouped = lines.groupBy("bucket").agg(F.count("line").alias("n"), F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"))
-    return grouped.orderBy(F.col("bucket") == "Other", "bucket")
+    shown = lines.filter("line is not null")
+    empty = lines.select("bucket").distinct().join(shown.select("bucket").distinct(), "bucket", "left_anti")
+    return shown.union(empty.withColumn("line", F.lit(None).cast("string")))
+
+
+def domain_counts(rows: DataFrame) -> DataFrame:
+    """(bucket, n): how many lines each bucket of urls_per_domain has."""
+    return rows.groupBy("bucket").agg(F.count("line").alias("n"))
 
 
 def found_domains(edges: DataFrame) -> DataFrame:
@@ -88,3 +95,15 @@ def text_report(grouped: DataFrame, head: str, key: str, lines: str, empty: str
         status = f" [{row['status'] or 'Unknown'}]" if "status" in grouped.columns else ""
         out.append(f"\n{row['n']} {head} {row[key]}{status}{f' (depth:{row['depth']})' if depth else ''}:\n{row[lines]}\n")
     return "".join(out) or empty
+
+
+def domain_report(rows: DataFrame, head: str) -> str:
+    """urls_per_domain as text, Other last. Lines come to the driver one after another, sorted; counts are one for each registered domain of the seeds."""
+    counts = {r["bucket"]: r["n"] for r in domain_counts(rows).collect()}
+    out, before = [], None
+    for row in rows.orderBy(F.col("bucket") == "Other", "bucket", "line").toLocalIterator():
+        if row["bucket"] != before:
+            out.append(("\n" if out else "") + f"\n{counts[row['bucket']]} {head} {row['bucket']}:")
+            before = row["bucket"]
+        out.append(f"\n{row['line'] or ''}")
+    return "".join(out) + ("\n" if out else "")

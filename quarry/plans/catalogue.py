@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +17,8 @@ from quarry.operators.scan import local_scan as scan_files
 from quarry.plans import sql
 from quarry.rules import DANGEROUS_PATHS, LEGACY_RULES, PROSE_RULES, Rule, link_rules, loaded
 from quarry.schemas import URL_PARTS
+from quarry.session import cut, shared_dir
+from quarry.sources.files import seeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,7 +27,8 @@ ORACLE_SQL: dict[str, str] = {}
 RULES = loaded(PROSE_RULES)
 ALLOW, DENY = ["*.example.com", "m.*"], ["blog.*", "*.th??th*.org", "spam-farm.[!a-d]xample.org"]
 RANGES = st.parse_status("200,300-399")
-DEPTH = 5
+#: More steps than any way through the link graph of our tables takes: the SQL form needs a bound, ours stops when nothing new is reached.
+DEPTH = 64
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -85,9 +87,13 @@ def page_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_secrets(_table(spark, sf_dir, "pages"), "html", RULES, dialect=ASCII)
 
 
-@query("conversation_secrets", f"SELECT DISTINCT conv_id, role, type, data FROM ({sql.matches('conversations', 'conv_id, role', 'text', RULES)})")
+#: Prose rarely holds secrets; a rule for the long words that end a sentence finds something in every conversation.
+_SAID = [*RULES, Rule("Last Word", r"([a-z]{6,})\.")]
+
+
+@query("conversation_secrets", f"SELECT DISTINCT conv_id, role, type, data FROM ({sql.matches('conversations', 'conv_id, role', 'text', _SAID)})")
 def conversation_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.extract_secrets(_table(spark, sf_dir, "conversations").select("conv_id", "role", "text"), "text", RULES, dialect=ASCII)
+    found = extract.extract_secrets(_table(spark, sf_dir, "conversations").select("conv_id", "role", "text"), "text", _SAID, dialect=ASCII)
     return found.distinct()
 
 
@@ -126,7 +132,8 @@ def rule_crossjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.rule_hits(_table(spark, sf_dir, "documents"), "text", RULES, ASCII)
 
 
-_TITLES = r"array_to_string([trim(regexp_replace(x, '[\r\n]', ' ', 'g')) for x in regexp_extract_all(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title>', 1)], '|')"
+_ENTITY = "replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_TITLES = rf"array_to_string([regexp_replace(regexp_replace({_ENTITY}, '[\r\n]', ' ', 'g'), '^\s+|\s+$', '', 'g') for x in regexp_extract_all(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title>', 1)], '|')"
 
 
 @query("page_titles", f"SELECT page_id, {_TITLES} AS title FROM pages")
@@ -299,9 +306,9 @@ _NODES = f"(SELECT child AS url, {sql.CHILD_STATUS} AS status FROM (SELECT DISTI
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of the pages, and a derived script for each."""
+    """Links of the pages, and a derived script for each: written once, as reports read them several times."""
     scripts = _table(spark, sf_dir, "pages").select(F.col("url").alias("parent"), F.expr(sql.SCRIPT).alias("child"), F.lit("js").alias("kind"))
-    return regex_links(spark, sf_dir).select(F.col("base").alias("parent"), "child", "kind").union(scripts).distinct()
+    return cut(regex_links(spark, sf_dir).select(F.col("base").alias("parent"), "child", "kind").union(scripts).distinct(), "edges")
 
 
 def _nodes(edges: DataFrame) -> DataFrame:
@@ -357,7 +364,7 @@ def _root_sql(table: str, url: str) -> str:
 
 
 _PER_DOMAIN = (
-    f"SELECT bucket, count(line) AS n, coalesce(string_agg(line, chr(10) ORDER BY line), '') AS lines FROM (SELECT DISTINCT coalesce(s.root, 'Other') AS bucket, n.line FROM {_root_sql(f'(SELECT child AS url FROM {_EDGES} WHERE kind = {sql.quoted('url')} UNION SELECT parent FROM {_EDGES} WHERE kind = {sql.quoted('url')})', 'url')} u"
+    f"SELECT bucket, unnest(CASE WHEN count(line) = 0 THEN [NULL] ELSE list(line) FILTER (WHERE line IS NOT NULL) END) AS line FROM (SELECT DISTINCT coalesce(s.root, 'Other') AS bucket, n.line FROM {_root_sql(f'(SELECT child AS url FROM {_EDGES} WHERE kind = {sql.quoted('url')} UNION SELECT parent FROM {_EDGES} WHERE kind = {sql.quoted('url')})', 'url')} u"
     f" LEFT JOIN (SELECT DISTINCT root FROM {_root_sql(_SEEDS, 'url')}) s ON u.root = s.root LEFT JOIN (SELECT url, CASE WHEN {sql.shown('status', None)} THEN {_LINE} END AS line FROM {_NODES}) n ON u.url = n.url) GROUP BY bucket"
 )
 
@@ -371,11 +378,16 @@ def urls_per_root_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Crawl
 
 
-@query("seeds_distinct", "SELECT DISTINCT trim(url) AS url FROM (SELECT url FROM pages UNION ALL SELECT '  ' || url || ' ' FROM pages) WHERE trim(url) <> ''")
+_SEED = "https://seed.example.org/start"
+
+
+@query("seeds_distinct", f"SELECT DISTINCT trim(url) AS url FROM (SELECT url FROM pages UNION ALL SELECT '  ' || url || ' ' FROM pages UNION ALL SELECT {sql.quoted(_SEED)}) WHERE trim(url) <> ''")
 def seeds_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    both = pages.select("url").union(pages.select(F.concat(F.lit("  "), F.col("url"), F.lit(" "))))
-    return both.select(F.trim("url").alias("url")).filter("url != ''").distinct()
+    both = pages.select("url").union(pages.select(F.concat(F.lit("  "), F.col("url"), F.lit(" \t"))))
+    path = f"{shared_dir(spark).rstrip('/')}/quarry-seeds-{uuid.uuid4().hex}"
+    both.write.text(path)
+    return seeds(spark, f" {_SEED} ", path)
 
 
 @query("fetch_join", f"SELECT s.url, p.status FROM (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT url || '/none' FROM pages)) s LEFT JOIN (SELECT url, min(status) AS status FROM {_PAGES} GROUP BY url) p ON s.url = p.url")
@@ -415,11 +427,11 @@ def first_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "bfs_depth",
-    f"WITH RECURSIVE e AS (SELECT DISTINCT * FROM {_GRAPH}), w(node, depth) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT e.child, w.depth + 1 FROM w JOIN e ON e.parent = w.node WHERE w.depth < {DEPTH}) SELECT node, min(depth) AS depth FROM w GROUP BY node",
+    f"WITH RECURSIVE e AS (SELECT DISTINCT * FROM {_GRAPH}), w(node, depth) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e.child, w.depth + 1 FROM w JOIN e ON e.parent = w.node WHERE w.depth < {DEPTH}) SELECT node, min(depth) AS depth FROM w GROUP BY node",
 )
 def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = spark.createDataFrame([(0,)], "node long")
-    return crawling.bfs_depths(_graph(spark, sf_dir), start, DEPTH).select("node", F.col("depth").cast("long").alias("depth"))
+    return crawling.bfs_depths(_graph(spark, sf_dir), start).select("node", F.col("depth").cast("long").alias("depth"))
 
 
 _FINDINGS = f"(SELECT DISTINCT url, type, data FROM ({sql.matches('pages', 'page_id, url', 'html', RULES)}))"
@@ -459,25 +471,45 @@ def validate_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawling.validate(pages.select("url", "status"), crawling.pages_fetch(answers))
 
 
-@query("crawl_pages")
+_FETCHED = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM {_PAGES}) WHERE rn = 1 AND NOT regexp_matches({sql.parts('url')['path']}, '/?({'|'.join(DANGEROUS_PATHS)})', 'i'))"
+_CRAWLED = f"(SELECT base AS parent, child FROM ({_REGEX_LINKS}\nUNION\n{_DOM_LINKS}) l WHERE kind = 'url' AND page_id IN (SELECT page_id FROM {_FETCHED} WHERE {_KIND} LIKE 'text/%' OR ({_KIND} LIKE 'application/%' AND {_KIND} NOT IN ('application/octet-stream', 'application/pdf'))))"
+
+
+@query(
+    "crawl_pages",
+    f'SELECT w.url AS "URL", coalesce(n.title, \'\') AS "Title", coalesce(n.status, \'Unknown\') AS "Response Code", CAST(coalesce(n.content_length, -1) AS BIGINT) AS "Content Length", coalesce(n.content_type, \'\') AS "Content Type", coalesce(s.secrets, \'\') AS "Secrets"'
+    f" FROM (SELECT parent AS url FROM {_CRAWLED} UNION SELECT child FROM {_CRAWLED} UNION SELECT url FROM {_FETCHED}) w"
+    f" LEFT JOIN (SELECT url, {_TITLES} AS title, status, coalesce(try_cast(content_length AS INTEGER), -1) AS content_length, content_type FROM {_FETCHED}) n ON w.url = n.url"
+    f" LEFT JOIN (SELECT url, string_agg(s, chr(10) ORDER BY s) AS secrets FROM (SELECT DISTINCT url, type || ': ' || data AS s FROM ({sql.matches(_FETCHED, 'url', 'html', RULES)})) GROUP BY url) s ON w.url = s.url",
+)
 def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crawl of all pages as its seeds; what they link to is fetched from the table as well."""
-    pages = _pages(spark, sf_dir).withColumnRenamed("html", "body")
-    plan = crawling.CrawlPlan(rules=RULES, max_depth=1, max_pages=0)
+    """A crawl of all pages as its seeds; what they link to is asked for in the table as well."""
+    once = Window.partitionBy("url").orderBy("page_id")
+    pages = _pages(spark, sf_dir).withColumnRenamed("html", "body").withColumn("_n", F.row_number().over(once)).filter("_n = 1")
+    find_links = lambda df, base, text: links.extract_links(df, base, text, dialect=ASCII)
+    plan = crawling.CrawlPlan(rules=RULES, max_depth=1, max_pages=0, find_links=find_links)
     done = crawling.crawl(pages.select("url"), crawling.pages_fetch(pages.select("url", "status", "content_type", "content_length", "body")), plan)
-    return reports.csv_rows(done.nodes, done.edges, done.findings, done.fetched)
+    rows = reports.csv_rows(done.nodes, done.edges, done.findings, done.fetched)
+    return rows.withColumn("Content Length", F.col("Content Length").cast("long"))
 
 
-@query("dom_elements")
+@query(
+    "dom_elements",
+    "SELECT page_id, url, CAST(n AS BIGINT) AS n, regexp_extract(a, '<a\\s[^>]*?href=\"([^\"]*)\"', 1) AS href, replace(regexp_extract(a, '(?s)>(.*)</a>$', 1), '&amp;', '&') AS text"
+    " FROM (SELECT page_id, url, unnest(found) AS a, generate_subscripts(found, 1) AS n FROM (SELECT page_id, url, regexp_extract_all(html, '(?s)<a\\s.*?</a>') AS found FROM pages))",
+)
 def dom_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.dom_elements(_table(spark, sf_dir, "pages"), "html", lambda found: [e for e in found if e["tag"] == "a"])
+    """The anchors of each page, with their place, target and text."""
+    found = dom.dom_elements(_table(spark, sf_dir, "pages"), "html", lambda found: [e for e in found if e["tag"] == "a"])
+    each = found.select("page_id", "url", F.posexplode("elements").alias("n", "e"))
+    return each.select("page_id", "url", (F.col("n") + 1).cast("long").alias("n"), F.col("e.attrs")["href"].alias("href"), "e.text")
 
 
-@query("local_scan")
+@query("local_scan", f"SELECT DISTINCT doc_id // 100 AS folder, type, data FROM ({sql.matches('documents', 'doc_id', 'text', RULES)})")
 def local_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scan of a small folder of files, which is made for it."""
-    folder = Path(tempfile.mkdtemp(prefix="quarry-scan-"))
-    (folder / "sub" / ".hidden").mkdir(parents=True)
-    (folder / "a.txt").write_text("write to someone@mail.example.com, token = \"" + "0a" * 20 + "\"")
-    (folder / "sub" / ".hidden" / "b").write_bytes(b"\xff\xfe password=abc123\r\n10.0.0.1")
-    return scan_files(spark, str(folder), RULES)
+    """A scan of the texts of documents as files, which are written for it: a folder for every hundred ids."""
+    folder = f"{shared_dir(spark).rstrip('/')}/quarry-scan-{uuid.uuid4().hex}"
+    texts = _table(spark, sf_dir, "documents").select("text", F.floor(F.col("doc_id") / 100).alias("folder"))
+    texts.repartition("folder").write.partitionBy("folder").text(folder)
+    found = scan_files(spark, folder.removeprefix("file://"), RULES)
+    return found.select(F.regexp_extract("path", "folder=([0-9]+)", 1).cast("long").alias("folder"), "type", "data").distinct()

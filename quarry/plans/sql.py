@@ -67,9 +67,8 @@ def port(netloc: str) -> str:
 
 def root(name: str) -> str:
     labels = f"string_split({name}, '.')"
-    double = ", ".join(quoted(s) for s in urls.DOUBLE_SUFFIXES)
     last = lambda k: f"array_to_string({labels}[-{k}:], '.')"
-    return f"CASE WHEN regexp_matches({name}, {quoted(urls.IP)}) OR len({labels}) < 2 THEN {name} || '.' WHEN len({labels}) >= 3 AND lower({last(2)}) IN ({double}) THEN {last(3)} ELSE {last(2)} END"
+    return f"CASE WHEN regexp_matches({name}, {quoted(urls.IP)}) OR len({labels}) < 2 THEN {name} || '.' WHEN len({labels}) >= 3 AND regexp_matches(lower({last(2)}), {quoted(urls.DOUBLE_SUFFIX)}) THEN {last(3)} ELSE {last(2)} END"
 
 
 def static(path: str) -> str:

@@ -26,25 +26,28 @@ class Rule:
 DEFAULT_RULES = [
     Rule("Swagger", r'\b[\w/]+?((swagger-ui.html)|(\"swagger\":)|(Swagger UI)|(swaggerUi)|(swaggerVersion))\b'),
     Rule("ID Card", r"\b((\d{8}(0\d|10|11|12)([0-2]\d|30|31)\d{3})|(\d{6}(18|19|20)\d{2}(0[1-9]|10|11|12)([0-2]\d|30|31)\d{3}(\d|X|x)))\b"),
-    Rule("Phone", r"""['\"](1(3([0-35-9]\d|4[1-8])|4[14-9]\d|5([\d]\d|7[1-79])|66\d|7[2-35-8]\d|8\d{2}|9[89]\d)\d{7})['\"]"""),
+    Rule("Phone", r"""['"](1(3([0-35-9]\d|4[1-8])|4[14-9]\d|5([\d]\d|7[1-79])|66\d|7[2-35-8]\d|8\d{2}|9[89]\d)\d{7})['"]"""),
     Rule("JS Map", r"\b([\w/]+?\.js\.map)"),
     Rule("URL as a Value", r"(\b\w+?=(https?)(://|%3a%2f%2f))", False),
-    Rule("Email", r"""['\"]([\w]+(?:\.[\w]+)*@(?:[\w](?:[\w-]*[\w])?\.)+[\w](?:[\w-]*[\w])?)['\"]"""),
+    Rule("Email", r"""['"]([\w]+(?:\.[\w]+)*@(?:[\w](?:[\w-]*[\w])?\.)+[\w](?:[\w-]*[\w])?)['"]"""),
     Rule("Internal IP", r"[^0-9]((127\.0\.0\.1)|(10\.\d{1,3}\.\d{1,3}\.\d{1,3})|(172\.((1[6-9])|(2\d)|(3[01]))\.\d{1,3}\.\d{1,3})|(192\.168\.\d{1,3}\.\d{1,3}))"),
     Rule("Cloud Key", r"\b((accesskeyid)|(accesskeysecret)|\b(LTAI[a-z0-9]{12,20}))\b"),
     Rule("Shiro", r"(=deleteMe|rememberMe=)"),
-    Rule("Suspicious API Key", r"""[\"'][0-9a-zA-Z]{32}['\"]"""),
-    Rule("Jwt", r"""['\"](ey[A-Za-z0-9_-]{10,}\.[A-Za-z0-9._-]{10,}|ey[A-Za-z0-9_\/+-]{10,}\.[A-Za-z0-9._\/+-]{10,})['\"]"""),
+    Rule("Suspicious API Key", r"""["'][0-9a-zA-Z]{32}['"]"""),
+    Rule("Jwt", r"""['"](ey[A-Za-z0-9_-]{10,}\.[A-Za-z0-9._-]{10,}|ey[A-Za-z0-9_\/+-]{10,}\.[A-Za-z0-9._\/+-]{10,})['"]"""),
 ]
 #: The older pack: unquoted phones and addresses, all rules loaded, no Jwt.
 LEGACY_RULES = [
-    DEFAULT_RULES[0],
+    Rule("Swagger", r'\b[\w/]+?((swagger-ui.html)|(\"swagger\":)|(Swagger UI)|(swaggerUi)|(swaggerVersion))\b'),
     Rule("ID Card", r"\b((\d{8}(0\d|10|11|12)([0-2]\d|30|31)\d{3}\$)|(\d{6}(18|19|20)\d{2}(0[1-9]|10|11|12)([0-2]\d|30|31)\d{3}(\d|X|x)))\b"),
     Rule("Phone", r"\b((?:(?:\+|00)86)?1(?:(?:3[\d])|(?:4[5-79])|(?:5[0-35-9])|(?:6[5-7])|(?:7[0-8])|(?:8[\d])|(?:9[189]))\d{8})\b"),
-    DEFAULT_RULES[3],
+    Rule("JS Map", r"\b([\w/]+?\.js\.map)"),
     Rule("URL as a Value", r"(\b\w+?=(https?)(://|%3a%2f%2f))"),
     Rule("Email", r"\b(([a-z0-9][_|\.])*[a-z0-9]+@([a-z0-9][-|_|\.])*[a-z0-9]+\.([a-z]{2,}))\b"),
-    *DEFAULT_RULES[6:10],
+    Rule("Internal IP", r"[^0-9]((127\.0\.0\.1)|(10\.\d{1,3}\.\d{1,3}\.\d{1,3})|(172\.((1[6-9])|(2\d)|(3[01]))\.\d{1,3}\.\d{1,3})|(192\.168\.\d{1,3}\.\d{1,3}))"),
+    Rule("Cloud Key", r"\b((accesskeyid)|(accesskeysecret)|\b(LTAI[a-z0-9]{12,20}))\b"),
+    Rule("Shiro", r"(=deleteMe|rememberMe=)"),
+    Rule("Suspicious API Key", r"""["'][0-9a-zA-Z]{32}['"]"""),
 ]
 URL_FIND = [
     r"""["'‘“`]\s{0,6}(https{0,1}:[-a-zA-Z0-9()@:%_\+.~#?&//={}]{2,250}?)\s{0,6}["'‘“`]""",

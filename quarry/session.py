@@ -33,9 +33,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that driver and executors share")
         found = getattr(spark.sparkContext, "_quarry_shared", None) or tempfile.mkdtemp(prefix="quarry-shared-")
         spark.sparkContext._quarry_shared = found
     return found

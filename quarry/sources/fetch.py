@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import http.client
 import threading
 import time
-import urllib.error
-import urllib.request
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from urllib.parse import urlsplit
+from urllib.parse import quote, urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +20,12 @@ from quarry.schemas import PAGE
 from quarry.session import ship_package
 
 
+#: Characters of a path or query that are sent as they are.
+_AS_IT_IS = "%/:=&?~#+!$,;'@()*[]|"
+#: Answers of an Arrow batch, and code points of their bodies, about.
+FLUSH_ROWS, FLUSH_BYTES = 64, 4 << 20
+
+
 @dataclass(frozen=True)
 class FetchPolicy:
     """How pages are asked for."""
@@ -32,10 +37,11 @@ class FetchPolicy:
     per_domain: int = 5
     interval: float = 0.2
     connections: int = 100
+    keepalive: int = 50
 
     def __post_init__(self):
-        if self.per_domain < 1 or self.connections < 1:
-            raise ConfigError("a fetch needs at least one connection")
+        if self.per_domain < 1 or self.connections < 1 or self.keepalive < 0:
+            raise ConfigError("a fetch needs at least one connection, and keeps none or some")
         if self.interval < 0:
             raise ConfigError("the interval between requests is negative")
 
@@ -62,37 +68,97 @@ class RateLimiter:
             return work()
 
 
-class _Stay(urllib.request.HTTPRedirectHandler):
-    def redirect_request(self, *args):
-        return None
+class Connections:
+    """Requests over connections that are kept open for the next request to the same host, `keepalive` idle ones at most."""
+
+    REDIRECTS = 20
 
+    def __init__(self, policy: FetchPolicy):
+        import ssl
 
-def _get(url: str, policy: FetchPolicy) -> tuple[str, str | None, str | None, str] | None:
-    """(status, content type, content length, body), or None if there is no response at all."""
-    import ssl
+        self.policy = policy
+        self.context = ssl.create_default_context()
+        self.context.check_hostname, self.context.verify_mode = False, ssl.CERT_NONE
+        self._lock = threading.Lock()
+        self._idle: list[tuple[tuple, http.client.HTTPConnection]] = []
+
+    def _open(self, scheme: str, host: str, port: int | None) -> http.client.HTTPConnection:
+        secure = {"context": self.context} if scheme == "https" else {}
+        kind = http.client.HTTPSConnection if scheme == "https" else http.client.HTTPConnection
+        if not self.policy.proxy:
+            return kind(host, port, timeout=self.policy.timeout, **secure)
+        proxy = urlsplit(self.policy.proxy)
+        made = kind(proxy.hostname, proxy.port, timeout=self.policy.timeout, **secure)
+        if scheme == "https":
+            made.set_tunnel(host, port or 443)
+        return made
+
+    def _take(self, key: tuple) -> http.client.HTTPConnection | None:
+        with self._lock:
+            for i in range(len(self._idle) - 1, -1, -1):
+                if self._idle[i][0] == key:
+                    return self._idle.pop(i)[1]
+        return None
 
-    context = ssl.create_default_context()
-    context.check_hostname, context.verify_mode = False, ssl.CERT_NONE
-    handlers: list = [urllib.request.HTTPSHandler(context=context)]
-    handlers.append(urllib.request.ProxyHandler({"http": policy.proxy, "https": policy.proxy} if policy.proxy else {}))
-    if not policy.follow_redirects:
-        handlers.append(_Stay())
-    opener = urllib.request.build_opener(*handlers)
-    try:
+    def _keep(self, key: tuple, connection: http.client.HTTPConnection) -> None:
+        with self._lock:
+            self._idle.append((key, connection))
+            over = self._idle[: max(0, len(self._idle) - self.policy.keepalive)]
+            del self._idle[: len(over)]
+        for _, old in over:
+            old.close()
+
+    def ask(self, url: str) -> tuple[http.client.HTTPResponse, bytes]:
+        """One request, without redirects. A kept connection that the host has closed meanwhile is replaced once."""
+        parts = urlsplit(url)
+        if parts.scheme not in ("http", "https") or not parts.hostname:
+            raise ValueError(f"not a page's address: {url}")
+        target = quote(parts.path or "/", safe=_AS_IT_IS) + (f"?{quote(parts.query, safe=_AS_IT_IS)}" if parts.query else "")
+        if self.policy.proxy and parts.scheme == "http":
+            target = f"http://{parts.netloc}{target}"
+        key = (parts.scheme, parts.hostname, parts.port)
+        kept = self._take(key)
+        for connection in (kept, None) if kept else (None,):
+            connection = connection or self._open(*key)
+            try:
+                connection.request("GET", target, headers=self.policy.headers)
+                answer = connection.getresponse()
+                raw = answer.read()
+            except (http.client.HTTPException, OSError):
+                connection.close()
+                if connection is kept:
+                    continue
+                raise
+            if answer.will_close:
+                connection.close()
+            else:
+                self._keep(key, connection)
+            return answer, raw
+        raise AssertionError
+
+    def get(self, url: str) -> tuple[str, str | None, str | None, str] | None:
+        """(status, content type, content length, body), or None if there is no response at all."""
         try:
-            answer = opener.open(urllib.request.Request(url, headers=policy.headers), timeout=policy.timeout)
-        except urllib.error.HTTPError as error:
-            answer = error
-        with answer:
+            for _ in range(self.REDIRECTS):
+                answer, raw = self.ask(url)
+                to = answer.getheader("Location")
+                if not (self.policy.follow_redirects and to and answer.status in (301, 302, 303, 307, 308)):
+                    break
+                url = urljoin(url, to)
             charset = answer.headers.get_content_charset() or "utf-8"
-            raw = answer.read()
             try:
                 body = raw.decode(charset, "replace")
             except LookupError:
                 body = raw.decode("utf-8", "replace")
-            return str(answer.status), answer.headers.get("Content-Type"), answer.headers.get("Content-Length"), body
-    except Exception:  # any failure of a request is a page without a response
-        return None
+            return str(answer.status), answer.getheader("Content-Type"), answer.getheader("Content-Length"), body
+        except Exception:  # any failure of a request is a page without a response
+            return None
+
+    def close(self) -> None:
+        with self._lock:
+            idle, self._idle = self._idle, []
+        for _, connection in idle:
+            connection.close()
 
 
 def live_fetch(policy: FetchPolicy):
@@ -102,14 +168,28 @@ def live_fetch(policy: FetchPolicy):
         ship_package(urls.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            limiter = RateLimiter(policy.per_domain, policy.interval)
+            limiter, connections = RateLimiter(policy.per_domain, policy.interval), Connections(policy)
+            rows: list[tuple] = []
+            size = 0
+
+            def flush() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(PAGE.names))], PAGE.names)
+                rows.clear()
+                return out
+
             with ThreadPoolExecutor(policy.connections) as pool:
                 for batch in batches:
                     asked = batch.column(0).to_pylist()
-                    answers = pool.map(lambda u: limiter.run((urlsplit(u).hostname or u).lower(), lambda: _get(u, policy)), asked)
+                    answers = pool.map(lambda u: limiter.run((urlsplit(u).hostname or u).lower(), lambda: connections.get(u)), asked)
                     for url, got in zip(asked, answers, strict=True):
-                        status, kind, length, body = got or (None, None, None, None)
-                        yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (url, status, kind, length, body)], PAGE.names)
+                        rows.append((url, *(got or (None,) * 4)))
+                        size += len(got[3]) if got else 0
+                        if size > FLUSH_BYTES or len(rows) >= FLUSH_ROWS:
+                            size = 0
+                            yield flush()
+            connections.close()
+            if rows:
+                yield flush()
 
         dealt = urls.select("url").distinct().withColumn("_d", rate_domain(F.col("url"))).repartition("_d").select("url")
         return dealt.mapInArrow(run, PAGE)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.errors import CrawlError, ScanError
+from quarry.functions.text import strip
 from quarry.schemas import FILE
 from quarry.session import ship_package
 
@@ -50,5 +51,5 @@ def seeds(spark: SparkSession, url: str | None = None, file: str | None = None)
         raise CrawlError("a url or a file of urls is needed")
     found = spark.createDataFrame([(url.strip(),)] if url else [], "url string")
     if file:
-        found = found.union(spark.read.text(file).select(F.trim("value").alias("url")))
+        found = found.union(spark.read.text(file).select(strip(F.col("value")).alias("url")))
     return found.filter("url != ''").distinct()

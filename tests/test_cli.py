@@ -47,6 +47,7 @@ def test_cli_scan_and_crawl(spark, tree, capsys, monkeypatch):
     (tree / "d" / "one.txt").write_text('"a@b.net" \'13273487666\'')
     assert main(["-l", str(tree / "d"), "-o", str(tree / "out.txt")], spark) == 0
     assert "2 Secrets found in" in (tree / "out.txt").read_text()
+    assert main(["-l", str(tree / "d")], spark) == 0 and (tree / "scanner.log").read_text() == (tree / "out.txt").read_text()
     site = tree / "site"
     site.mkdir()
     (site / "index.html").write_text('<title>T</title><a href="x.html">x</a><link href="delete"/><script src="1.js"></script>')
@@ -67,6 +68,63 @@ def test_cli_scan_and_crawl(spark, tree, capsys, monkeypatch):
         server.shutdown()
 
 
+def test_connections_are_kept_and_redirects_followed():
+    from http.server import BaseHTTPRequestHandler
+
+    from quarry.sources.fetch import Connections
+
+    opened = []
+
+    class Site(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def setup(self):
+            super().setup()
+            opened.append(1)
+
+        def do_GET(self):
+            to = {"/old": "/new%20place", "/loop": "/loop"}.get(self.path)
+            body = b"" if to else f"at {self.path} \xe9".encode("latin-1")
+            self.send_response(302 if to else 200)
+            if to:
+                self.send_header("Location", to)
+            self.send_header("Content-Type", "text/plain; charset=latin-1")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("localhost", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        host = f"http://localhost:{server.server_port}"
+        kept = Connections(FetchPolicy())
+        assert [kept.get(f"{host}/{i}")[3] for i in range(3)] == [f"at /{i} é" for i in range(3)] and len(opened) == 1
+        assert kept.get(f"{host}/old")[3] == "at /new%20place é" and kept.get(f"{host}/a b?q=ü")[3] == "at /a%20b?q=%C3%BC é" and len(opened) == 1
+        assert kept.get(f"{host}/loop")[0] == "302" and kept.get("ftp://x/") is None and kept.get("http://localhost:1/") is None
+        kept._idle[0][1].sock.close()
+        assert kept.get(f"{host}/again")[0] == "200" and len(opened) == 2
+        kept.close()
+        assert Connections(FetchPolicy(follow_redirects=False)).get(f"{host}/old")[0] == "302"
+        alone = Connections(FetchPolicy(keepalive=0))
+        assert alone.get(f"{host}/x") and alone.get(f"{host}/y") and not alone._idle and len(opened) == 5
+        through = Connections(FetchPolicy(proxy=host))
+        assert through.get("http://other.host/p")[3] == "at http://other.host/p é"
+    finally:
+        server.shutdown()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quarry.session import shared_dir
+
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://host:7077")))
+
+
 def test_settings_layers(tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     (tmp_path / "s.yml").write_text(default_yaml() + "max_depth: 7\n")

@@ -56,8 +56,13 @@ def test_reports(spark, fetch):
     done = run(spark, fetch)
     rows = {r["URL"]: r for r in reports.csv_rows(done.nodes, done.edges, done.findings, done.fetched).collect()}
     assert rows["http://s.net/"]["Secrets"] == "Bare Email: me@mail.net" and rows["http://s.net/logout"]["Response Code"] == "Unknown"
-    buckets = {r["bucket"]: r["n"] for r in reports.urls_per_domain(done.edges, done.nodes, seeds(spark, "http://s.net/")).collect()}
-    assert buckets == {"s.net": 4, "Other": 1}
+    lines = reports.urls_per_domain(done.edges, done.nodes, seeds(spark, "http://s.net/"))
+    assert {r["bucket"]: r["n"] for r in reports.domain_counts(lines).collect()} == {"s.net": 4, "Other": 1}
+    shown = reports.domain_report(lines, "URL from")
+    assert shown.index("4 URL from s.net:") < shown.index("http://s.net/a [200]") < shown.index("1 URL from Other:\nhttp://other.org/ [Unknown]")
+    none = reports.urls_per_domain(done.edges, done.nodes, seeds(spark, "http://s.net/"), "url", [(900, 901)])
+    assert {r["bucket"]: r["n"] for r in reports.domain_counts(none).collect()} == {"s.net": 0, "Other": 0}
+    assert reports.domain_report(none, "URL from") == "\n0 URL from s.net:\n\n\n0 URL from Other:\n\n"
     assert "2 URLs from http://s.net/" in reports.text_report(reports.children_by_parent(done.edges, done.nodes, "url"), "URLs from", "parent", "lines")
     assert reports.text_report(reports.secrets_by(done.findings.limit(0), "url"), "x", "url", "secrets", "No secrets found.\n") == "No secrets found.\n"
 

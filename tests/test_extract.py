@@ -62,9 +62,9 @@ def test_no_rules_and_no_engine(spark):
 
 
 def test_titles(spark):
-    pages = [PAGE, "<TITLE>x</TITLE><title lang=en>y\r</title>", "none", None]
+    pages = [PAGE, "<TITLE>x</TITLE><title lang=en>y\r</title>", "none", None, "<title>\t&nbsp; a &amp;amp; b&#228;&#x1F600;&eacute;&nope; & c;&lt;\u3000\x85\n</title>", "<title>&#0;&#xD800;&#1114112;x</title>"]
     rows = spark.createDataFrame(list(enumerate(pages)), "i int, h string")
-    assert [r[0] for r in rows.orderBy("i").select(extract.titles(rows["h"])).collect()][:3] == ["A B", "x|y", ""]
+    assert [r[0] for r in rows.orderBy("i").select(extract.titles(rows["h"])).collect()] == ["A B", "x|y", "", None, "a &amp; bä\U0001f600é&nope; & c;<", "\ufffd\ufffd\ufffdx"]
 
 
 def test_dom_references():
@@ -72,6 +72,33 @@ def test_dom_references():
     assert dom.references("xxxxxx") == [] and dom.references(None) == []
 
 
+@pytest.mark.parametrize("unit", ["<li>some words of text here", "<b>bold ", "<p>par<a href='x'>link", "<div>", "</x><i>", "<td>c<tr>", "<ul><li>a", "<option>o"])
+def test_dom_of_large_pages_with_open_elements(unit):
+    """Time grows with the page, not with its square."""
+    import time
+
+    page = "<ul><table>" + unit * (1_000_000 // len(unit))
+    began = time.perf_counter()
+    n = len(dom.elements(page))
+    assert dom.references(page) == (["x"] if "href" in unit else [])
+    assert n > 50_000 // len(unit) and time.perf_counter() - began < 12
+
+
+def test_open_elements_end_where_the_next_begins():
+    texts = [(e["tag"], e["text"]) for e in dom.elements("<ul><li>a<li>b<ul><li>c</ul>d<li>e</ul><p>x<b>y<p>z<table><tr><td>1<td>2<tr><td>3</table>w")]
+    assert texts == [("ul", "abcde"), ("li", "a"), ("li", "bcd"), ("ul", "c"), ("li", "c"), ("li", "e"), ("p", "xy"), ("b", "y"), ("p", "z123w"), ("table", "123"), ("tr", "12"), ("td", "1"), ("td", "2"), ("tr", "3"), ("td", "3")]
+
+
+def test_rules_are_those_users_run():
+    """Values written out, as they stand in users' settings."""
+    values = {r.name: r.regex for r in DEFAULT_RULES}
+    assert values["Suspicious API Key"] == "[\"'][0-9a-zA-Z]{32}['\"]"
+    assert values["Phone"] == "['\"](1(3([0-35-9]\\d|4[1-8])|4[14-9]\\d|5([\\d]\\d|7[1-79])|66\\d|7[2-35-8]\\d|8\\d{2}|9[89]\\d)\\d{7})['\"]"
+    assert values["Email"] == "['\"]([\\w]+(?:\\.[\\w]+)*@(?:[\\w](?:[\\w-]*[\\w])?\\.)+[\\w](?:[\\w-]*[\\w])?)['\"]"
+    assert values["Jwt"] == "['\"](ey[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9._-]{10,}|ey[A-Za-z0-9_\\/+-]{10,}\\.[A-Za-z0-9._\\/+-]{10,})['\"]"
+    assert not any('\\"' in r.regex for r in DEFAULT_RULES + LEGACY_RULES if r.name != "Swagger")
+
+
 def test_links_are_resolved(spark):
     df = spark.createDataFrame([("https://base.org/dir/page", PAGE)], "base string, html string")
     found = {r["url"]: r["kind"] for r in links.dom_links(df, "base", "html").collect()}
