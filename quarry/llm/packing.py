@@ -41,7 +41,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.added, self.folded = [t.content for t in added], [t.content.lower() for t in added if t.normalized]
         self.known: dict[str, bytes] = {}
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values(), default=0) + 1, bool)
@@ -63,7 +64,7 @@ class WordTokenizer:
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         # An added token in a text is one id, whatever stands around it: such texts go to the tokenizer whole.
-        special = lambda t: any(a in t or a in t.lower() for a in self.added)
+        special = lambda t: any(a in t for a in self.added) or any(a in t.lower() for a in self.folded)
         cuts = [None if _OTHER.search(t) or special(t) else _WORDS.findall(t.lower()) for t in texts]
         known, missing = self.known, set()
         for words in cuts:
