@@ -85,6 +85,6 @@ def shard_documents(df: DataFrame, tree: list[Shard], key: str = "doc_id", text:
         shard_of(keys, tree).alias("shard"),
         shard_of(keys, grown(tree)).alias("grown_shard"),
     )
-    light = df.select(key, shard_of(keys, tree).alias("shard"))
-    ranked = gapless_rank(placed, "shard", [key], "slot", counted=light)
+    # Slots go by key and text, so that a key of many rows is split.
+    ranked = gapless_rank(placed, "shard", [key, "text_crc32", "size"], "slot", counted=placed.select(key, "text_crc32", "size", "shard"))
     return ranked.select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")

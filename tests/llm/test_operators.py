@@ -700,6 +700,32 @@ def test_empty_tables(empty):
     assert secrets.digest(secrets.find_secrets(empty)).count() == 0
 
 
+def test_a_key_of_many_rows_is_split(spark):
+    """Rows without a key, a third of all, do not come to one bucket."""
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "concat('text ', id) AS text")
+    got = sharding.shard_documents(rows, sharding.even_tree(16)).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 3000 and all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) >= 1000
+
+
+def test_very_long_texts(spark, tmp_path):
+    """Texts of a megabyte and more: prose, one word, digits, marks, one line again and again, no spaces, beside short ones."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(n))) for n in rng.integers(2, 10, 5000)]
+    prose = " ".join(vocabulary[int(i)] for i in rng.integers(0, 5000, 200_000))
+    texts = [prose, prose[:600_000] + " end " + prose[600_000:], "a" * 1_000_000, "0123456789" * 60_000, "<|$#" * 100_000, "the same line\n" * 80_000, "\u4e2d\u6587" * 150_000, "key=\"" * 100_000, "a@b.c " * 100_000, " " * 1_000_000, "x y", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name, query in registry.QUERIES.items():
+        rows = query(spark, str(tmp_path)).collect()
+        assert {r["doc_id"] for r in rows} == set(range(len(texts))), name
+        if name.startswith("op5"):
+            assert {r["doc_id"]: r["n_removed"] for r in rows}[1] > 190_000
+        if name.startswith("op7"):
+            assert {r["doc_id"]: r["component_id"] for r in rows}[1] == 0
+
+
 def test_registered_queries_cover_whole_tables(spark, tables, rows):
     for name, query in registry.QUERIES.items():
         n = query(spark, tables).select("doc_id").distinct().count()
