@@ -14,6 +14,7 @@ it left over, as no earlier one has the window, so nothing is missed.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,7 +148,10 @@ def find_matches(own: np.ndarray, hits: np.ndarray, pieces: dict[tuple[int, int]
     found = set()
     for i, j in zip(edges[:-1].tolist(), (edges[1:] - 1).tolist(), strict=True):
         d, low, high = int(shift[i]), int(place[i]) - block, int(place[j]) + span + block
-        for begin, words in pieces.get((int(ref[i]), int(body[i])), ()):
+        stretches = pieces.get((int(ref[i]), int(body[i])), [])
+        for begin, words in stretches[max(0, bisect_right(stretches, low + d, key=lambda s: s[0]) - 1) :]:
+            if begin - d >= high:
+                break
             a, b = max(low, 0, begin - d), min(high, len(own), begin + len(words) - d)
             if b - a >= anchor:
                 same = np.zeros(b - a + 2, np.int8)
