@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from quarry.llm.words import slices
 from quarry.session import cut, ship_package
 
 CAPACITY = 4096
-#: Words whose ids a task remembers; beyond it, it forgets all and starts again.
-REMEMBERED = 400_000
+#: Words whose ids a task remembers; beyond it, it forgets all and starts again. Of them, a worker keeps so many for its next task.
+REMEMBERED, KEPT = 400_000, 200_000
 #: Text of these characters only is lower-cased and cut into words here as the tokenizer file says; other text goes to the tokenizer whole.
 _OTHER = re.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xff]")
 _WORDS = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
@@ -61,6 +62,11 @@ class WordTokenizer:
             else:
                 self.known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(group, encode(group, add_special_tokens=False), strict=True))
 
+    def trim(self) -> None:
+        """Keep the words that came first, as frequent ones do."""
+        for word in list(islice(self.known, KEPT, None)):
+            del self.known[word]
+
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         # An added token in a text is one id, whatever stands around it: such texts go to the tokenizer whole.
@@ -122,7 +128,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = C
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
-        encoder.known.clear()
+        encoder.trim()
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, df[text].alias("text")).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
