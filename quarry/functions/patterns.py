@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from re import _constants as op
+from re import _parser as reader
+
 #: As Python reads a pattern without case: Unicode classes, and a dot that stops at a line feed only.
 UNICODE = "(?iUd)"
 #: The same for patterns of ASCII classes, which other engines read alike.
@@ -32,3 +36,34 @@ def glob_to_regex(glob: str) -> str:
         else:
             out.append(c if c.isalnum() or c == "_" or ord(c) > 127 else "\\" + c)
     return r"\A(?s:" + "".join(out) + r")\z"
+
+
+def _runs(pattern) -> list[str]:
+    """Strings of characters without case that each match of a parsed pattern holds."""
+    out, run = [], ""
+
+    def end() -> None:
+        nonlocal run
+        out.append(run)
+        run = ""
+
+    for code, value in pattern:
+        if code is op.LITERAL and chr(value).lower() == chr(value).upper():
+            run += chr(value)
+        elif code is not op.AT:
+            end()
+            if code is op.SUBPATTERN:
+                out += _runs(value[3])
+            elif code in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT) and value[0] > 0:
+                out += _runs(value[2])
+            elif code is op.ATOMIC_GROUP:
+                out += _runs(value)
+    end()
+    return out
+
+
+@lru_cache(maxsize=4096)
+def required(regex: str) -> str:
+    """A string that every match of a pattern holds, whatever the case of letters; empty if none is known. A text without it needs no matching: looking for
+    a plain string is many times cheaper."""
+    return max(_runs(reader.parse(regex)), key=len, default="")

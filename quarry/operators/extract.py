@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.errors import HandlerError
-from quarry.functions.patterns import UNICODE
+from quarry.functions.patterns import UNICODE, required
 from quarry.functions.text import strip, unescape
 from quarry.rules import Rule
 
@@ -30,12 +30,18 @@ def secrets_column(text: Column, rules: list[Rule], engine: str = "groups", dial
             found = F.when(text.rlike(pattern), F.array(F.regexp_extract(text, pattern, 0))).otherwise(F.array().cast("array<string>"))
         else:
             found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1 if engine == "groups" and rule.groups else 0))
-        parts.append(F.transform(found, _typed(rule.name)))
+        parts.append(F.transform(_where_possible(text, rule, found, F.array().cast("array<string>")), _typed(rule.name)))
     if not parts:
         return F.array().cast("array<struct<type:string,data:string>>")
     return F.array_distinct(F.coalesce(F.concat(*parts), F.array().cast("array<struct<type:string,data:string>>")))
 
 
+def _where_possible(text: Column, rule: Rule, found: Column, none: Column) -> Column:
+    """found, worked out only for texts that hold what each match of the rule must hold."""
+    literal = required(rule.regex)
+    return F.when(F.contains(text, F.lit(literal)), found).otherwise(none) if literal else found
+
+
 def _typed(name: str):
     return lambda value: F.struct(F.lit(name).alias("type"), value.alias("data"))
 
@@ -48,7 +54,7 @@ def extract_secrets(df: DataFrame, text: str, rules: list[Rule], engine: str = "
 
 def rule_hits(df: DataFrame, text: str, rules: list[Rule], dialect: str = UNICODE) -> DataFrame:
     """(name, hits, texts) of every rule: matches, and texts with one. One pass over the texts; rules without a hit count 0."""
-    counts = [F.regexp_count(F.col(text), F.lit(dialect + r.regex)) for r in rules]
+    counts = [_where_possible(F.col(text), r, F.regexp_count(F.col(text), F.lit(dialect + r.regex)), F.lit(0)) for r in rules]
     sums = df.select(*(F.coalesce(c, F.lit(0)).alias(f"_{i}") for i, c in enumerate(counts))).agg(
         *(F.coalesce(F.sum(f"_{i}"), F.lit(0)).alias(f"h{i}") for i in range(len(rules))), *(F.count_if(F.col(f"_{i}") > 0).alias(f"t{i}") for i in range(len(rules)))
     )

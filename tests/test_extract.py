@@ -5,6 +5,7 @@ import re
 import pytest
 
 from quarry.errors import ConfigError, HandlerError
+from quarry.functions.patterns import required
 from quarry.operators import dom, extract, links
 from quarry.rules import DEFAULT_RULES, LEGACY_RULES, PROSE_RULES, Rule, link_rules, loaded, rules_from
 
@@ -49,6 +50,14 @@ def test_engines_agree_with_python(spark, engine, pack):
         assert sorted(got.get(i, [])) == by_python(t, pack, engine), t
 
 
+@pytest.mark.parametrize(
+    ("regex", "literal"),
+    [("[a-z]+@[a-z]+", "@"), ('token = "([0-9]{4})"', ' = "'), ("(password)=(x)", "="), (r"(?:[0-9]{1,3}\.){3}[0-9]", "."), ("a|@", ""), ("(@)?x", ""), ("@*", ""), ("(?!@)x", ""), ("(?=@)x", ""), ("(?<=@)x", ""), (r"x\b@\b=", "@="), ("[@=]", ""), ("K@S", "@"), ("(?:@=)+?y", "@="), ("(?x) a @ b", "@"), (r"(x)\1-", "-"), ("ß1ſ", "1"), ("", "")],
+)
+def test_what_a_match_must_hold(regex, literal):
+    assert required(regex) == literal
+
+
 def test_every_default_rule_is_found(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
     assert {r["type"] for r in extract.extract_secrets(df, "t", loaded(DEFAULT_RULES)).collect()} == {r.name for r in DEFAULT_RULES if r.loaded}
