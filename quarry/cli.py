@@ -17,7 +17,8 @@ from quarry.operators import reports
 from quarry.operators.crawl import CrawlPlan, CrawlResult, crawl, validate
 from quarry.operators.scan import local_scan
 from quarry.rules import link_rules
-from quarry.sinks.reports import write_csv, write_text
+from quarry.sinks.reports import write_csv
+from quarry.sinks.terminal import tell
 from quarry.sources.fetch import FetchPolicy, live_fetch
 from quarry.sources.files import seeds
 
@@ -90,7 +91,8 @@ def policy_of(settings: Settings) -> FetchPolicy:
 
 def show(result: CrawlResult, starts, args: argparse.Namespace, ranges) -> str:
     """The text report of a crawl."""
-    out = []
+    domains = {r["domain"]: r["n"] for r in reports.seed_domains(starts).collect()}
+    out = ["Targets: {} in {}\n".format(sum(domains.values()), ", ".join(sorted(domains)))]
     if args.detail:
         parents = reports.with_node(reports.children_by_parent(result.edges, result.nodes, "url", ranges), result.nodes, "parent")
         out.append(reports.text_report(parents, "URLs from", "parent", "lines", depth=True))
@@ -119,15 +121,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.local:
             found = reports.secrets_by(local_scan(spark, args.local, settings.rules, settings.engine), "path")
             text = reports.text_report(found, "Secrets found in", "path", "secrets", "No secrets found.\n")
-            write_text(text, args.outfile or DEFAULT_OUTFILE)
-            print(text)
+            tell(text, args.outfile or DEFAULT_OUTFILE)
             return 0
         starts = seeds(spark, args.url, args.url_file)
         fetch = live_fetch(policy_of(settings))
         result = crawl(starts, fetch, plan_of(settings, args))
         if args.validate:
             result.nodes = validate(result.nodes, fetch)
-        print(show(result, starts, args, ranges))
+        tell(show(result, starts, args, ranges))
         if args.outfile:
             write_csv(reports.csv_rows(result.nodes, result.edges, result.findings, result.fetched), args.outfile)
         return 0

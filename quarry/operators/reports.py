@@ -58,6 +58,11 @@ def domain_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(F.count("line").alias("n"))
 
 
+def seed_domains(seeds: DataFrame) -> DataFrame:
+    """(domain, n): the registered domains of the seeds, and how many seeds each has."""
+    return seeds.groupBy(root_domain(host_port(url_parts(F.col("url"))["netloc"])["host"]).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def found_domains(edges: DataFrame) -> DataFrame:
     """Distinct hosts, with ports, of everything found."""
     return edges.select(url_parts(F.col("child"))["netloc"].alias("netloc")).distinct()

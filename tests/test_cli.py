@@ -59,7 +59,7 @@ def test_cli_scan_and_crawl(spark, tree, capsys, monkeypatch):
         host = f"http://localhost:{server.server_port}"
         assert main(["-u", f"{host}/index.html", "-o", str(tree / "out.csv"), "--min-request-interval", "0", "--detail", "--validate"], spark) == 0
         shown = capsys.readouterr().out
-        assert "me@mail.net" in shown and "1.js" in shown
+        assert "me@mail.net" in shown and "1.js" in shown and "Targets: 1 in localhost." in shown
         lines = (tree / "out.csv").read_text()
         assert lines.startswith("URL,Title,Response Code,Content Length,Content Type,Secrets") and f"{host}/index.html,T,200" in lines
         got = {r["url"]: r["status"] for r in live_fetch(FetchPolicy(interval=0))(spark.createDataFrame([(f"{host}/x.html",), (f"{host}/none",), ("http://localhost:1/",)], "url string")).collect()}
@@ -125,6 +125,25 @@ def test_a_cluster_needs_a_shared_folder():
         shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://host:7077")))
 
 
+def test_reports_have_colours_on_a_terminal(tmp_path):
+    import io
+
+    from quarry.sinks.terminal import painted, tell
+
+    class Terminal(io.StringIO):
+        def isatty(self):
+            return True
+
+    text = "1 URL from x:\nhttp://x/ [200] [Content-Length: 3] [Content-Type: ] [Title: T]\nhttp://y/ [Unknown] [Content-Length: ] [Content-Type: ] [Title: ]"
+    shown = painted(text)
+    assert "\x1b[94mhttp://x/ [\x1b[0m\x1b[32m200\x1b[0m\x1b[94m] [Content-Length" in shown and "\x1b[94mhttp://y/ [\x1b[0mUnknown\x1b[94m]" in shown
+    assert [painted(f"u [{s}] [Content-Length: ").count(f"\x1b[{c}m") for s, c in ((302, 33), (404, 35), (500, 31), (204, 31))] == [1] * 4 and painted("plain [200] x") == "plain [200] x"
+    terminal, plain = Terminal(), io.StringIO()
+    tell(text, str(tmp_path / "t"), terminal)
+    tell(text, None, plain)
+    assert terminal.getvalue() == shown + "\n" and plain.getvalue() == text + "\n" and (tmp_path / "t").read_text() == text
+
+
 def test_settings_layers(tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     (tmp_path / "s.yml").write_text(default_yaml() + "max_depth: 7\n")
