@@ -265,7 +265,8 @@ def disclosures(df: DataFrame, scanned: DataFrame, policy: Policy, text: str = "
     share = PMI(term; entity) / information of the entity = 1 + log(n_pair / n_term) / log(n_rows / n_entity); all four count different
     texts, so that copies neither prove nor disprove anything, and the two may stand anywhere in a text. A pair needs support different
     texts, and support different contexts in them: those of the entity in texts where the term is near, and that of the term in each text
-    where it is not. Pairs of fewer texts go before terms are counted over the corpus: what is counted are terms that recur with an entity.
+    where it is not. Pairs of fewer texts go before terms are counted over the corpus: what is counted are terms that recur with an entity, and
+    nothing is if none does.
     """
     texts = scanned.groupBy("body_hash").agg(F.count(F.lit(1)).alias("n"))
     n_rows = F.lit(float(texts.count()))
@@ -273,12 +274,19 @@ def disclosures(df: DataFrame, scanned: DataFrame, policy: Policy, text: str = "
     # An entity of fewer texts than support has no pair with support.
     entities = cut(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= policy.support), "entities")
     holding = cut(held.join(entities, "entity"), "holding")
+    none = df.sparkSession.createDataFrame([], "body_hash string, start long, end long, share double")
+    if holding.isEmpty():
+        drop(entities, holding)
+        return none
     found = cut(mentions(df, holding, policy, text), "mentions")
     # n_pair is n_entity at most: pairs with more n_term than this cannot reach the share.
     rarity = F.greatest(n_rows / F.col("n_entity"), F.lit(2.0))
     most = F.col("n_entity") * F.pow(rarity, F.lit(1 - policy.generalise)) * 1.000001
     together = found.drop("spans").join(holding, "body_hash")
     recurring = cut(together.groupBy("entity", "term", "n_entity").agg(F.count(F.lit(1)).alias("n_pair")).filter(F.col("n_pair") >= policy.support), "recurring")
+    if recurring.isEmpty():
+        drop(entities, holding, found, recurring)
+        return none
     counts = cut(term_counts(df, recurring, texts.filter("n > 1"), holding.agg(F.max(most)).first()[0] or 0.0, text), "counts")
     share = 1 + F.log(F.col("n_pair") / F.col("n_term")) / F.log(rarity)
     likely = recurring.join(counts, "term").filter(F.col("n_term") <= most).select("entity", "term", share.alias("share")).filter(F.col("share") >= policy.generalise)
