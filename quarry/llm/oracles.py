@@ -71,8 +71,54 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(least_
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN (SELECT x, min(y) AS y FROM reached GROUP BY x) least_of ON w.doc_id = least_of.x"""
 
 
+def _found(kind: str, rank: int, pattern: str, group: int = 0, keep: str = "true") -> str:
+    """(r, kind, rank, start, end) of the leftmost matches of a pattern, in code points from the lengths of matches and of pieces between; keep: a condition on m, g."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    lists = f"SELECT r, regexp_extract_all(text, {p}) AS ms, regexp_extract_all(text, {p}, {group}) AS gs, [length(x) FOR x IN regexp_split_to_array(text, {p})] AS ps FROM d WHERE regexp_matches(text, {p})"
+    each = f"SELECT r, unnest(ms) AS m, unnest(gs) AS g, unnest(ps[: len(ms)]) AS p, unnest(range(1, len(ms) + 1)) AS i FROM ({lists})"
+    ends = f"SELECT r, m, g, CAST(sum(p + length(m)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS stop FROM ({each})"
+    return f"SELECT r, '{kind}' AS kind, {rank} AS rank, stop - length(m) AS start, stop, m FROM ({ends}) WHERE {keep}"
+
+
+def secret_scan(scope: int) -> str:
+    """Strong parts, and weak parts that have a complement within scope code points but not over them."""
+    assign = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    named = r"""((?i:access_?key_?id|client_?id|user_?name|account_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]+)"""
+    parts = [
+        _found("assign", 0, assign, 2, "length(g) >= 6"),
+        _found("access", 1, "AKIA[A-Z0-9]+", keep="length(m) >= 20"),
+        _found("hex", 2, "[0-9a-f]+", keep="length(m) >= 24"),
+        _found("weak_access", 3, "AKIA[A-Z0-9]+", keep="length(m) < 20"),
+        _found("weak_access", 3, named, 2, "length(g) >= 4"),
+        _found("weak_secret", 4, "([A-Za-z0-9+/_-]+)={0,2}", 1, "length(g) >= 16 AND regexp_matches(g, '[0-9]') AND regexp_matches(g, '[A-Za-z]')"),
+        _found("endpoint", 5, r"""https?://[^\x20\x09-\x0D"'<>]+"""),
+    ]
+    other = "FROM {} o WHERE o.r = p.r AND"
+    near = f"AND (o.start >= p.stop OR o.stop <= p.start) AND o.start <= p.stop + {scope} AND o.stop >= p.start - {scope}"
+    columns = "r, kind, rank, start, stop"
+    return f"""
+WITH d AS MATERIALIZED ({_TEXTS}),
+parts AS MATERIALIZED ({" UNION ALL ".join(parts)}),
+mixed AS MATERIALIZED (SELECT * FROM parts p WHERE kind = 'weak_secret' AND NOT EXISTS (SELECT 1 {other.format("parts")} o.rank < 4 AND o.start < p.stop AND o.stop > p.start)),
+secret AS MATERIALIZED (SELECT * FROM parts WHERE kind IN ('assign', 'hex') UNION ALL SELECT * FROM mixed),
+spans AS (
+  SELECT {columns} FROM parts WHERE rank < 3
+  UNION ALL SELECT {columns} FROM parts p WHERE kind IN ('weak_access', 'endpoint') AND EXISTS (SELECT 1 {other.format("secret")} true {near})
+  UNION ALL SELECT {columns} FROM mixed p WHERE EXISTS (SELECT 1 {other.format("parts")} o.kind IN ('access', 'weak_access', 'endpoint') {near})
+),
+told AS (SELECT r, kind, rank, kind || ':' || start || ':' || stop AS s, start, stop FROM spans),
+per AS (
+  SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+    string_agg(s, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base, string_agg(s, ',' ORDER BY start, rank, stop) AS spans
+  FROM told GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (r)"""
+
+
 ORACLE_SQL = {
     "op4_quality_rules": quality(QUALITY_RULES),
     "op5_substring_dedup": substring_dedup(50),
     "op7_ngram_jaccard_join": jaccard_components(4, 85),
+    "op10_secret_scan": secret_scan(200),
 }
