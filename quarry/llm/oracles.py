@@ -71,10 +71,10 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(least_
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN (SELECT x, min(y) AS y FROM reached GROUP BY x) least_of ON w.doc_id = least_of.x"""
 
 
-def _found(kind: str, rank: int, pattern: str, group: int = 0, keep: str = "true") -> str:
-    """(r, kind, rank, start, end) of the leftmost matches of a pattern, in code points from the lengths of matches and of pieces between; keep: a condition on m, g."""
+def _found(kind: str, rank: int, pattern: str, group: int = 0, keep: str = "true", table: str = "d") -> str:
+    """(r, kind, rank, start, stop, m) of the leftmost matches of a pattern, in code points from the lengths of matches and of pieces between; keep: a condition on m, g."""
     p = "'" + pattern.replace("'", "''") + "'"
-    lists = f"SELECT r, regexp_extract_all(text, {p}) AS ms, regexp_extract_all(text, {p}, {group}) AS gs, [length(x) FOR x IN regexp_split_to_array(text, {p})] AS ps FROM d WHERE regexp_matches(text, {p})"
+    lists = f"SELECT r, regexp_extract_all(text, {p}) AS ms, regexp_extract_all(text, {p}, {group}) AS gs, [length(x) FOR x IN regexp_split_to_array(text, {p})] AS ps FROM {table} WHERE regexp_matches(text, {p})"
     each = f"SELECT r, unnest(ms) AS m, unnest(gs) AS g, unnest(ps[: len(ms)]) AS p, unnest(range(1, len(ms) + 1)) AS i FROM ({lists})"
     ends = f"SELECT r, m, g, CAST(sum(p + length(m)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS stop FROM ({each})"
     return f"SELECT r, '{kind}' AS kind, {rank} AS rank, stop - length(m) AS start, stop, m FROM ({ends}) WHERE {keep}"
@@ -116,7 +116,63 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN per USING (r)"""
 
 
+def personal_data(window: int, support: int, generalise: float) -> str:
+    """Personal data, and terms that give a share of the information of an entity in the same text."""
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    doubled = f"[CAST(substr({digits}, length({digits}) - p, 1) AS BIGINT) * (1 + p % 2) FOR p IN range(length({digits}))]"
+    base = [
+        _found("email", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+        _found("ip", 1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", keep="len([x FOR x IN string_split(m, '.') IF length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS BIGINT), 0) > 255]) = 0"),
+        _found("card", 2, r"[0-9]([\x20-]?[0-9])+", keep=f"CASE WHEN length({digits}) BETWEEN 16 AND 19 THEN list_sum([x - 9 * CAST(x > 9 AS BIGINT) FOR x IN {doubled}]) % 10 = 0 ELSE false END"),
+        _found("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", keep=f"length({digits}) BETWEEN 8 AND 15"),
+    ]
+    term = r"[\p{L}\p{Nl}\p{No}]{3,}"
+    around = f"substring(text, greatest(0, s.start - {window}) + 1, least(length(text), s.stop + {window}) - greatest(0, s.start - {window}))"
+    return f"""
+WITH d AS MATERIALIZED ({_TEXTS}),
+base AS MATERIALIZED ({" UNION ALL ".join(base)}),
+once AS MATERIALIZED (SELECT text, min(r) AS r FROM d GROUP BY text),
+marked AS MATERIALIZED (SELECT * FROM once WHERE r IN (SELECT r FROM base)),
+placed AS MATERIALIZED (
+  SELECT r, lower(m) AS term, start, stop FROM ({_found("term", 4, term, table="marked")}) w
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = w.r AND ((b.start <= w.start AND w.start < b.stop) OR (b.start < w.stop AND w.stop <= b.stop)))
+),
+here AS MATERIALIZED (SELECT b.r, kind || ':' || m AS entity, start, stop FROM base b JOIN once USING (r)),
+entities AS (SELECT entity, count(DISTINCT r) AS n_entity FROM here GROUP BY entity HAVING count(DISTINCT r) >= {support}),
+holding AS MATERIALIZED (SELECT DISTINCT r, entity, n_entity FROM here JOIN entities USING (entity)),
+own AS MATERIALIZED (SELECT r, term, string_agg({around}, chr(1) ORDER BY s.start) AS context FROM placed s JOIN once USING (r) WHERE r IN (SELECT r FROM holding) GROUP BY r, term),
+recurring AS MATERIALIZED (SELECT entity, term, n_entity, count(*) AS n_pair FROM own JOIN holding USING (r) GROUP BY ALL HAVING count(*) >= {support}),
+seen AS (
+  SELECT DISTINCT r, term FROM placed
+  UNION ALL SELECT r, unnest(list_distinct([lower(x) FOR x IN regexp_extract_all(text, '{term}')])) AS term FROM once WHERE r NOT IN (SELECT r FROM base)
+),
+counts AS (SELECT term, count(*) AS n_term FROM seen WHERE term IN (SELECT term FROM recurring) GROUP BY term),
+likely AS MATERIALIZED (
+  SELECT entity, term FROM recurring JOIN counts USING (term)
+  WHERE 1 + ln(n_pair / n_term) / ln(greatest((SELECT count(*) FROM once) / n_entity, 2)) >= {generalise}
+),
+near AS (
+  SELECT s.r, s.entity, w.term, {around} AS context FROM here s JOIN once o ON s.r = o.r JOIN placed w ON w.r = s.r AND w.start >= s.start - {window} AND w.stop <= s.stop + {window}
+  WHERE s.entity IN (SELECT entity FROM entities)
+),
+pairs AS MATERIALIZED (SELECT r, entity, term, context FROM own JOIN holding USING (r) JOIN likely USING (entity, term)),
+proved AS (
+  SELECT entity, term FROM pairs p LEFT JOIN near n USING (r, entity, term) GROUP BY entity, term HAVING count(DISTINCT coalesce(n.context, p.context)) >= {support}
+),
+told AS (SELECT DISTINCT r, start, stop FROM placed JOIN pairs USING (r, term) JOIN proved USING (entity, term)),
+terms AS (SELECT text, string_agg('term:' || start || ':' || stop, ',' ORDER BY start) AS terms FROM told JOIN once USING (r) GROUP BY text),
+per AS (
+  SELECT r, count(*) FILTER (WHERE rank = 0) AS n_email, count(*) FILTER (WHERE rank = 1) AS n_ip, count(*) FILTER (WHERE rank = 2) AS n_card, count(*) FILTER (WHERE rank = 3) AS n_phone,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY rank, start) AS base
+  FROM base GROUP BY r
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256,
+  concat_ws(',', base, terms) AS spans
+FROM d LEFT JOIN per USING (r) LEFT JOIN terms USING (text)"""
+
+
 ORACLE_SQL = {
+    "op2_personal_data": personal_data(60, 3, 0.85),
     "op4_quality_rules": quality(QUALITY_RULES),
     "op5_substring_dedup": substring_dedup(50),
     "op7_ngram_jaccard_join": jaccard_components(4, 85),

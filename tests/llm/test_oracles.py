@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import brute
 import duckdb
 import pytest
 
@@ -29,3 +30,14 @@ def test_sql_bears_odd_documents(spark, tables, rows, tmp_path, name):
     db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     expected = db.sql(registry.ORACLE_SQL[name])
     assert Counter(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).select(*expected.columns).collect())) == Counter(expected.fetchall())
+
+
+@pytest.mark.parametrize(("name", "made", "kinds"), [("op2_personal_data", brute.disclosing_texts, ["term"]), ("op10_secret_scan", brute.credential_texts, ["weak_access", "weak_secret", "endpoint"])])
+def test_sql_has_the_spans_that_the_methods_add(spark, tmp_path, name, made, kinds):
+    spark.createDataFrame(list(enumerate(made())), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = db.sql(registry.ORACLE_SQL[name])
+    got = registry.QUERIES[name](spark, str(tmp_path)).select(*expected.columns).collect()
+    assert Counter(map(tuple, got)) == Counter(expected.fetchall())
+    assert all(sum(f"{k}:" in r["spans"] for r in got) > 20 for k in kinds)
