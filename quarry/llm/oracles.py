@@ -171,10 +171,73 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 FROM d LEFT JOIN per USING (r) LEFT JOIN terms USING (text)"""
 
 
+def filter_interactions() -> str:
+    """Counts of each part, order of five filters and step, from masks of failed filters."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT *, {_words('text')} AS words FROM d),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, CAST(len(words) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(words)) < 65 * len(words) AS INT)
+    + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS INT) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+    + 16 * CAST(coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false) AS INT) AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM w LEFT JOIN marks ON w.doc_id = marks.doc_id
+),
+cells AS MATERIALIZED (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+letters(letter, own) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders(filter_order, used) AS (SELECT '', 0 UNION ALL SELECT filter_order || letter, used + own FROM orders JOIN letters ON used & own = 0),
+steps AS MATERIALIZED (
+  SELECT filter_order, step, own, (SELECT coalesce(sum(b.own), 0) FROM letters b WHERE instr(filter_order, b.letter) < step) AS before
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders WHERE used = 31) o JOIN letters ON letter = filter_order[step]
+),
+told AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, own,
+    coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & own = 0), 0) AS kept, coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & own <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & before <> 0 AND mask & own <> 0), 0) AS redundant, coalesce(sum(n) FILTER (WHERE mask = own), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE mask & before = 0 AND mask & own <> 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE mask & before = 0 AND mask & own <> 0), 0) AS toxic_lost
+  FROM cells CROSS JOIN (SELECT filter_order, step, own, CAST(before AS INTEGER) AS before FROM steps) s GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM told"""
+
+
+def periodic_runs() -> str:
+    """Runs of words, after the tails of a tenth of the texts are made periodic; the places of a grid say which periods to compare at all."""
+    crc = """xor(4294967295, list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+    lambda c, x : list_reduce(list_prepend(xor(c, x), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda v, z : CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)))"""
+    return f"""
+WITH d AS MATERIALIZED (SELECT *, {_words('text')} AS words, {crc} AS h FROM ({_TEXTS})),
+a AS (SELECT r, doc_id, words, len(words) AS n, h // 10 AS g, h % 10 = 0 AND len(words) > 0 AS changed FROM d),
+b AS MATERIALIZED (SELECT *, CASE WHEN changed THEN g % n ELSE n END AS a FROM a),
+c AS MATERIALIZED (SELECT *, CASE WHEN changed THEN 1 + (n - a) // (3 + g % 8) ELSE 1 END AS p FROM b),
+taken AS (SELECT r, i, CASE WHEN i >= a THEN a + (i - a) % p ELSE i END AS j FROM (SELECT r, a, p, unnest(range(n)) AS i FROM c)),
+each AS (SELECT r, i, words[i + 1] AS word FROM (SELECT r, words, unnest(range(n)) AS i FROM c)),
+w AS MATERIALIZED (SELECT taken.r, taken.i, word FROM taken JOIN each ON taken.r = each.r AND taken.j = each.i),
+periods AS (SELECT r, n, unnest(range(1, n // 4 + 1)) AS p FROM c),
+probes AS (SELECT r, p, unnest(range((n - 1) // p)) AS k FROM periods),
+hits AS (SELECT t.r, t.p, k FROM probes t JOIN w x ON x.r = t.r AND x.i = t.k * t.p JOIN w y ON y.r = t.r AND y.i = (t.k + 1) * t.p WHERE x.word = y.word),
+rows_of_hits AS (SELECT r, p, k - row_number() OVER (PARTITION BY r, p ORDER BY k) AS same FROM hits),
+likely AS MATERIALIZED (SELECT DISTINCT r, p FROM (SELECT r, p FROM rows_of_hits GROUP BY r, p, same HAVING count(*) >= 3)),
+equal AS (SELECT l.r, l.p, x.i FROM likely l JOIN w x ON x.r = l.r JOIN w y ON y.r = l.r AND y.i = x.i + l.p WHERE x.word = y.word),
+stretches AS (SELECT r, p, min(i) AS start, count(*) + p AS length FROM (SELECT r, p, i, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS same FROM equal) GROUP BY r, p, same),
+runs AS MATERIALIZED (SELECT r, start, length, min(p) AS period FROM stretches WHERE length >= greatest(6, 4 * p) GROUP BY r, start, length),
+told AS (
+  SELECT r, count(*) AS n_runs, arg_min({{'start': start, 'length': length, 'period': period}}, {{'a': -length, 'b': start, 'c': period}}) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS all_runs FROM runs GROUP BY r
+),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(all_runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM c LEFT JOIN told USING (r) LEFT JOIN kept USING (r)"""
+
+
 ORACLE_SQL = {
     "op2_personal_data": personal_data(60, 3, 0.85),
     "op4_quality_rules": quality(QUALITY_RULES),
     "op5_substring_dedup": substring_dedup(50),
     "op7_ngram_jaccard_join": jaccard_components(4, 85),
     "op10_secret_scan": secret_scan(200),
+    "op11_filter_interactions": filter_interactions(),
+    "op12_periodic_runs": periodic_runs(),
 }

@@ -50,13 +50,14 @@ class Batch:
     doc_of: the text of each word; word_from: the first word of each text, and the number of words.
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], gaps: np.ndarray = _SPACE):
+        """gaps: which of the 256 bytes stand between words."""
         self.n = len(texts)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.offsets = np.zeros(self.n + 1, np.int64)
         np.cumsum([len(t) for t in texts], out=self.offsets[1:])
         size = len(self.data)
-        self.is_word = ~_SPACE[self.data]
+        self.is_word = ~gaps[self.data]
         begins = self.is_word.copy()
         begins[1:] &= ~self.is_word[:-1]
         edges = self.offsets[:-1][np.diff(self.offsets) > 0]
@@ -72,8 +73,8 @@ class Batch:
         self.doc_of = np.repeat(np.arange(self.n), self.n_words)
         assert size == self.offsets[-1]
 
-    def hashes(self, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-        """A 64-bit hash of each word, worked out in blocks of a few MB."""
+    def hashes(self, values: np.ndarray = BYTE_VALUES, most: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first `most` bytes, worked out in blocks of a few MB."""
         out = np.empty(len(self.starts), np.uint64)
         at = 0
         while at < len(out):
@@ -84,6 +85,7 @@ class Batch:
             sums[0] = 0
             np.cumsum(values[self.data[first:last]] * powers(_BASE, last - first), out=sums[1:])
             begin, end = self.starts[at:upto] - first, self.ends[at:upto] - first
+            end = end if most is None else np.minimum(end, begin + most)
             out[at:upto] = mix((sums[end] - sums[begin]) * powers(_INVERSE, last - first)[begin] + (end - begin).astype(np.uint64))
             at = upto
         return out

@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", oracles.ORACLE_SQL)
 def test_sql_gives_the_same_rows(spark, name):
     db = duckdb.connect()
-    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "labels"):
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     expected = db.sql(registry.ORACLE_SQL[name])
     got = registry.QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(expected.columns)
@@ -24,10 +25,12 @@ def test_sql_gives_the_same_rows(spark, name):
 @pytest.mark.parametrize("name", oracles.ORACLE_SQL)
 def test_sql_bears_odd_documents(spark, tables, rows, tmp_path, name):
     """Documents of different ids, as in the driver's tables."""
-    once = spark.createDataFrame(list({i: (i, t) for i, t in rows if i is not None}.values()), "doc_id long, text string")
+    once = spark.createDataFrame(list({i: (i, t, [None, "", "a"][i % 3]) for i, t in rows if i is not None}.values()), "doc_id long, text string, source string")
     once.write.parquet(str(tmp_path / "documents.parquet"))
+    once.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality", "cast(doc_id % 3 = 0 as int) AS toxic").filter("doc_id % 5 > 0").write.parquet(str(tmp_path / "labels.parquet"))
     db = duckdb.connect()
-    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for table in ("documents", "labels"):
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
     expected = db.sql(registry.ORACLE_SQL[name])
     assert Counter(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).select(*expected.columns).collect())) == Counter(expected.fetchall())
 
