@@ -47,8 +47,8 @@ class Settings:
 
     @property
     def engine(self) -> str:
-        """hyperscan stands for whole matches; everything else for groups."""
-        return "whole" if self.handler_type == "hyperscan" else "groups"
+        """hyperscan stands for whole matches, found by one walk for all rules; everything else for groups."""
+        return "scan" if self.handler_type == "hyperscan" else "groups"
 
 
 def updated(settings: Settings, values: dict[str, Any]) -> Settings:

@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 from quarry.errors import HandlerError
 from quarry.functions.patterns import UNICODE, required
 from quarry.functions.text import strip, unescape
+from quarry.operators.multiscan import scan_secrets
 from quarry.rules import Rule
 
-ENGINES = ("groups", "first", "whole")
+ENGINES = ("groups", "first", "whole", "scan")
 
 
 def secrets_column(text: Column, rules: list[Rule], engine: str = "groups", dialect: str = UNICODE) -> Column:
     """array<struct<type, data>> of the distinct secrets of a text, in order of the rules.
 
     groups: all matches, the first group if there are groups (an unmatched group gives an empty string); first: the first match of each rule,
-    whole; whole: all matches, whole, which is what a multi-pattern scanner without groups reports.
+    whole; whole: all matches, whole, which is what a multi-pattern scanner without groups reports. The engine scan gives what whole does, but is no column: see extract_secrets.
     """
-    if engine not in ENGINES:
-        raise HandlerError(f"no such engine: {engine!r}; there are {', '.join(ENGINES)}")
+    if engine not in ENGINES or engine == "scan":
+        raise HandlerError(f"no such engine: {engine!r}; there are {', '.join(ENGINES[:3])}")
     parts = []
     for rule in rules:
         pattern = dialect + rule.regex
@@ -47,7 +48,12 @@ def _typed(name: str):
 
 
 def extract_secrets(df: DataFrame, text: str, rules: list[Rule], engine: str = "groups", dialect: str = UNICODE) -> DataFrame:
-    """A row (all columns but the text, type, data) for each distinct secret of a text. No shuffle: texts are taken apart where they are."""
+    """A row (all columns but the text, type, data) for each distinct secret of a text. No shuffle: texts are taken apart where they are.
+
+    engine: as for secrets_column, or scan, which names the rules that a text may match in one walk through it: for packs of hundreds of rules.
+    """
+    if engine == "scan":
+        return scan_secrets(df, text, rules, dialect)
     kept = [c for c in df.columns if c != text]
     return df.select(*kept, F.explode(secrets_column(F.col(text), rules, engine, dialect)).alias("_s")).select(*kept, "_s.type", "_s.data")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import status as st
 from quarry.functions import urls
 from quarry.functions.patterns import ASCII
-from quarry.operators import dom, extract, filters, links, reports
+from quarry.operators import dom, extract, filters, links, multiscan, reports
 from quarry.operators import crawl as crawling
 from quarry.operators.scan import local_scan as scan_files
 from quarry.plans import sql
@@ -132,6 +132,27 @@ def rule_crossjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.rule_hits(_table(spark, sf_dir, "documents"), "text", RULES, ASCII)
 
 
+_SYLLABLES = ["er", "in", "on", "an", "th", "re", "ou", "en"]
+#: A pack of 512 rules, built from syllables, and the prose rules: words that hold three of them in a row, and what follows a few more.
+_PACK = [*RULES, *(Rule(f"Word {a}{b}{c}", f"{a}{b}{c}[a-z]*") for a in _SYLLABLES for b in _SYLLABLES for c in _SYLLABLES)]
+_PACK_VALUES = ", ".join(f"({sql.quoted(r.name)}, {sql.quoted(r.regex)}, {sql.quoted(r.name[5:] if r.name.startswith('Word ') else '')})" for r in _PACK)
+_PACK_PAIRS = f"documents d JOIN (VALUES {_PACK_VALUES}) AS r(name, regex, word) ON contains(lower(d.text), r.word)"
+
+
+@query("multi_rule_secrets", f"SELECT DISTINCT doc_id, name AS type, unnest(regexp_extract_all(text, regex, 0, 'i')) AS data FROM {_PACK_PAIRS}")
+def multi_rule_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """517 rules over all documents by one walk through each text."""
+    return extract.extract_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _PACK, "scan", ASCII)
+
+
+@query(
+    "multi_rule_hits",
+    f"SELECT v.name, coalesce(CAST(sum(n) AS BIGINT), 0) AS hits, count(*) FILTER (WHERE n > 0) AS texts FROM (VALUES {_PACK_VALUES}) AS v(name, regex, word) LEFT JOIN (SELECT name, len(regexp_extract_all(text, regex, 0, 'i')) AS n FROM {_PACK_PAIRS}) h ON v.name = h.name GROUP BY v.name",
+)
+def multi_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiscan.scan_hits(_table(spark, sf_dir, "documents"), "text", _PACK, ASCII)
+
+
 _ENTITY = "replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 _TITLES = rf"array_to_string([regexp_replace(regexp_replace({_ENTITY}, '[\r\n]', ' ', 'g'), '^\s+|\s+$', '', 'g') for x in regexp_extract_all(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title>', 1)], '|')"
 

@@ -158,7 +158,7 @@ def test_settings_layers(tmp_path, monkeypatch):
     for bad in ({"max_connections": 0}, {"urlFind": "x"}, {"rules": "x"}):
         with pytest.raises(ConfigError):
             updated(Settings(), bad)
-    assert updated(Settings(), {"handler_type": "hyperscan"}).engine == "whole"
+    assert updated(Settings(), {"handler_type": "hyperscan"}).engine == "scan"
 
 
 def test_rate_limiter():

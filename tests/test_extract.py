@@ -38,7 +38,7 @@ def by_python(text, rules, engine):
     return sorted(out)
 
 
-@pytest.mark.parametrize("engine", ["groups", "first", "whole"])
+@pytest.mark.parametrize("engine", ["groups", "first", "whole", "scan"])
 @pytest.mark.parametrize("pack", [loaded(DEFAULT_RULES), LEGACY_RULES, PROSE_RULES, link_rules()])
 def test_engines_agree_with_python(spark, engine, pack):
     texts = [*TEXTS, PAGE]
