@@ -16,6 +16,7 @@ from quarry.log import init_log
 from quarry.operators import reports
 from quarry.operators.crawl import CrawlPlan, CrawlResult, crawl, validate
 from quarry.operators.scan import local_scan
+from quarry.operators.suffixes import read_suffix_rules
 from quarry.rules import link_rules
 from quarry.sinks.reports import write_csv
 from quarry.sinks.terminal import tell
@@ -89,17 +90,17 @@ def policy_of(settings: Settings) -> FetchPolicy:
     return FetchPolicy(settings.headers, settings.timeout, settings.follow_redirects, settings.proxy, settings.max_concurrent_per_domain, settings.min_request_interval, settings.max_connections, settings.max_keepalive_connections)
 
 
-def show(result: CrawlResult, starts, args: argparse.Namespace, ranges) -> str:
-    """The text report of a crawl."""
-    domains = {r["domain"]: r["n"] for r in reports.seed_domains(starts).collect()}
+def show(result: CrawlResult, starts, args: argparse.Namespace, ranges, rules=None) -> str:
+    """The text report of a crawl; rules: public suffix rules."""
+    domains = {r["domain"]: r["n"] for r in reports.seed_domains(starts, rules).collect()}
     out = ["Targets: {} in {}\n".format(sum(domains.values()), ", ".join(sorted(domains)))]
     if args.detail:
         parents = reports.with_node(reports.children_by_parent(result.edges, result.nodes, "url", ranges), result.nodes, "parent")
         out.append(reports.text_report(parents, "URLs from", "parent", "lines", depth=True))
         out.append(reports.text_report(reports.children_by_parent(result.edges, result.nodes, "js", ranges), "JS from", "parent", "lines"))
     else:
-        out.append(reports.domain_report(reports.urls_per_domain(result.edges, result.nodes, starts, "url", ranges), "URL from"))
-        out.append(reports.domain_report(reports.urls_per_domain(result.edges, result.nodes, starts, "js", ranges), "JS from"))
+        out.append(reports.domain_report(reports.urls_per_domain(result.edges, result.nodes, starts, "url", ranges, rules), "URL from"))
+        out.append(reports.domain_report(reports.urls_per_domain(result.edges, result.nodes, starts, "js", ranges, rules), "JS from"))
     domains = [r[0] for r in reports.found_domains(result.edges).orderBy("netloc").toLocalIterator()]
     out.append("\n{} Domains:\n{}\n".format(len(domains), "\n".join(domains)))
     if not args.hide_regex:
@@ -128,7 +129,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         result = crawl(starts, fetch, plan_of(settings, args))
         if args.validate:
             result.nodes = validate(result.nodes, fetch)
-        tell(show(result, starts, args, ranges))
+        tell(show(result, starts, args, ranges, read_suffix_rules(spark, settings.suffix_file) if settings.suffix_file else None))
         if args.outfile:
             write_csv(reports.csv_rows(result.nodes, result.edges, result.findings, result.fetched), args.outfile)
         return 0

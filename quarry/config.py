@@ -39,6 +39,8 @@ class Settings:
     urlFind: list[str] = field(default_factory=lambda: list(URL_FIND))  # noqa: N815
     jsFind: list[str] = field(default_factory=lambda: list(JS_FIND))  # noqa: N815
     dangerousPath: list[str] = field(default_factory=lambda: list(DANGEROUS_PATHS))  # noqa: N815
+    #: A file of public suffix rules, of any filesystem Spark reads; empty: common suffixes only.
+    suffix_file: str = ""
     rules: list[Rule] = field(default_factory=lambda: loaded(DEFAULT_RULES))
 
     def __post_init__(self):

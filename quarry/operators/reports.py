@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.status import status_allowed
 from quarry.functions.urls import host_port, root_domain, url_parts
+from quarry.operators.suffixes import with_suffix
 
 Ranges = list[tuple[int, int]] | None
 
@@ -39,14 +40,21 @@ def children_by_parent(edges: DataFrame, nodes: DataFrame, kind: str = "url", ra
     return each.groupBy("parent").agg(F.count("line").alias("n"), F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"))
 
 
-def urls_per_domain(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, kind: str = "url", ranges: Ranges = None) -> DataFrame:
+def with_domain(urls: DataFrame, url: str, out: str, rules: DataFrame | None = None) -> DataFrame:
+    """urls with the registered domain of each url: by suffix rules if there are some (see suffixes), else by the common suffixes of two labels."""
+    host = host_port(url_parts(F.col(url))["netloc"])["host"]
+    if rules is None:
+        return urls.withColumn(out, root_domain(host))
+    return with_suffix(urls.withColumn("_host", host), "_host", rules, "_suffix", out).drop("_host", "_suffix")
+
+
+def urls_per_domain(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, kind: str = "url", ranges: Ranges = None, rules: DataFrame | None = None) -> DataFrame:
     """(bucket, line): distinct lines by registered domain of the seeds, Other for the rest; a bucket of which the status filter shows nothing has one row without
     a line. A row for each line, as Other may hold most of a crawl."""
-    domain = lambda u: root_domain(host_port(url_parts(F.col(u))["netloc"])["host"])
-    roots = seeds.select(domain("url").alias("bucket")).distinct().withColumn("known", F.lit(True))
+    roots = with_domain(seeds.select("url"), "url", "bucket", rules).select("bucket").distinct().withColumn("known", F.lit(True))
     own = edges.filter(F.col("kind") == kind)
     urls = own.select(F.col("child").alias("url")).union(own.select("parent")).distinct()
-    placed = urls.withColumn("bucket", domain("url")).join(roots, "bucket", "left").withColumn("bucket", F.when(F.col("known"), F.col("bucket")).otherwise("Other"))
+    placed = with_domain(urls, "url", "bucket", rules).join(roots, "bucket", "left").withColumn("bucket", F.when(F.col("known"), F.col("bucket")).otherwise("Other"))
     lines = placed.join(_formatted(nodes, ranges).select("url", "shown", "line"), "url", "left").select("bucket", F.when(F.col("shown"), F.col("line")).alias("line")).distinct()
     shown = lines.filter("line is not null")
     empty = lines.select("bucket").distinct().join(shown.select("bucket").distinct(), "bucket", "left_anti")
@@ -58,9 +66,9 @@ def domain_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(F.count("line").alias("n"))
 
 
-def seed_domains(seeds: DataFrame) -> DataFrame:
+def seed_domains(seeds: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """(domain, n): the registered domains of the seeds, and how many seeds each has."""
-    return seeds.groupBy(root_domain(host_port(url_parts(F.col("url"))["netloc"])["host"]).alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+    return with_domain(seeds.select("url"), "url", "domain", rules).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
 
 
 def found_domains(edges: DataFrame) -> DataFrame:

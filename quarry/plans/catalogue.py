@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import status as st
 from quarry.functions import urls
 from quarry.functions.patterns import ASCII
-from quarry.operators import dom, extract, filters, links, multiscan, reports
+from quarry.operators import dom, extract, filters, links, multiscan, reports, suffixes
 from quarry.operators import crawl as crawling
 from quarry.operators.scan import local_scan as scan_files
 from quarry.plans import sql
@@ -197,6 +197,37 @@ def root_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _netlocs(spark, sf_dir).select("netloc", urls.root_domain(urls.host_port(F.col("netloc"))["host"]).alias("root"))
 
 
+_HOSTS_OF_PAGES = f"(SELECT page_id, {sql.host('netloc')} AS host FROM {sql.with_parts('pages', 'url')})"
+#: Suffix rules of all kinds: of one to three labels, wildcards and exceptions.
+_SUFFIXES = ["com", "net", "org", "uk", "co.uk", "example.org", "m.example.org", "*.example.net", "!www.example.net", "*.wild", "!kept.wild"]
+_SUFFIXED_HOSTS = f"(SELECT DISTINCT page_id, unnest([{{h}}, 'a.' || {{h}}, 'b.' || page_id || '.' || {{h}}, 'www.' || {{h}}, 'm.' || {{h}}, page_id || '.wild', 'x.kept.wild', 'h' || page_id || '.none']) AS host FROM {_HOSTS_OF_PAGES})"
+
+
+def _suffix_rule(rule: str) -> str:
+    """(length, exception) of a rule where it matches labels, the host's in reverse."""
+    labels = rule.lstrip("!").split(".")[::-1]
+    match = " AND ".join([f"len(l) >= {len(labels)}", *(f"l[{i}] = {sql.quoted(x)}" for i, x in enumerate(labels, 1) if x != "*")])
+    return f"CASE WHEN {match} THEN {len(labels) - 1 if rule.startswith('!') else len(labels)} ELSE 0 END"
+
+
+_SUFFIX_N = f"coalesce(nullif(greatest({', '.join(_suffix_rule(r) for r in _SUFFIXES if r.startswith('!'))}), 0), greatest({', '.join(_suffix_rule(r) for r in _SUFFIXES if not r.startswith('!'))}))"
+
+
+@query(
+    "root_domain_rules",
+    f"SELECT page_id, host, CASE WHEN n = 0 THEN '' ELSE array_to_string(k[-n:], '.') END AS suffix, CASE WHEN n = 0 THEN k[-1] || '.' WHEN n >= len(k) THEN '.' || array_to_string(k[-n:], '.') ELSE array_to_string(k[-n - 1:], '.') END AS root"
+    f" FROM (SELECT *, {_SUFFIX_N} AS n FROM (SELECT *, CASE WHEN regexp_matches(host, {sql.quoted(urls.IP)}) THEN [host] ELSE string_split(host, '.') END AS k, [lower(x) FOR x IN list_reverse(k)] AS l FROM {_SUFFIXED_HOSTS.format(h='host')}))",
+)
+def root_domain_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Public suffixes and registered domains of the pages' hosts and of names made from them, by a rule file that is written for it."""
+    path = f"{shared_dir(spark).rstrip('/')}/quarry-rules-{uuid.uuid4().hex}"
+    spark.createDataFrame([(r,) for r in _SUFFIXES], "value string").coalesce(1).write.text(path)
+    host, page = urls.host_port(urls.url_parts(F.col("url"))["netloc"])["host"], F.col("page_id").cast("string")
+    made = [host, F.concat(F.lit("a."), host), F.concat(F.lit("b."), page, F.lit("."), host), F.concat(F.lit("www."), host), F.concat(F.lit("m."), host), F.concat(page, F.lit(".wild")), F.lit("x.kept.wild"), F.concat(F.lit("h"), page, F.lit(".none"))]
+    hosts = _table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(F.array(*made))).alias("host"))
+    return suffixes.with_suffix(hosts, "host", suffixes.read_suffix_rules(spark, path))
+
+
 @query("rate_domain", f"SELECT lower(netloc) AS domain, count(*) AS pages FROM {sql.with_parts('pages', 'url')} GROUP BY 1")
 def rate_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").groupBy(urls.rate_domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("pages"))
@@ -231,7 +262,7 @@ def sanitize_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Filters
 
-_HOSTS = f"(SELECT page_id, {sql.host('netloc')} AS host FROM {sql.with_parts('pages', 'url')})"
+_HOSTS = _HOSTS_OF_PAGES
 
 
 def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
