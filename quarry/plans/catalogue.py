@@ -19,6 +19,7 @@ from quarry.rules import DANGEROUS_PATHS, LEGACY_RULES, PROSE_RULES, Rule, link_
 from quarry.schemas import URL_PARTS
 from quarry.session import cut, shared_dir
 from quarry.sources.files import seeds
+from quarry.sources.schedule import start_schedule
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -449,6 +450,21 @@ def fetch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawling.pages_fetch(pages.groupBy("url").agg(F.min("status").alias("status")))(asked)
 
 
+_ASKED = "(SELECT url FROM pages UNION SELECT 'https://hot.example.net/' || page_id || '/' || unnest(range(9)) FROM pages UNION SELECT NULL)"
+
+
+@query(
+    "fetch_schedule",
+    f"SELECT url, domain, CAST(r % 5 AS INTEGER) AS lane, r // 5 AS turn, r * 0.25::DOUBLE AS start FROM (SELECT url, lower({sql.parts('url')['netloc']}) AS domain, row_number() OVER (PARTITION BY lower({sql.parts('url')['netloc']}) ORDER BY md5(url), url) - 1 AS r FROM {_ASKED} WHERE url IS NOT NULL)",
+)
+def fetch_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When the pages are asked for, and nine times as many urls of one host."""
+    pages = _table(spark, sf_dir, "pages")
+    paths = pages.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
+    hot = paths.select(F.concat(F.lit("https://hot.example.net/"), F.col("page_id"), F.lit("/"), F.col("k")).alias("url"))
+    return start_schedule(pages.select("url").union(hot).union(pages.limit(1).select(F.lit(None).cast("string"))), 5, 0.25)
+
+
 _GRAPH = "(SELECT page_id AS parent, (page_id * k + c) % (SELECT count(*) FROM pages) AS child FROM pages, (VALUES (3, 1), (7, 2), (5, 11)) AS v(k, c))"
 
 

@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
+import contextlib
 import http.client
+import queue
 import threading
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from urllib.parse import quote, urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quarry.errors import ConfigError
-from quarry.functions.urls import rate_domain
 from quarry.schemas import PAGE
 from quarry.session import ship_package
-
+from quarry.sources.schedule import LaneClock, dealt
 
 #: Characters of a path or query that are sent as they are.
 _AS_IT_IS = "%/:=&?~#+!$,;'@()*[]|"
 #: Answers of an Arrow batch, and code points of their bodies, about.
 FLUSH_ROWS, FLUSH_BYTES = 64, 4 << 20
+#: Answers of a task that wait to be taken.
+WAITING = 32
 
 
 @dataclass(frozen=True)
@@ -38,6 +40,8 @@ class FetchPolicy:
     interval: float = 0.2
     connections: int = 100
     keepalive: int = 50
+    #: A longer body is no answer: one page must fit into an Arrow batch.
+    most_bytes: int = 1 << 28
 
     def __post_init__(self):
         if self.per_domain < 1 or self.connections < 1 or self.keepalive < 0:
@@ -47,7 +51,8 @@ class FetchPolicy:
 
 
 class RateLimiter:
-    """At most `most` requests to a domain at a time, and `interval` seconds between their starts."""
+    """At most `most` requests to a domain at a time, and `interval` seconds between their starts, among the threads of one process. A fetch by Spark keeps
+    the same limits over all its tasks by lanes (see schedule)."""
 
     def __init__(self, most: int, interval: float):
         if most < 1 or interval < 0:
@@ -123,12 +128,15 @@ class Connections:
             try:
                 connection.request("GET", target, headers=self.policy.headers)
                 answer = connection.getresponse()
-                raw = answer.read()
+                raw = answer.read(self.policy.most_bytes + 1)
             except (http.client.HTTPException, OSError):
                 connection.close()
                 if connection is kept:
                     continue
                 raise
+            if len(raw) > self.policy.most_bytes:
+                connection.close()
+                raise ValueError(f"a body of more than {self.policy.most_bytes} bytes: {url}")
             if answer.will_close:
                 connection.close()
             else:
@@ -137,14 +145,16 @@ class Connections:
         raise AssertionError
 
     def get(self, url: str) -> tuple[str, str | None, str | None, str] | None:
-        """(status, content type, content length, body), or None if there is no response at all."""
+        """(status, content type, content length, body), or None if there is no response at all: as after more than REDIRECTS redirects."""
         try:
-            for _ in range(self.REDIRECTS):
+            for _ in range(self.REDIRECTS + 1):
                 answer, raw = self.ask(url)
                 to = answer.getheader("Location")
                 if not (self.policy.follow_redirects and to and answer.status in (301, 302, 303, 307, 308)):
                     break
                 url = urljoin(url, to)
+            else:
+                return None
             charset = answer.headers.get_content_charset() or "utf-8"
             try:
                 body = raw.decode(charset, "replace")
@@ -161,14 +171,46 @@ class Connections:
             connection.close()
 
 
-def live_fetch(policy: FetchPolicy):
-    """A fetch over the network. Urls are dealt by domain, so that one task, with one limiter, asks a domain for all its pages."""
+def ask_lanes(lanes: dict[tuple, list[str]], policy: FetchPolicy, pool: ThreadPoolExecutor, get: Callable[[str], tuple | None]) -> Iterator[tuple]:
+    """(url, answer) as they come; lanes: urls by (domain, lane), of which one after another is asked for in the lane's slots. Few answers wait at a time."""
+    answers: queue.Queue = queue.Queue(WAITING)
+    stopped = threading.Event()
+
+    def ask(lane: int, urls: list[str]) -> None:
+        clock = LaneClock(lane, policy.per_domain, policy.interval)
+        for url in urls:
+            if stopped.is_set():
+                return
+            clock.wait()
+            answers.put((url, get(url)))
+
+    asked = [pool.submit(ask, lane, urls) for (_, lane), urls in lanes.items()]
+    try:
+        for _ in range(sum(map(len, lanes.values()))):
+            while True:
+                try:
+                    yield answers.get(timeout=1)
+                    break
+                except queue.Empty:
+                    for f in asked:  # a lane that broke off would be waited for in vain
+                        if f.done():
+                            f.result()
+    finally:
+        stopped.set()
+        while not all(f.done() for f in asked):
+            with contextlib.suppress(queue.Empty):
+                answers.get(timeout=0.05)
+
+
+def live_fetch(policy: FetchPolicy, tasks: int | None = None):
+    """A fetch over the network. A host's urls are dealt to as many lanes as it may have requests at a time, and lanes to `tasks` tasks (twice the session's cores if not
+    given): a host that has nearly all urls keeps several tasks busy, and its limits hold over all of them (see schedule)."""
 
     def fetch(urls: DataFrame) -> DataFrame:
         ship_package(urls.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            limiter, connections = RateLimiter(policy.per_domain, policy.interval), Connections(policy)
+            connections = Connections(policy)
             rows: list[tuple] = []
             size = 0
 
@@ -179,9 +221,10 @@ def live_fetch(policy: FetchPolicy):
 
             with ThreadPoolExecutor(policy.connections) as pool:
                 for batch in batches:
-                    asked = batch.column(0).to_pylist()
-                    answers = pool.map(lambda u: limiter.run((urlsplit(u).hostname or u).lower(), lambda: connections.get(u)), asked)
-                    for url, got in zip(asked, answers, strict=True):
+                    lanes: dict[tuple, list[str]] = {}
+                    for url, domain, lane in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        lanes.setdefault((domain, lane), []).append(url)
+                    for url, got in ask_lanes(lanes, policy, pool, connections.get):
                         rows.append((url, *(got or (None,) * 4)))
                         size += len(got[3]) if got else 0
                         if size > FLUSH_BYTES or len(rows) >= FLUSH_ROWS:
@@ -191,7 +234,6 @@ def live_fetch(policy: FetchPolicy):
             if rows:
                 yield flush()
 
-        dealt = urls.select("url").distinct().withColumn("_d", rate_domain(F.col("url"))).repartition("_d").select("url")
-        return dealt.mapInArrow(run, PAGE)
+        return dealt(urls, policy.per_domain, tasks or 2 * urls.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, PAGE)
 
     return fetch

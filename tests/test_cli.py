@@ -103,13 +103,14 @@ def test_connections_are_kept_and_redirects_followed():
         kept = Connections(FetchPolicy())
         assert [kept.get(f"{host}/{i}")[3] for i in range(3)] == [f"at /{i} é" for i in range(3)] and len(opened) == 1
         assert kept.get(f"{host}/old")[3] == "at /new%20place é" and kept.get(f"{host}/a b?q=ü")[3] == "at /a%20b?q=%C3%BC é" and len(opened) == 1
-        assert kept.get(f"{host}/loop")[0] == "302" and kept.get("ftp://x/") is None and kept.get("http://localhost:1/") is None
+        assert kept.get(f"{host}/loop") is None and kept.get("ftp://x/") is None and kept.get("http://localhost:1/") is None
         kept._idle[0][1].sock.close()
         assert kept.get(f"{host}/again")[0] == "200" and len(opened) == 2
         kept.close()
         assert Connections(FetchPolicy(follow_redirects=False)).get(f"{host}/old")[0] == "302"
         alone = Connections(FetchPolicy(keepalive=0))
         assert alone.get(f"{host}/x") and alone.get(f"{host}/y") and not alone._idle and len(opened) == 5
+        assert Connections(FetchPolicy(most_bytes=5)).get(f"{host}/x") is None
         through = Connections(FetchPolicy(proxy=host))
         assert through.get("http://other.host/p")[3] == "at http://other.host/p é"
     finally:
