@@ -20,6 +20,7 @@ from quarry.operators.suffixes import read_suffix_rules
 from quarry.rules import link_rules
 from quarry.sinks.reports import write_csv
 from quarry.sinks.terminal import tell
+from quarry.sources.answers import Answers
 from quarry.sources.fetch import FetchPolicy, live_fetch
 from quarry.sources.files import seeds
 
@@ -125,7 +126,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             tell(text, args.outfile or DEFAULT_OUTFILE)
             return 0
         starts = seeds(spark, args.url, args.url_file)
-        fetch = live_fetch(policy_of(settings))
+        fetch = Answers(spark).fetch(live_fetch(policy_of(settings)))
         result = crawl(starts, fetch, plan_of(settings, args))
         if args.validate:
             result.nodes = validate(result.nodes, fetch)

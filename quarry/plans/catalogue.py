@@ -18,6 +18,7 @@ from quarry.plans import sql
 from quarry.rules import DANGEROUS_PATHS, LEGACY_RULES, PROSE_RULES, Rule, link_rules, loaded
 from quarry.schemas import URL_PARTS
 from quarry.session import cut, shared_dir
+from quarry.sources.answers import as_of
 from quarry.sources.files import seeds
 from quarry.sources.schedule import start_schedule
 
@@ -465,6 +466,22 @@ def fetch_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return start_schedule(pages.select("url").union(hot).union(pages.limit(1).select(F.lit(None).cast("string"))), 5, 0.25)
 
 
+_ANSWERED = "(SELECT 'https://h' || user_id % 50 || '.net/' AS url, ts, max(event_id) AS n FROM events WHERE event_id % 3 = 0 GROUP BY ALL)"
+
+
+@query(
+    "answers_as_of",
+    f"SELECT r.event_id, r.url, a.n AS answer, epoch_us(r.ts) - epoch_us(a.ts) AS age FROM (SELECT event_id, 'https://h' || user_id % 50 || '.net/' AS url, ts FROM events WHERE event_id % 3 <> 0) r"
+    f" ASOF LEFT JOIN (SELECT * FROM {_ANSWERED}) a ON r.url = a.url AND r.ts >= a.ts WHERE a.n IS NULL OR epoch_us(r.ts) - epoch_us(a.ts) < 3600000000"
+    f" UNION ALL SELECT r.event_id, r.url, NULL, NULL FROM (SELECT event_id, 'https://h' || user_id % 50 || '.net/' AS url, ts FROM events WHERE event_id % 3 <> 0) r ASOF JOIN (SELECT * FROM {_ANSWERED}) a ON r.url = a.url AND r.ts >= a.ts WHERE epoch_us(r.ts) - epoch_us(a.ts) >= 3600000000",
+)
+def answers_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the events ask for a url; the others are answers, which count for an hour."""
+    events = _table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("https://h"), F.col("user_id") % 50, F.lit(".net/")).alias("url"), "ts")
+    found = as_of(events.filter("event_id % 3 <> 0"), events.filter("event_id % 3 = 0").withColumnRenamed("event_id", "n"), "url", "ts", 3600)
+    return found.select("event_id", "url", F.col("answer.n").alias("answer"), (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("answer.ts").cast("timestamp"))).alias("age"))
+
+
 _GRAPH = "(SELECT page_id AS parent, (page_id * k + c) % (SELECT count(*) FROM pages) AS child FROM pages, (VALUES (3, 1), (7, 2), (5, 11)) AS v(k, c))"
 
 

@@ -18,6 +18,8 @@ PAGE = T.StructType(
         T.StructField("body", T.StringType()),
     ]
 )
+#: An answer with its time.
+ANSWER = T.StructType([*PAGE.fields, T.StructField("answered", T.TimestampType())])
 EDGE = T.StructType([T.StructField("parent", T.StringType()), T.StructField("child", T.StringType()), T.StructField("kind", T.StringType())])
 ELEMENT = T.StructType([T.StructField("tag", T.StringType()), T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType())])
 FILE = T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType())])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.errors import ConfigError
-from quarry.schemas import PAGE
+from quarry.schemas import ANSWER, PAGE
 from quarry.session import ship_package
 from quarry.sources.schedule import LaneClock, dealt
 
@@ -204,7 +204,7 @@ def ask_lanes(lanes: dict[tuple, list[str]], policy: FetchPolicy, pool: ThreadPo
 
 def live_fetch(policy: FetchPolicy, tasks: int | None = None):
     """A fetch over the network. A host's urls are dealt to as many lanes as it may have requests at a time, and lanes to `tasks` tasks (twice the session's cores if not
-    given): a host that has nearly all urls keeps several tasks busy, and its limits hold over all of them (see schedule)."""
+    given): a host that has nearly all urls keeps several tasks busy, and its limits hold over all of them (see schedule). A row for each distinct url, with the time of its answer."""
 
     def fetch(urls: DataFrame) -> DataFrame:
         ship_package(urls.sparkSession)
@@ -215,7 +215,8 @@ def live_fetch(policy: FetchPolicy, tasks: int | None = None):
             size = 0
 
             def flush() -> pa.RecordBatch:
-                out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(PAGE.names))], PAGE.names)
+                texts = [pa.array([r[i] for r in rows], pa.string()) for i in range(len(PAGE.names))]
+                out = pa.RecordBatch.from_arrays([*texts, pa.array([r[-1] for r in rows], pa.timestamp("us", "UTC"))], ANSWER.names)
                 rows.clear()
                 return out
 
@@ -225,7 +226,7 @@ def live_fetch(policy: FetchPolicy, tasks: int | None = None):
                     for url, domain, lane in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                         lanes.setdefault((domain, lane), []).append(url)
                     for url, got in ask_lanes(lanes, policy, pool, connections.get):
-                        rows.append((url, *(got or (None,) * 4)))
+                        rows.append((url, *(got or (None,) * 4), int(time.time() * 1_000_000)))
                         size += len(got[3]) if got else 0
                         if size > FLUSH_BYTES or len(rows) >= FLUSH_ROWS:
                             size = 0
@@ -234,6 +235,6 @@ def live_fetch(policy: FetchPolicy, tasks: int | None = None):
             if rows:
                 yield flush()
 
-        return dealt(urls, policy.per_domain, tasks or 2 * urls.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, PAGE)
+        return dealt(urls, policy.per_domain, tasks or 2 * urls.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, ANSWER)
 
     return fetch
