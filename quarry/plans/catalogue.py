@@ -596,5 +596,5 @@ def local_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/quarry-scan-{uuid.uuid4().hex}"
     texts = _table(spark, sf_dir, "documents").select("text", F.floor(F.col("doc_id") / 100).alias("folder"))
     texts.repartition("folder").write.partitionBy("folder").text(folder)
-    found = scan_files(spark, folder.removeprefix("file://"), RULES)
+    found = scan_files(spark, folder, RULES)
     return found.select(F.regexp_extract("path", "folder=([0-9]+)", 1).cast("long").alias("folder"), "type", "data").distinct()
