@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.prefilter import split_possible
 from quarry.llm.words import slices
 from quarry.session import cut, drop, ship_package
 
@@ -266,41 +267,69 @@ def disclosures(df: DataFrame, scanned: DataFrame, policy: Policy, text: str = "
     texts, so that copies neither prove nor disprove anything, and the two may stand anywhere in a text. A pair needs support different
     texts, and support different contexts in them: those of the entity in texts where the term is near, and that of the term in each text
     where it is not. Pairs of fewer texts go before terms are counted over the corpus: what is counted are terms that recur with an entity, and
-    nothing is if none does.
+    nothing is if none does. Entities that stand in the same texts are one class, and so are terms: classes are paired, so copies of a list of contacts do not
+    bring each contact together with each word.
     """
     texts = scanned.groupBy("body_hash").agg(F.count(F.lit(1)).alias("n"))
     n_rows = F.lit(float(texts.count()))
     held = scanned.select("body_hash", F.explode("entities").alias("entity")).distinct()
     # An entity of fewer texts than support has no pair with support.
-    entities = cut(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= policy.support), "entities")
-    holding = cut(held.join(entities, "entity"), "holding")
+    entities = cut(_classes(held, "entity", policy.support).withColumnsRenamed({"class": "e", "n": "n_entity"}), "entities")
+    holding = cut(held.join(entities, "entity").select("body_hash", "e", "n_entity").distinct(), "holding")
     none = df.sparkSession.createDataFrame([], "body_hash string, start long, end long, share double")
     if holding.isEmpty():
         drop(entities, holding)
         return none
     found = cut(mentions(df, holding, policy, text), "mentions")
+    terms = cut(_classes(found, "term", policy.support).select("term", F.col("class").alias("t")), "terms")
     # n_pair is n_entity at most: pairs with more n_term than this cannot reach the share.
     rarity = F.greatest(n_rows / F.col("n_entity"), F.lit(2.0))
     most = F.col("n_entity") * F.pow(rarity, F.lit(1 - policy.generalise)) * 1.000001
-    together = found.drop("spans").join(holding, "body_hash")
-    recurring = cut(together.groupBy("entity", "term", "n_entity").agg(F.count(F.lit(1)).alias("n_pair")).filter(F.col("n_pair") >= policy.support), "recurring")
+    together = found.select("body_hash", "term").join(terms, "term").select("body_hash", "t").distinct().join(holding, "body_hash")
+    recurring = cut(together.groupBy("e", "t", "n_entity").agg(F.count(F.lit(1)).alias("n_pair")).filter(F.col("n_pair") >= policy.support), "recurring")
     if recurring.isEmpty():
-        drop(entities, holding, found, recurring)
+        drop(entities, holding, found, terms, recurring)
         return none
-    counts = cut(term_counts(df, recurring, texts.filter("n > 1"), holding.agg(F.max(most)).first()[0] or 0.0, text), "counts")
+    wanted = cut(terms.join(recurring.select("t").distinct(), "t"), "wanted")
+    counts = cut(term_counts(df, wanted, texts.filter("n > 1"), holding.agg(F.max(most)).first()[0] or 0.0, text), "counts")
     share = 1 + F.log(F.col("n_pair") / F.col("n_term")) / F.log(rarity)
-    likely = recurring.join(counts, "term").filter(F.col("n_term") <= most).select("entity", "term", share.alias("share")).filter(F.col("share") >= policy.generalise)
+    likely = recurring.join(wanted.join(counts, "term"), "t").filter(F.col("n_term") <= most).select("e", "term", share.alias("share")).filter(F.col("share") >= policy.generalise)
     likely = cut(likely, "likely")
-    pairs = cut(together.join(likely, ["entity", "term"]), "pairs")
-    near = scanned.select("body_hash", F.explode("near").alias("m")).select("body_hash", "m.entity", "m.term", F.col("m.context").alias("near")).distinct()
-    proved = pairs.join(near, ["body_hash", "entity", "term"], "left").groupBy("entity", "term").agg(F.count_distinct(F.coalesce("near", "context")).alias("n"))
-    proved = cut(proved.filter(F.col("n") >= policy.support).select("entity", "term"), "proved")
-    told = pairs.join(proved, ["entity", "term"]).groupBy("body_hash", "term").agg(F.max("share").alias("share"))
-    spans = cut(told.join(found.select("body_hash", "term", "spans"), ["body_hash", "term"]).select("body_hash", "share", F.explode("spans").alias("s")).select("body_hash", "s.start", "s.end", "share"), "spans")
-    drop(entities, holding, found, recurring, counts, likely, pairs, proved)
+    # Each mention of a likely term in a text that holds an entity of the class.
+    pairs = cut(found.select("body_hash", "term", "context").join(likely, "term").join(holding.select("body_hash", "e"), ["body_hash", "e"], "left_semi"), "pairs")
+    spans = cut(_told(scanned, entities, likely, pairs, policy).join(found.select("body_hash", "term", "spans"), ["body_hash", "term"]).select("body_hash", "share", F.explode("spans").alias("s")).select("body_hash", "s.start", "s.end", "share"), "spans")
+    drop(entities, holding, found, terms, recurring, wanted, counts, likely, pairs)
     return spans
 
 
+def _classes(rows: DataFrame, name: str, support: int) -> DataFrame:
+    """(name, class, n) of the names that stand in support different texts or more; n: their number. Names that stand in the same texts are one class, named by that number
+    and 128 bits of the set, so that what depends on the texts alone is worked out once for all of them."""
+    bits = [F.bit_xor(F.xxhash64(F.lit(i), "body_hash")) for i in (1, 2)]
+    grouped = rows.groupBy(name).agg(F.count(F.lit(1)).alias("n"), *(b.alias(f"_{i}") for i, b in enumerate(bits)))
+    return grouped.filter(F.col("n") >= support).select(name, F.concat_ws("_", "n", "_0", "_1").alias("class"), "n")
+
+
+def _told(scanned: DataFrame, entities: DataFrame, likely: DataFrame, pairs: DataFrame, policy: Policy) -> DataFrame:
+    """(body_hash, term, share): likely terms that have support different contexts with an entity, in the texts of both, with their greatest share.
+
+    With an entity that it is never near, a term's contexts are its own, whatever the entity of a class; such an entity is there if fewer of the class are near than it
+    has. Entities and terms that are near each other are looked at one by one; there are no more of them than words.
+    """
+    close = scanned.select("body_hash", F.explode("near").alias("m")).select("body_hash", "m.entity", "m.term", F.col("m.context").alias("near")).distinct()
+    close = cut(close.join(entities.select("entity", "e"), "entity").join(likely.select("e", "term"), ["e", "term"], "left_semi"), "close")
+    by_pair = cut(close.select("e", "entity", "term").distinct(), "by_pair")
+    own = by_pair.join(pairs.select("e", "term", "body_hash", "context"), ["e", "term"]).join(close.drop("e"), ["body_hash", "entity", "term"], "left")
+    near = own.groupBy("e", "entity", "term").agg(F.count_distinct(F.coalesce("near", "context")).alias("n")).filter(F.col("n") >= policy.support).select("e", "term").distinct()
+    sizes = entities.groupBy("e").agg(F.count(F.lit(1)).alias("size"))
+    far = pairs.groupBy("e", "term").agg(F.count_distinct("context").alias("n")).filter(F.col("n") >= policy.support)
+    far = far.join(sizes, "e").join(by_pair.groupBy("e", "term").agg(F.count(F.lit(1)).alias("near")), ["e", "term"], "left").filter("coalesce(near, 0) < size").select("e", "term")
+    proved = cut(near.union(far).distinct(), "proved")
+    told = cut(pairs.join(proved, ["e", "term"], "left_semi").groupBy("body_hash", "term").agg(F.max("share").alias("share")), "told")
+    drop(close, by_pair, proved)
+    return told
+
+
 def find_personal(df: DataFrame, policy: Policy = Policy(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_email, n_ip, n_card, n_phone, base (joined spans), terms: array of (start, end, share) that reveal entities of the text.
 
@@ -338,8 +367,7 @@ def mask(text: str, base: str, terms: list[tuple[int, int, float]], remove: floa
 def sanitize(df: DataFrame, policy: Policy = Policy(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with its text sanitised; all rows and columns stay. Null texts stay null.
 
-    Only rows with something to mask are joined to their spans by key and text hash; texts without personal data are not moved further
-    than the join needs.
+    Rows with something to mask, and few others, are joined to their spans by key and text hash; all others stay where they are.
     """
     found = find_personal(df, policy, key, text).filter("base != '' or size(terms) > 0")
     spans = found.select(F.col(key).alias("_id"), F.col("body_hash").alias("_hash"), F.col("base").alias("_base"), F.col("terms").alias("_terms")).distinct()
@@ -356,6 +384,9 @@ def sanitize(df: DataFrame, policy: Policy = Policy(), key: str = "doc_id", text
 
     body = F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
     rows = df.select(F.struct(*columns).alias("_row"), F.col(key).alias("_key"), body.alias("_own"))
-    joined_rows = rows.join(spans, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
+    spans = cut(spans, "masks")
+    some, others = split_possible(rows, "_own", spans, "_hash")
+    joined_rows = some.join(spans, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
     row = F.col("_row")
-    return joined_rows.select(row[text].alias("_t"), "_base", "_terms", *(row[c].alias(f"c_{c}") for c in columns if c != text)).mapInArrow(masked, df.schema)
+    changed = joined_rows.select(row[text].alias("_t"), "_base", "_terms", *(row[c].alias(f"c_{c}") for c in columns if c != text)).mapInArrow(masked, df.schema)
+    return changed.unionAll(others.select("_row.*"))

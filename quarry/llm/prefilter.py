@@ -14,10 +14,15 @@ def only_possible(rows: DataFrame, column: str, keys: DataFrame, key: str) -> Da
 
     With far more keys than bits everything passes, and the join behind it does all the work.
     """
+    return split_possible(rows, column, keys, key)[0]
+
+
+def split_possible(rows: DataFrame, column: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """only_possible, and the rows that it leaves out: those have no partner, and need not be moved to find that out."""
     bit = F.pmod(F.xxhash64(key), F.lit(KEY_BITS))
     marked = keys.select((bit / 64).cast("int").alias("_word"), bit.alias("_bit"))
     marked = marked.select("_word", F.expr("shiftleft(1L, cast(_bit % 64 as int))").alias("_one"))
-    words = marked.groupBy("_word").agg(F.bit_or("_one").alias("_bits"))
-    own = rows.withColumn("_own", F.pmod(F.xxhash64(column), F.lit(KEY_BITS)))
-    hit = (F.expr("cast(_own / 64 as int)") == F.col("_word")) & (F.expr("_bits & shiftleft(1L, cast(_own % 64 as int))") != 0)
-    return own.join(F.broadcast(words), hit, "left_semi").drop("_own")
+    words = F.broadcast(marked.groupBy("_word").agg(F.bit_or("_one").alias("_bits")))
+    own = rows.withColumn("_own_bit", F.pmod(F.xxhash64(column), F.lit(KEY_BITS)))
+    hit = (F.expr("cast(_own_bit / 64 as int)") == F.col("_word")) & (F.expr("_bits & shiftleft(1L, cast(_own_bit % 64 as int))") != 0)
+    return own.join(words, hit, "left_semi").drop("_own_bit"), own.join(words, hit, "left_anti").drop("_own_bit")

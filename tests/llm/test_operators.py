@@ -710,3 +710,38 @@ def test_registered_queries_cover_whole_tables(spark, tables, rows):
     for name, query in registry.QUERIES.items():
         n = query(spark, tables).select("doc_id").distinct().count()
         assert n == len({i for i, _ in rows if i is not None}) + 1, name
+
+
+# 2, lists of contacts
+
+
+def test_lists_of_contacts_are_paired_by_classes(spark):
+    """Three lists of the same 4,000 contacts: 16 million pairs of an entity and a term in each, of one class each. Names near their own address only are proved by the others'."""
+    import random
+
+    rng = random.Random(5)
+    lines = [f"n{''.join(rng.choices('abcdefgh', k=7))} p{i}@mail.net" for i in range(4000)]
+    texts = ["\n".join([f"list {name}", *rng.sample(lines, len(lines))]) for name in ("one", "two", "three")]
+    docs = spark.createDataFrame([*enumerate(texts), *((100 + i, f"other text of number {i}") for i in range(50))], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find_personal(docs)).collect()}
+    assert all(found[i].count("email:") == 4000 for i in range(3)) and all(found[i].count("term:") == 4001 for i in range(3))
+    assert all(found[100 + i] == "" for i in range(50))
+
+
+def test_one_entity_in_a_class_is_proved_only_far_from_its_term(spark):
+    """In three texts the same words stand beside the first address, so that they have one context there; the second address is far away, and the words' own contexts are one as well."""
+    filler = " ".join(["und"] * 40)
+    same = [f"{filler} zorb first@a.net zorb {filler}" for _ in range(3)]
+    texts = [t + f" {'x1 ' * 60} second@a.net {i}" for i, t in enumerate(same)]
+    other = [f"{t.replace('zorb', 'zarb')} number{i}" for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*enumerate(texts), *((10 + i, t) for i, t in enumerate(other)), *((50 + i, f"plain {i}") for i in range(40))], "doc_id long, text string")
+    found = pii.digest(pii.find_personal(docs)).collect()
+    assert not any("term:" in r["spans"] for r in found if r["doc_id"] < 3)
+
+
+def test_masked_rows_and_others(spark):
+    rows = [(i, t, i % 2) for i, t in enumerate(["a@b.net", None, "", "plain", "a@b.net", "call +1 555 123 4567"] * 5)] + [(0, "a@b.net", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _hash int")
+    got = pii.sanitize(df).collect()
+    put = {"a@b.net": "[EMAIL]", "call +1 555 123 4567": "call [PHONE]"}
+    assert Counter(map(tuple, got)) == Counter((i, put.get(t, t), n) for i, t, n in rows)
