@@ -18,8 +18,8 @@ K, S = 8, 2
 LONG = 20
 #: Characters of scripts that are written without spaces: Thai and Lao, Burmese, Khmer, kana, Han.
 UNSPACED = r"[\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
-#: Rows of a bucket of neighbouring keys, about, and buckets at most; a key of many buckets is split in 64 by text hash.
-ROWS, BUCKETS, SPLIT = 512, 4096, 64
+#: Rows of a bucket of neighbouring keys, about, buckets at most (larger ones beyond that: 400 MB at 100 TB of text), and percentiles of the keys at most.
+ROWS, BUCKETS, COARSE = 512, 1 << 18, 4096
 _FIRST = -(2**63)
 
 
@@ -68,25 +68,42 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _bucketed(rows: DataFrame) -> DataFrame:
-    """Add bucket: rows (order_id, tie) in ascending order have ascending buckets.
+    """Add bucket: rows (order_id, tie) in ascending order have ascending buckets, which follow the number of rows.
 
-    Buckets lie between approximate percentiles of the keys, so sparse keys do as well as dense ones. A key that fills buckets by itself is split by
-    tie. The driver sees BUCKETS numbers at most.
+    The driver sees COARSE approximate percentiles of the keys at most, so sparse keys do as well as dense ones. Between two of them buckets are of equal width; a key that is a
+    percentile several times over is split by tie, in as many as its share of the rows asks for. Only keys that lie in clumps between two percentiles can share a bucket with many: with
+    those between the two, one in COARSE of all rows.
     """
     ids = rows.select("order_id")
-    parts = max(1, min(BUCKETS, ids.count() // ROWS))
-    steps = [i / parts for i in range(1, parts)]
-    bounds = sorted(ids.agg(F.percentile_approx("order_id", steps, 16 * parts)).first()[0] or []) if steps else []
-    hot = sorted({x for x, y in zip(bounds, bounds[1:], strict=False) if x == y})
+    wanted = max(1, min(BUCKETS, ids.count() // ROWS))
+    coarse = min(COARSE, wanted)
+    fine, steps = -(-wanted // coarse), [i / coarse for i in range(1, coarse)]
+    if not steps:
+        return rows.withColumn("bucket", F.lit(0).cast("long"))
+    found, lowest = ids.agg(F.percentile_approx("order_id", steps, 16 * coarse), F.min("order_id")).first()
+    bounds = sorted({lowest, *found})  # each row is at one of them or beyond
+    # Bits of tie of a bound, if it is a key of many rows.
+    bits = [max(6, (found.count(x) * fine).bit_length()) if found.count(x) > 1 else 0 for x in bounds]
     # The smallest long has no literal of its own: it is one less than the next.
-    listed = lambda values: "array(" + ", ".join(f"({x + 1}L - 1L)" for x in values) + ")"
-    place = F.expr(f"size(filter({listed(bounds)}, x -> x <= order_id))") if bounds else F.lit(0)
-    inside = F.when(F.expr(f"array_contains({listed(hot)}, order_id)"), F.shiftright("tie", 58) + SPLIT // 2).otherwise(SPLIT) if hot else F.lit(SPLIT)
-    return rows.withColumn("bucket", (place * (SPLIT + 1) + inside).cast("long"))
+    listed = lambda values: F.expr("array(" + ", ".join(f"({x + 1}L - 1L)" for x in values) + ")")
+    own, key, at = listed(bounds), F.col("order_id"), F.col("_place") - 1
+    jumps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    further = lambda place, jump: F.when((place + jump <= len(bounds)) & (F.get(own, place + jump - 1) <= key), place + jump).otherwise(place)
+
+    def placed(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_place", F.aggregate(F.array(*(F.lit(j) for j in jumps)), F.lit(0), further))
+        return df.withColumn("_bits", F.when(F.get(own, at) == key, F.get(F.array(*(F.lit(x) for x in bits)), at)).otherwise(0))
+
+    # Where the keys of a place, but the many of one, really begin and end.
+    ends = {r[0]: r[1:] for r in placed(ids).filter("_bits = 0").groupBy("_place").agg(F.min("order_id"), F.max("order_id")).collect()}
+    low, high = (F.get(listed([ends.get(i + 1, (x, x))[side] for i, x in enumerate(bounds)]), at).cast("double") for side in (0, 1))
+    share = F.floor((key.cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * fine)
+    inside = F.when(F.col("_bits") > 0, F.expr("shiftright(tie, 64 - _bits) + shiftleft(1L, _bits - 1)")).otherwise(BUCKETS + F.least(F.greatest(share, F.lit(0)), F.lit(fine)))
+    return placed(rows).withColumn("bucket", F.col("_place").cast("long") * (4 * BUCKETS) + inside).drop("_place", "_bits")
 
 
 def _guards(rows: DataFrame) -> DataFrame:
-    """A row for each bucket in use: the first row of the next one in use, after the last of the first. Of one row for each bucket, BUCKETS * SPLIT at most,
+    """A row for each bucket in use: the first row of the next one in use, after the last of the first. Of one row for each bucket, a few times BUCKETS at most,
     the order is found in one task; texts are fetched by keys."""
     heads = rows.groupBy("bucket").agg(F.min(F.struct("order_id", "tie")).alias("head"))
     order = Window.orderBy("bucket")

@@ -413,7 +413,8 @@ def test_fingerprints_by_brute_force(spark, rows):
 
 
 def test_fingerprints_with_many_buckets(spark, monkeypatch, rows):
-    monkeypatch.setattr(fingerprints, "ROWS", 4)
+    monkeypatch.setattr(fingerprints, "ROWS", 2)
+    monkeypatch.setattr(fingerprints, "COARSE", 8)
     plain = [(i, t) for i, t in rows if all(len(w) <= fingerprints.LONG for w in brute.words(t))]
     check_fingerprints(spark, plain)
     check_fingerprints(spark, [(None, t) for _, t in plain[:30]] + [(-(2**63), "x y")] + [(7, t) for _, t in plain[:40]] + [((i or 0) * 3**30, t) for i, t in plain])
@@ -745,3 +746,32 @@ def test_masked_rows_and_others(spark):
     got = pii.sanitize(df).collect()
     put = {"a@b.net": "[EMAIL]", "call +1 555 123 4567": "call [PHONE]"}
     assert Counter(map(tuple, got)) == Counter((i, put.get(t, t), n) for i, t, n in rows)
+
+
+# 6, buckets
+
+
+def test_fingerprint_buckets_follow_the_rows(spark, monkeypatch):
+    """Ten times the rows have ten times the buckets, of as many rows; buckets ascend with (key, tie), whatever the keys."""
+    monkeypatch.setattr(fingerprints, "ROWS", 16)
+    monkeypatch.setattr(fingerprints, "COARSE", 32)
+    kinds = {
+        "dense": F.col("i"),
+        "sparse": F.col("i") * (2**47) - 2**62,
+        "hot": F.when(F.col("i") % 3 == 0, -(2**63)).otherwise(F.col("i") - 500),
+        "few": F.col("i") % 3,
+        "clumped": F.when(F.col("i") % 2 == 0, F.col("i")).otherwise(2**60 + F.col("i")),
+    }
+    for name, key in kinds.items():
+        sizes = {}
+        for n in (4_000, 40_000):
+            rows = spark.range(n).select(F.col("id").alias("i")).select(key.cast("long").alias("order_id"), F.xxhash64("i").alias("tie"))
+            got = fingerprints._bucketed(rows).collect()
+            ordered = sorted((r["order_id"], r["tie"], r["bucket"]) for r in got)
+            assert len(got) == n and [b for _, _, b in ordered] == sorted(b for _, _, b in ordered), name
+            sizes[n] = Counter(b for _, _, b in ordered)
+        if name == "clumped":  # the two percentiles about the gap
+            assert sorted(sizes[40_000].values())[-2] <= 160 and max(sizes[40_000].values()) <= 1.1 * 40_000 / 32
+        else:
+            assert max(sizes[40_000].values()) <= 160 and max(sizes[40_000].values()) <= 3 * max(sizes[4_000].values()), (name, max(sizes[4_000].values()), max(sizes[40_000].values()))
+        assert len(sizes[40_000]) >= 4 * len(sizes[4_000]), name
