@@ -26,6 +26,8 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 POSITIVES, UNLABELLED, FEATURES = 2000, 6000, 8192
 #: Features kept by a classifier; ROUNDS times FOLDS classifiers, each fitted without one part of the texts, whose margins then place the threshold.
 SELECTED, FOLDS, ROUNDS = 4000, 4, 3
+#: Toxic texts that a feature must be in.
+LEAST = 3
 EPOCHS, BATCHES, STEP, SHRINK = 60, 8, 0.03, 1e-4
 #: The score at the threshold.
 CALLED = 0.7
@@ -111,7 +113,7 @@ def select(positive: Sparse, unlabelled: Sparse, prior: float) -> np.ndarray:
     clean = np.maximum((np.bincount(unlabelled.bins, minlength=1 << BITS) / unlabelled.n - prior * toxic) / (1 - prior), 0)
     least = 0.5 / min(positive.n, unlabelled.n)
     told = toxic * np.log((toxic + least) / (clean + least)) - (toxic - clean)
-    told[(found < min(3, positive.n)) | (toxic <= clean)] = 0
+    told[(found < min(LEAST, positive.n)) | (toxic <= clean)] = 0
     best = np.argsort(-told, kind="stable")[:SELECTED]
     return best[told[best] > 0]
 
@@ -197,14 +199,14 @@ def _chance(share: float, key: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("toxicity"), key), F.lit(_PLACES)) < int(min(share, 1) * _PLACES)
 
 
-def _collect(rows: DataFrame) -> Sparse:
-    """Features of sampled rows (_k, _t), one text for each key: that of the least hash."""
+def _collect(rows: DataFrame, wanted: np.ndarray | None = None) -> Sparse:
+    """Features of sampled rows (_k, _t), of all bins or those that wanted marks, one text for each key: that of the least hash."""
     one = rows.groupBy("_k").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "_t"):
             bins, counts, words = [], [], []
-            x = features(texts)
+            x = features(texts, wanted)
             for i, at in enumerate(np.searchsorted(x.rows, np.arange(x.n))):
                 own = slice(at, np.searchsorted(x.rows, i, "right"))
                 b, c = x.bins[own], x.counts[own]
@@ -234,7 +236,11 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = df.select(df[key].alias("_k"), F.coalesce(df[text], F.lit("")).alias("_t")).filter("_k is not null").filter(~held_out(F.col("_k")))
     chosen = known.filter(F.col("_y") == 1).filter(_chance(POSITIVES / toxic, "_k")).select("_k")  # about POSITIVES keys at most, small enough to broadcast
     n = df.count()
-    return fit(_collect(rows.join(F.broadcast(chosen), "_k", "left_semi")), _collect(rows.filter(_chance(UNLABELLED / max(n, 1), "_k"))), prior)
+    positive = _collect(rows.join(F.broadcast(chosen), "_k", "left_semi"))
+    # Bins that fewer toxic texts have are never selected: they need not come here, nor be kept.
+    often = np.bincount(positive.bins, minlength=1 << BITS) >= min(LEAST, max(positive.n, 1))
+    place = np.where(often, np.arange(1 << BITS), -1)
+    return fit(positive.only(place), _collect(rows.filter(_chance(UNLABELLED / max(n, 1), "_k")), often), prior)
 
 
 def score_documents(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
