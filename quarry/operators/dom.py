@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.schemas import ELEMENT
@@ -16,16 +17,28 @@ _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "
 #: Elements that end where the next of their kind begins, and those inside which they may begin anew.
 _ENDS_BEFORE = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "p": (("p",), ("table", "blockquote", "div", "li", "td", "th", "section", "article")),
-    "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)), "tr": (("tr",), ("table",)), "option": (("option",), ("select",)),
+    "td": (("td", "th"), ("table",)), "th": (("td", "th"), ("table",)), "tr": (("tr",), ("table",)), "option": (("option",), ("select",)), "a": (("a",), ("table",)),
 }
 
 
+class _Text(list):
+    """Pieces of a page's text, and their length in code points."""
+
+    size = 0
+
+    def append(self, piece: str) -> None:
+        super().append(piece)
+        self.size += len(piece)
+
+
 class Element(dict):
-    """tag and attrs, of which repeated ones count by their last; text, with that of the elements inside, is put together when it is asked for."""
+    """tag and attrs, of which repeated ones count by their last; begin and end, where its text, with that of the elements inside, stands in the page's; text itself is put
+    together when it is asked for. html and body have no text."""
 
-    def __init__(self, tag: str, attrs: list[tuple[str, str | None]], pieces: list[str]):
+    def __init__(self, tag: str, attrs: list[tuple[str, str | None]], pieces: _Text):
         super().__init__(tag=tag, attrs={k: v or "" for k, v in attrs})
         self._pieces, self._first, self._end = pieces, len(pieces), None
+        self.begin = self.end = pieces.size
 
     def __missing__(self, key: str) -> str:
         if key != "text":
@@ -35,6 +48,7 @@ class Element(dict):
 
     def close(self) -> None:
         self._end = len(self._pieces)
+        self.end = self.begin if self["tag"] in ("html", "body") else self._pieces.size
 
 
 class _Tree(HTMLParser):
@@ -43,7 +57,7 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.elements: list[Element] = []
-        self.pieces: list[str] = []
+        self.pieces = _Text()
         self.open: list[Element] = []
         self.places: dict[str, list[int]] = {}
 
@@ -87,12 +101,16 @@ class _Tree(HTMLParser):
         self._shut(0)
 
 
-def elements(html: str | None) -> list[Element]:
-    """The elements of a page in order; of text that is no HTML, none."""
+def _parsed(html: str | None) -> _Tree:
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
-    return tree.elements
+    return tree
+
+
+def elements(html: str | None) -> list[Element]:
+    """The elements of a page in order; of text that is no HTML, none."""
+    return _parsed(html).elements
 
 
 class _References(HTMLParser):
@@ -156,3 +174,29 @@ def dom_elements(df: DataFrame, html: str, choose: Callable[[list[Element]], lis
             yield pa.RecordBatch.from_arrays([*columns, pa.array(picked, kind)], [*kept, out])
 
     return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.ArrayType(ELEMENT))]))
+
+
+class HtmlElements:
+    """Table function html_elements(html, tags): a row (n, tag, attrs, begin, end, text) for each element of a page that has one of the tags, in order, n from 1.
+
+    tags: names with commas; empty or null: all; #text: the page's text as well, as the first row, n 0. begin and end are places in the page's text, in code points from 0, end exclusive. text is there
+    for rows that hold no part of a later one: so the rows are as long as the page, however its elements stand inside each other. A null page has no rows.
+    """
+
+    def eval(self, html: str, tags: str) -> Iterator[tuple]:
+        if html is None:
+            return
+        tree, wanted = _parsed(html), {t.strip() for t in (tags or "").split(",")} - {""}
+        text = "".join(tree.pieces)
+        if "#text" in wanted:
+            yield 0, "#text", {}, 0, len(text), text
+        rows = [e for e in tree.elements if not wanted or e["tag"] in wanted]
+        for n, e in enumerate(rows, 1):
+            alone = n == len(rows) or rows[n].begin >= e.end
+            yield n, e["tag"], e["attrs"], e.begin, e.end, text[e.begin : e.end] if alone else None
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make html_elements known to a session's SQL: SELECT ... FROM pages p, LATERAL html_elements(p.html, 'a') e."""
+    ship_package(spark)
+    spark.udtf.register("html_elements", F.udtf(HtmlElements, returnType="n: int, tag: string, attrs: map<string,string>, begin: int, end: int, text: string", useArrow=True))

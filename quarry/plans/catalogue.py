@@ -584,10 +584,10 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     " FROM (SELECT page_id, url, unnest(found) AS a, generate_subscripts(found, 1) AS n FROM (SELECT page_id, url, regexp_extract_all(html, '(?s)<a\\s.*?</a>') AS found FROM pages))",
 )
 def dom_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The anchors of each page, with their place, target and text."""
-    found = dom.dom_elements(_table(spark, sf_dir, "pages"), "html", lambda found: [e for e in found if e["tag"] == "a"])
-    each = found.select("page_id", "url", F.posexplode("elements").alias("n", "e"))
-    return each.select("page_id", "url", (F.col("n") + 1).cast("long").alias("n"), F.col("e.attrs")["href"].alias("href"), "e.text")
+    """The anchors of each page, with their place, target and text, by the table function."""
+    dom.register_functions(spark)
+    pages = _table(spark, sf_dir, "pages")
+    return spark.sql("SELECT page_id, url, CAST(e.n AS BIGINT) AS n, e.attrs['href'] AS href, e.text AS text FROM {pages} AS p, LATERAL html_elements(p.html, 'a') AS e", pages=pages)
 
 
 @query("local_scan", f"SELECT DISTINCT doc_id // 100 AS folder, type, data FROM ({sql.matches('documents', 'doc_id', 'text', RULES)})")
