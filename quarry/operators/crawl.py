@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from quarry.errors import CrawlError
 from quarry.functions.status import links_wanted, unknown_status
 from quarry.functions.text import strip
-from quarry.functions.urls import url_parts
+from quarry.functions.urls import host_port, url_parts
 from quarry.operators.extract import extract_secrets, titles
 from quarry.operators.filters import domain_filter, is_dangerous
 from quarry.operators.links import extract_links
+from quarry.operators.tables import by_globs
 from quarry.rules import DANGEROUS_PATHS, DEFAULT_RULES, Rule, link_rules, loaded
 from quarry.session import cut, drop
 
@@ -28,7 +29,8 @@ class CrawlPlan:
     """What a crawl does. max_depth and max_pages of 0 or less: no limit.
 
     wanted(netloc), find_secrets(df, text) and find_links(df, base, text) replace the domain filter, the rules and the link extraction: they take and
-    give what domain_filter, extract_secrets and extract_links do.
+    give what domain_filter, extract_secrets and extract_links do. append(parent, child, kind) says which single links count as found; denied is a table of
+    patterns (glob) of hosts that are not visited.
     """
 
     rules: list[Rule] = field(default_factory=lambda: loaded(DEFAULT_RULES))
@@ -42,6 +44,8 @@ class CrawlPlan:
     wanted: Callable[[Column], Column] | None = None
     find_secrets: Callable[[DataFrame, str], DataFrame] | None = None
     find_links: Callable[[DataFrame, str, str], DataFrame] | None = None
+    append: Callable[[Column, Column, Column], Column] | None = None
+    denied: DataFrame | None = None
 
 
 @dataclass
@@ -103,7 +107,13 @@ def crawl(seeds: DataFrame, fetch: Fetch, plan: CrawlPlan) -> CrawlResult:
     wanted: Column = plan.wanted(netloc) if plan.wanted else domain_filter(netloc, plan.allow, plan.deny)
     find_secrets = plan.find_secrets or (lambda df, text: extract_secrets(df, text, plan.rules, plan.engine))
     find_links = plan.find_links or (lambda df, base, text: extract_links(df, base, text, plan.links))
-    frontier = cut(seeds.select(strip(F.col("url")).alias("url")).filter("url != ''").distinct().filter(wanted).withColumn("depth", F.lit(0)), "frontier")
+
+    def allowed(urls: DataFrame) -> DataFrame:
+        """Distinct urls that may be visited."""
+        own = urls.select("url").filter(wanted).distinct()
+        return own if plan.denied is None else by_globs(own.withColumn("_name", host_port(netloc)["host"]), "_name", plan.denied, deny=True).drop("_name")
+
+    frontier = cut(allowed(seeds.select(strip(F.col("url")).alias("url")).filter("url != ''")).withColumn("depth", F.lit(0)), "frontier")
     visited = frontier
     nodes: list[DataFrame] = []
     edges: list[DataFrame] = []
@@ -123,13 +133,13 @@ def crawl(seeds: DataFrame, fetch: Fetch, plan: CrawlPlan) -> CrawlResult:
         live = fetched.filter(ok).select("url", "content_type", body.alias("body"))
         findings.append(cut(find_secrets(live.select("url", "body"), "body"), "findings"))
         texts = live.filter(links_wanted(F.col("content_type"))).select(F.col("url").alias("parent"), "body")
-        found = cut(find_links(texts, "parent", "body").select("parent", F.col("url").alias("child"), "kind").distinct(), "edges")
+        linked = find_links(texts, "parent", "body").select("parent", F.col("url").alias("child"), "kind").distinct()
+        found = cut(linked if plan.append is None else linked.filter(plan.append(F.col("parent"), F.col("child"), F.col("kind"))), "edges")
         edges.append(found)
         if left is not None and pages >= plan.max_pages:
             break
         depth += 1
-        children = found.select(F.col("child").alias("url")).filter(wanted)
-        frontier = cut(frontier_after(children, visited).withColumn("depth", F.lit(depth)), "frontier")
+        frontier = cut(frontier_after(allowed(found.select(F.col("child").alias("url"))), visited).withColumn("depth", F.lit(depth)), "frontier")
         drop(chosen)
         visited = visited.union(frontier)
     spark = seeds.sparkSession

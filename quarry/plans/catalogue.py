@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import status as st
 from quarry.functions import urls
 from quarry.functions.patterns import ASCII
-from quarry.operators import dom, extract, filters, links, multiscan, reports, suffixes
+from quarry.operators import dom, extract, filters, links, multiscan, reports, suffixes, tables
 from quarry.operators import crawl as crawling
 from quarry.operators.scan import local_scan as scan_files
 from quarry.plans import sql
@@ -286,6 +286,35 @@ def domain_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hosts(spark, sf_dir).filter(filters.domain_filter(F.col("netloc"), ",".join(ALLOW), ",".join(DENY))).select("page_id")
 
 
+_GLOB_TABLE_HOSTS = "(SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a.d' || event_id // 2 || '.example.net' WHEN 1 THEN 'h' || user_id || '.org' WHEN 2 THEN 'x-deny' || event_id || '-y.com' ELSE 'plain' || event_id || '.net' END AS host FROM events)"
+
+
+@query(
+    "domain_deny_table",
+    f"SELECT event_id, host FROM {_GLOB_TABLE_HOSTS} h WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id % 3 = 0 AND regexp_extract(h.host, '[.]d([0-9]+)[.]example[.]net$', 1) = CAST(e.event_id AS VARCHAR))"
+    " AND NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id % 3 = 1 AND h.host = 'h' || e.event_id || '.org') AND NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id % 3 = 2 AND regexp_extract(h.host, 'deny([0-9]+)-', 1) = CAST(e.event_id AS VARCHAR))",
+)
+def domain_deny_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts that none of a table of patterns denies, a pattern for each event."""
+    events = _table(spark, sf_dir, "events")
+    name = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    n = F.col("event_id")
+    globs = events.select(F.when(n % 3 == 0, name("*.d", n, ".example.net")).when(n % 3 == 1, name("h", n, ".org")).otherwise(name("*deny", n, "-*")).alias("glob"))
+    host = F.when(n % 4 == 0, name("a.d", F.floor(n / 2), ".example.net")).when(n % 4 == 1, name("h", F.col("user_id"), ".org")).when(n % 4 == 2, name("x-deny", n, "-y.com")).otherwise(name("plain", n, ".net"))
+    return tables.by_globs(events.select("event_id", host.alias("host")), "host", globs, deny=True)
+
+
+@query(
+    "range_table",
+    "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM events WHERE floor(o_totalprice) >= event_id * 31 AND floor(o_totalprice) < event_id * 31 + event_id % 13)",
+)
+def range_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose price lies in one of as many ranges as there are events."""
+    ranges = _table(spark, sf_dir, "events").select((F.col("event_id") * 31).alias("low"), (F.col("event_id") * 31 + F.col("event_id") % 13).alias("high"))
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").cast("long").alias("price"))
+    return tables.by_ranges(orders, "price", ranges).select("o_orderkey")
+
+
 @query("evade_paths", f"SELECT page_id, {sql.EXTRA_PATH} AS path, regexp_matches({sql.EXTRA_PATH}, '/?({'|'.join(DANGEROUS_PATHS)})', 'i') AS dangerous FROM pages")
 def evade_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _table(spark, sf_dir, "pages").select("page_id", F.expr(sql.EXTRA_PATH).alias("path"))

@@ -105,3 +105,13 @@ def test_log(tmp_path):
     init_log("info", folder=str(tmp_path)).info("hello")
     assert "hello" in (tmp_path / "quarry.log").read_text()
     init_log()
+
+
+def test_single_links_and_a_table_of_denied_hosts(spark, fetch):
+    done = run(spark, fetch, append=lambda parent, child, kind: ~child.endswith("/b") | (kind == "js"))
+    assert {r["url"] for r in done.fetched.collect()} == {"http://s.net/", "http://s.net/a", "http://s.net/1.js"}
+    assert "http://s.net/b" not in {r["child"] for r in done.edges.collect()}
+    done = run(spark, fetch, denied=spark.createDataFrame([("*.org",), ("s.*",)], "glob string"))
+    assert done.pages == 0
+    done = run(spark, fetch, max_depth=2, denied=spark.createDataFrame([("*.org",), ("oth*",)], "glob string"))
+    assert {r["url"] for r in done.nodes.filter("depth is not null").collect()} == {f"http://s.net/{p}" for p in ("", "a", "b", "c", "1.js")}
