@@ -122,8 +122,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         spark = spark or SparkSession.builder.appName("quarry").getOrCreate()
         if args.local:
             found = reports.secrets_by(local_scan(spark, args.local, settings.rules, settings.engine), "path")
-            text = reports.text_report(found, "Secrets found in", "path", "secrets", "No secrets found.\n")
-            tell(text, args.outfile or DEFAULT_OUTFILE)
+            tell(reports.report_pieces(found, "Secrets found in", "path", "secrets", "No secrets found.\n"), args.outfile or DEFAULT_OUTFILE)
             return 0
         starts = seeds(spark, args.url, args.url_file)
         fetch = Answers(spark).fetch(live_fetch(policy_of(settings)))

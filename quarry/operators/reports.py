@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,13 +103,20 @@ def with_node(grouped: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return grouped.join(about, key, "left")
 
 
-def text_report(grouped: DataFrame, head: str, key: str, lines: str, empty: str = "", depth: bool = False) -> str:
-    """Groups as text: `n head key [status] (depth:d):`, of which status and depth are there if the groups have them, and the lines. Groups come to the driver one after another, sorted."""
-    out = []
+def report_pieces(grouped: DataFrame, head: str, key: str, lines: str, empty: str = "", depth: bool = False) -> Iterator[str]:
+    """text_report a group at a time."""
+    none = True
     for row in grouped.orderBy(key).toLocalIterator():
+        none = False
         status = f" [{row['status'] or 'Unknown'}]" if "status" in grouped.columns else ""
-        out.append(f"\n{row['n']} {head} {row[key]}{status}{f' (depth:{row['depth']})' if depth else ''}:\n{row[lines]}\n")
-    return "".join(out) or empty
+        yield f"\n{row['n']} {head} {row[key]}{status}{f' (depth:{row['depth']})' if depth else ''}:\n{row[lines]}\n"
+    if none:
+        yield empty
+
+
+def text_report(grouped: DataFrame, head: str, key: str, lines: str, empty: str = "", depth: bool = False) -> str:
+    """Groups as text: `n head key [status] (depth:d):`, of which status and depth are there if the groups have them, and the lines. Groups come to the driver one after another, sorted."""
+    return "".join(report_pieces(grouped, head, key, lines, empty, depth))
 
 
 def domain_report(rows: DataFrame, head: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterable, Iterator
 from typing import TextIO
 
 from quarry.sinks.reports import write_text
@@ -35,9 +36,18 @@ def painted(text: str) -> str:
     return _LINE.sub(line, text)
 
 
-def tell(text: str, file: str | None = None, out: TextIO | None = None) -> None:
-    """Print a report, in colours if a terminal shows it, and write it plain to a file if there is one."""
+def tell(text: str | Iterable[str], file: str | None = None, out: TextIO | None = None) -> None:
+    """Print a report, in colours if a terminal shows it, and write it plain to a file if there is one; a report in pieces is printed and written piece by piece."""
     out = out or sys.stdout
-    print(painted(text) if out.isatty() else text, file=out)
+
+    def shown() -> Iterator[str]:
+        for piece in [text] if isinstance(text, str) else text:
+            out.write(painted(piece) if out.isatty() else piece)
+            yield piece
+        out.write("\n")
+
     if file:
-        write_text(text, file)
+        write_text(shown(), file)
+    else:
+        for _ in shown():
+            pass
