@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|(?<!{SPACE}){SPACE}+\z", "")
 
 
+def constant(value: list | dict, kind: str) -> Column:
+    """A list or mapping as one literal: Spark folds it once, where a literal for each entry takes longer to plan than many texts take to read."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def _character(code: Column) -> Column:
     """The character of a code point; what is none becomes the replacement character."""
     valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
@@ -24,7 +30,7 @@ def _character(code: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """A text with its HTML entities resolved, named ones of HTML 4 and numbers; what is no entity stays as it is."""
-    named = F.map_from_arrays(F.array(*(F.lit(n) for n in [*name2codepoint, "apos"])), F.array(*(F.lit(chr(c)) for c in [*name2codepoint.values(), 39])))
+    named = constant({n: chr(c) for n, c in [*name2codepoint.items(), ("apos", 39)]}, "map<string,string>")
 
     def resolved(piece: Column, i: Column) -> Column:
         name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)

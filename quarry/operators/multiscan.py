@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from quarry.errors import HandlerError
 from quarry.functions.patterns import UNICODE, folded, needed
+from quarry.functions.text import constant
 from quarry.rules import Rule
 from quarry.session import ship_package
 
@@ -76,7 +77,7 @@ def _named(df: DataFrame, text: str, rules: list[Rule], dialect: str) -> tuple[D
     """A row for each text and candidate (_rule), and the matches of that candidate as an array."""
     if len({r.name for r in rules}) < len(rules):
         raise HandlerError("two rules of one name")
-    patterns = F.array(*(F.lit(dialect + r.regex) for r in rules)) if rules else F.array().cast("array<string>")
+    patterns = constant([dialect + r.regex for r in rules], "array<string>")
     each = with_candidates(df, text, rules, "_rules").select(*df.columns, F.explode("_rules").alias("_rule"))
     return each, F.regexp_extract_all(F.col(text), F.get(patterns, F.col("_rule")), F.lit(0))
 
@@ -85,7 +86,7 @@ def scan_secrets(df: DataFrame, text: str, rules: list[Rule], dialect: str = UNI
     """A row (all columns but the text, type, data) for each distinct whole match of a rule in a text: the rows of the engine `whole`."""
     kept = [c for c in df.columns if c != text]
     each, found = _named(df, text, rules, dialect)
-    names = F.array(*(F.lit(r.name) for r in rules)) if rules else F.array().cast("array<string>")
+    names = constant([r.name for r in rules], "array<string>")
     return each.select(*kept, F.get(names, F.col("_rule")).alias("type"), F.explode(F.array_distinct(found)).alias("data"))
 
 
