@@ -92,7 +92,7 @@ def _bucketed(rows: DataFrame) -> DataFrame:
 
     def placed(df: DataFrame) -> DataFrame:
         df = df.withColumn("_place", F.aggregate(F.array(*(F.lit(j) for j in jumps)), F.lit(0), further))
-        return df.withColumn("_bits", F.when(F.get(own, at) == key, F.get(F.array(*(F.lit(x) for x in bits)), at)).otherwise(0))
+        return df.withColumn("_bits", F.when(F.get(own, at) == key, F.get(F.expr(f"array({', '.join(map(str, bits))})"), at)).otherwise(0))
 
     # Where the keys of a place, but the many of one, really begin and end.
     ends = {r[0]: r[1:] for r in placed(ids).filter("_bits = 0").groupBy("_place").agg(F.min("order_id"), F.max("order_id")).collect()}
