@@ -17,53 +17,57 @@ from quarry.errors import ConfigError
 from quarry.functions.patterns import glob_to_regex
 from quarry.session import cut, ship_package
 
-#: Characters of the pieces that globs without a fixed end are found by, and globs without such a piece (as `*` or `a?*`) at most, which become one condition.
-PIECE, BARE = 3, 1000
+#: Characters, at least and at most, of the pieces that globs without a fixed end are found by, and globs without such a piece (as `*` or `a?*`) at most, which become one condition.
+PIECE, WIDE, BARE = 3, 8, 1000
 _SPECIAL = re.compile(r"\[[!]?\]?[^\]]*\]|[*?]")
 
 
-def glob_key(glob: str) -> str:
-    """What each host that a glob matches has: `=` and the host itself, `.` and its last whole labels, `+` and a piece of it; empty if neither is known."""
+def glob_keys(glob: str) -> list[str]:
+    """Each of these stands for something that all hosts have which a glob matches: `=` and the host itself, `.` and its last whole labels, or `+` and pieces of it; none if nothing is known."""
     fixed = _SPECIAL.split(glob)
     if len(fixed) == 1:
-        return "=" + glob
+        return ["=" + glob]
     _, dot, labels = fixed[-1].partition(".")
     if dot and labels:
-        return "." + labels
+        return ["." + labels]
     longest = max(fixed, key=len)
-    return "+" + longest[:PIECE] if len(longest) >= PIECE else ""
+    size = min(len(longest), WIDE)
+    return sorted({"+" + longest[i : i + size] for i in range(len(longest) - size + 1)}) if size >= PIECE else []
 
 
 def glob_index(globs: DataFrame) -> DataFrame:
-    """(key, regex, depth) of globs(glob): depth is the number of labels of a key of labels, else 0. Null globs are left out."""
+    """(key, regex, size) of globs(glob), of several keys the one that fewest globs have; size: labels of a key of labels, characters of a piece. Null globs are left out."""
     ship_package(globs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0).to_pylist()
-            keys = [glob_key(g) for g in own]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([glob_to_regex(g) for g in own], pa.string()), pa.array([k.count(".") if k.startswith(".") else 0 for k in keys], pa.int32())], ["key", "regex", "depth"])
+            yield pa.RecordBatch.from_arrays([pa.array([glob_to_regex(g) for g in own], pa.string()), pa.array([glob_keys(g) or [""] for g in own], pa.list_(pa.string()))], ["regex", "keys"])
 
-    return globs.select("glob").filter("glob is not null").distinct().mapInArrow(run, "key string, regex string, depth int")
+    each = cut(globs.select("glob").filter("glob is not null").distinct().mapInArrow(run, "regex string, keys array<string>").select("regex", F.explode("keys").alias("key")), "globs")
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(shared, "key").groupBy("regex").agg(F.min(F.struct("n", "key")).alias("best")).select("best.key", "regex")
+    size = F.when(F.startswith("key", F.lit(".")), F.size(F.split("key", r"\.")) - 1).otherwise(F.length("key") - 1)
+    return rarest.withColumn("size", size)
 
 
 def matching_hosts(hosts: DataFrame, globs: DataFrame) -> DataFrame:
     """The different hosts of hosts(host) that any glob of globs(glob) matches; case counts, as for domain_allowed."""
     index = cut(glob_index(globs), "globs")
-    kinds = {r["kind"]: r for r in index.groupBy(F.substring("key", 1, 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth")).collect()}
+    kinds = {r["kind"]: r for r in index.groupBy(F.substring("key", 1, 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("most"), F.collect_set(F.least("size", F.lit(WIDE))).alias("sizes")).collect()}
     once = hosts.select("host").filter("host is not null").distinct()
     labels = F.split("host", r"\.", -1)
     keys = []
     if "=" in kinds:
         keys.append(F.array(F.concat(F.lit("="), F.col("host"))))
     if "." in kinds:
-        depths = F.sequence(F.lit(1), F.least(F.size(labels) - 1, F.lit(kinds["."]["depth"])))
+        depths = F.sequence(F.lit(1), F.least(F.size(labels) - 1, F.lit(kinds["."]["most"])))
         ends = F.transform(depths, lambda d: F.concat(F.lit("."), F.array_join(F.slice(labels, -d, d), ".")))
         keys.append(F.when(F.size(labels) > 1, ends).otherwise(F.array().cast("array<string>")))
-    if "+" in kinds:
-        places = F.sequence(F.lit(1), F.length("host") - (PIECE - 1))
-        pieces = F.array_distinct(F.transform(places, lambda i: F.concat(F.lit("+"), F.substring(F.col("host"), i, F.lit(PIECE)))))
-        keys.append(F.when(F.length("host") >= PIECE, pieces).otherwise(F.array().cast("array<string>")))
+    for size in kinds["+"]["sizes"] if "+" in kinds else []:
+        places = F.sequence(F.lit(1), F.length("host") - (size - 1))
+        pieces = F.array_distinct(F.transform(places, lambda i, size=size: F.concat(F.lit("+"), F.substring(F.col("host"), i, F.lit(size)))))
+        keys.append(F.when(F.length("host") >= size, pieces).otherwise(F.array().cast("array<string>")))
     found = once.limit(0)
     if keys:
         asked = once.select("host", F.explode(F.concat(*keys)).alias("key"))
