@@ -66,7 +66,7 @@ def matching_hosts(hosts: DataFrame, globs: DataFrame) -> DataFrame:
         keys.append(F.when(F.size(labels) > 1, ends).otherwise(F.array().cast("array<string>")))
     for size in kinds["+"]["sizes"] if "+" in kinds else []:
         places = F.sequence(F.lit(1), F.length("host") - (size - 1))
-        pieces = F.array_distinct(F.transform(places, lambda i, size=size: F.concat(F.lit("+"), F.substring(F.col("host"), i, F.lit(size)))))
+        pieces = F.array_distinct(F.transform(places, lambda i: F.concat(F.lit("+"), F.substring(F.col("host"), i, F.lit(size)))))  # noqa: B023
         keys.append(F.when(F.length("host") >= size, pieces).otherwise(F.array().cast("array<string>")))
     found = once.limit(0)
     if keys:
