@@ -88,10 +88,10 @@ def bfs_depths(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> D
     return seen
 
 
-def pages_fetch(pages: DataFrame) -> Fetch:
-    """A fetch from a table of pages by url: a left join with one row for each url."""
-    once = pages.dropDuplicates(["url"])
-    return lambda urls: urls.select("url").distinct().join(once, "url", "left")
+def pages_fetch(pages: DataFrame, by: str = "url") -> Fetch:
+    """A fetch from a table of pages by url, or by another column that tells requests apart: a left join with one row for each."""
+    once = pages.dropDuplicates([by])
+    return lambda urls: urls.select(by).distinct().join(once, by, "left")
 
 
 def crawl(seeds: DataFrame, fetch: Fetch, plan: CrawlPlan) -> CrawlResult:
@@ -160,8 +160,12 @@ def _all(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
     return out
 
 
-def validate(nodes: DataFrame, fetch: Fetch) -> DataFrame:
-    """nodes with the status of a new fetch where it was not all digits; a fetch that fails changes nothing."""
-    targets = nodes.filter(unknown_status(F.col("status"))).select("url").distinct()
-    fresh = fetch(targets).select("url", F.col("status").alias("_status"))
-    return nodes.join(fresh, "url", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
+def validate(nodes: DataFrame, fetch: Fetch, by: str = "url") -> DataFrame:
+    """nodes with the status of a new fetch where it was not all digits; a fetch that fails changes nothing.
+
+    Nodes of one url share its answer; where each has its own, by is the column that tells their requests apart, and fetch takes and gives it in place of url.
+    """
+    unknown = unknown_status(F.col("status"))
+    targets = nodes.filter(unknown).select(by).distinct()
+    fresh = fetch(targets).select(by, F.col("status").alias("_status"))
+    return nodes.join(fresh, by, "left").withColumn("status", F.when(unknown, F.coalesce("_status", "status")).otherwise(F.col("status"))).drop("_status")

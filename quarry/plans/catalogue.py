@@ -580,9 +580,10 @@ def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("validate_pass", f"SELECT url, CASE WHEN regexp_matches(status, '^[0-9]+$') OR content_type IS NULL THEN status ELSE '204' END AS status FROM {_PAGES}")
 def validate_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages may share a url; each has its own status and its own answer, so they are asked for by page."""
     pages = _pages(spark, sf_dir)
-    answers = pages.filter("content_type IS NOT NULL").select("url", F.lit("204").alias("status"))
-    return crawling.validate(pages.select("url", "status"), crawling.pages_fetch(answers))
+    answers = pages.filter("content_type IS NOT NULL").select("page_id", F.lit("204").alias("status"))
+    return crawling.validate(pages.select("page_id", "url", "status"), crawling.pages_fetch(answers, "page_id"), "page_id").select("url", "status")
 
 
 _FETCHED = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM {_PAGES}) WHERE rn = 1 AND NOT regexp_matches({sql.parts('url')['path']}, '/?({'|'.join(DANGEROUS_PATHS)})', 'i'))"

@@ -73,6 +73,18 @@ def test_validate_changes_unknown_only(spark, fetch):
     assert nodes["http://s.net/logout"] == "200" and nodes["http://other.org/"] == "Unknown" and nodes["http://s.net/b"] == "404"
 
 
+def test_validate_keeps_digits_beside_an_unknown_of_the_same_url(spark):
+    nodes = spark.createDataFrame([("x", "404"), ("x", "Unknown"), ("y", None), ("z", "Unknown"), ("z", "500")], "url string, status string")
+    fetch = c.pages_fetch(spark.createDataFrame([("x", "204"), ("y", "200")], "url string, status string"))
+    assert sorted(map(tuple, c.validate(nodes, fetch).select("url", "status").collect())) == [("x", "204"), ("x", "404"), ("y", "200"), ("z", "500"), ("z", "Unknown")]
+
+
+def test_validate_by_another_column_than_the_url(spark):
+    nodes = spark.createDataFrame([(1, "x", "Unknown"), (2, "x", "Unknown"), (3, "x", "404"), (4, None, "Unknown")], "n long, url string, status string")
+    fetch = c.pages_fetch(spark.createDataFrame([(1, "204"), (3, "200"), (4, "301")], "n long, status string"), "n")
+    assert sorted(map(tuple, c.validate(nodes, fetch, "n").select("n", "status").collect())) == [(1, "204"), (2, "Unknown"), (3, "404"), (4, "301")]
+
+
 def test_bfs_and_first_parent(spark):
     edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 0), (3, 4), (9, 9)], "parent long, child long")
     start = spark.createDataFrame([(0,)], "node long")

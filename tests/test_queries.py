@@ -41,3 +41,16 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_validate_pass_where_pages_share_urls(spark, tmp_path):
+    """Each page has a status and an answer of its own, whatever other pages of its url have; a page without url too."""
+    urls = ["http://s.net/a", "http://s.net/b", None]
+    # 42 ids in a row hold each status with each content type.
+    rows = [(n, urls[k], "") for k in range(3) for n in range(42 * k, 42 * k + 42)] + [(4, "http://s.net/b", ""), (4, "http://s.net/b", ""), (200, "http://s.net/c", ""), (None, "http://s.net/a", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    theirs = con.execute(ORACLE_SQL["validate_pass"]).fetchall()
+    ours = map(tuple, QUERIES["validate_pass"](spark, str(tmp_path)).collect())
+    assert sorted(map(repr, ours)) == sorted(map(repr, theirs)) and len(theirs) == len(rows)
